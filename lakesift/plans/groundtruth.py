@@ -1,0 +1,209 @@
+"""The labelling job: every ordered table pair of a lake -> scores and labels.
+
+Stages (each one a set-at-a-time Spark plan over all tables / pairs):
+
+1. ``raw``: one scan of every table, unpivoted to cells, one aggregation by
+   ``(table, column, raw value)`` carrying count and first row position.
+2. Profiles, top-k value sets and first-appearance samples from ``raw``.
+3. Value overlap (inverted-index join) -> joinability.
+4. Hashed token bags -> table and column vectors -> table cosines (gate).
+5. One grouped kernel per table pair: unionability alignment, and for gated
+   pairs the column cosine matrix, its max and its alignment.
+6. Labels, mirrored to both orientations, rounded.
+
+With ``materialize=True`` the small stage outputs are checkpointed in the
+session's checkpoint folder, so a lost executor never forces a re-scan of
+the lake, and ``raw`` is persisted while the profile outputs are derived.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lakesift.config import ScoreConfig
+from lakesift.operators import align, joinability as jn, labels as lb, pairs as pr
+from lakesift.operators import profile as pf, semantic as sm
+from lakesift.plans.util import cut_lineage, maybe_broadcast, ship_package
+from lakesift.sources.lake import Lake
+
+
+@dataclass
+class LakeState:
+    """Intermediate DataFrames of one lake, built lazily and shared by queries."""
+
+    lake: Lake
+    cfg: ScoreConfig
+    materialize: bool = False
+
+    def __post_init__(self):
+        self.spark = self.lake.spark
+        self._cache: dict[str, object] = {}
+        self.n_columns = len(self.lake.column_rows())
+        self.n_tables = self.lake.n_tables()
+
+    def _get(self, key, build):
+        if key not in self._cache:
+            self._cache[key] = build()
+        return self._cache[key]
+
+    def _cut(self, df: DataFrame) -> DataFrame:
+        return cut_lineage(df) if self.materialize else df
+
+    # -- dimensions --------------------------------------------------------
+    @property
+    def tables(self) -> DataFrame:
+        return self._get("tables", self.lake.table_dim)
+
+    @property
+    def columns(self) -> DataFrame:
+        return self._get("columns", self.lake.column_dim)
+
+    # -- stage 1-2 -----------------------------------------------------------
+    @property
+    def raw(self) -> DataFrame:
+        def build():
+            raw = pf.raw_value_counts(self.lake.cells(with_ord=True))
+            if self.materialize:
+                raw = raw.persist(StorageLevel.DISK_ONLY)
+            return raw
+        return self._get("raw", build)
+
+    @property
+    def profiles(self) -> pf.Profiles:
+        def build():
+            p = pf.profile(self.raw, self.columns, self.n_columns, self.cfg)
+            return pf.Profiles(columns=self._cut(p.columns), values=self._cut(p.values))
+        return self._get("profiles", build)
+
+    @property
+    def samples(self) -> DataFrame:
+        return self._get("samples", lambda: self._cut(sm.sample_values(self.raw, self.cfg)))
+
+    # -- stage 3 ---------------------------------------------------------------
+    @property
+    def pairs(self) -> DataFrame:
+        return self._get("pairs", lambda: pr.upper_pairs(self.spark, self.lake.ok_indices(), self.cfg))
+
+    @property
+    def overlap(self) -> DataFrame:
+        return self._get("overlap", lambda: self._cut(
+            jn.value_overlap(self.profiles, self.n_columns, self.cfg)))
+
+    @property
+    def joinability(self) -> DataFrame:
+        return self._get("joinability", lambda: jn.joinability(
+            self.pairs, self.overlap, self.profiles, self.n_columns, self.cfg))
+
+    # -- stage 4 ---------------------------------------------------------------
+    @property
+    def value_bags(self) -> DataFrame:
+        return self._get("value_bags", lambda: sm._value_bags(self.samples, self.cfg.embedding_dim))
+
+    @property
+    def hashed(self) -> bool:
+        return self.cfg.embedder == "hashed"
+
+    @property
+    def table_vectors(self) -> DataFrame | None:
+        if not self.hashed:
+            return None
+        return self._get("table_vectors", lambda: self._cut(sm.dense(
+            sm.table_bags(self.tables, self.profiles, self.samples, self.cfg, self.value_bags),
+            ["table_idx"], self.cfg.embedding_dim)))
+
+    @property
+    def column_vectors(self) -> DataFrame | None:
+        if not self.hashed:
+            return None
+        return self._get("column_vectors", lambda: self._cut(sm.dense(
+            sm.column_bags(self.profiles, self.samples, self.cfg, self.value_bags),
+            ["table_idx", "col_idx"], self.cfg.embedding_dim)))
+
+    @property
+    def table_semantic(self) -> DataFrame:
+        return self._get("table_semantic", lambda: sm.table_semantic(
+            self.pairs, self.table_vectors, self.n_tables, self.cfg))
+
+    # -- stage 5 ---------------------------------------------------------------
+    def pair_scores(self, with_semantic: bool = True) -> DataFrame:
+        """``(q_idx, c_idx, n_q, n_c, union_total, unionability, semantic_join,
+        semantic_union)`` for every upper-triangle pair."""
+        key = f"pair_scores_{with_semantic}"
+        return self._get(key, lambda: self._pair_scores(with_semantic))
+
+    def _pair_scores(self, with_semantic: bool) -> DataFrame:
+        cfg = self.cfg
+        semantic = with_semantic and self.column_vectors is not None
+        feats = self.profiles.columns.select(
+            "table_idx", "col_idx",
+            F.when(F.col("inferred_type") == "numeric", 0).otherwise(1).alias("type_code"),
+            F.col("cardinality_ratio").alias("card"), "n_values")
+        per_col_bytes = 64
+        if semantic:
+            feats = feats.join(self.column_vectors.select("table_idx", "col_idx", F.col("vec").alias("emb")),
+                               ["table_idx", "col_idx"], "left")
+            per_col_bytes += 4 * cfg.embedding_dim
+            gated = self.table_semantic.select(
+                "q_idx", "c_idx", (F.col("semantic_table") >= cfg.semantic_gate).alias("gated"))
+            pairs = gated
+        else:
+            pairs = self.pairs.withColumn("gated", F.lit(False))
+        feats = maybe_broadcast(feats, per_col_bytes * self.n_columns, cfg.broadcast_limit_bytes)
+
+        def side(n: int, key: str) -> DataFrame:
+            f = feats.withColumnRenamed("table_idx", key)
+            j = pairs.join(f, key)
+            cols = [F.col("q_idx"), F.col("c_idx"), F.lit(n).alias("side"),
+                    F.col("col_idx").alias("col"), F.lit(None).cast("int").alias("col2"),
+                    "type_code", "card", "n_values", F.lit(None).cast("long").alias("k")]
+            if semantic:
+                # embeddings travel only for pairs that pass the gate
+                cols.append(F.when(F.col("gated"), F.col("emb")).alias("emb"))
+            return j.select(*cols)
+
+        ov_cols = [F.col("q_idx"), F.col("c_idx"), F.lit(2).alias("side"),
+                   F.col("q_col").alias("col"), F.col("c_col").alias("col2"),
+                   F.lit(None).cast("int").alias("type_code"), F.lit(None).cast("double").alias("card"),
+                   F.lit(None).cast("int").alias("n_values"), F.col("k")]
+        if semantic:
+            ov_cols.append(F.lit(None).cast("array<float>").alias("emb"))
+        ship_package(self.spark)
+        rows = side(0, "q_idx").unionByName(side(1, "c_idx")).unionByName(self.overlap.select(*ov_cols))
+        return rows.groupBy("q_idx", "c_idx").applyInPandas(align.score_pair_group,
+                                                             align.PAIR_SCORE_SCHEMA)
+
+    @property
+    def unionability(self) -> DataFrame:
+        return self.pair_scores(with_semantic=False).select("q_idx", "c_idx", "unionability")
+
+    # -- stage 6 ---------------------------------------------------------------
+    def scores(self) -> DataFrame:
+        """Unrounded scores of every upper-triangle pair."""
+        ps = self.pair_scores(with_semantic=True)
+        return (self.joinability
+                .join(self.table_semantic, ["q_idx", "c_idx"])
+                .join(ps.select("q_idx", "c_idx", "unionability", "semantic_join", "semantic_union"),
+                      ["q_idx", "c_idx"]))
+
+    def labels(self) -> DataFrame:
+        """Output rows (L6) for every ordered pair, with q_idx / c_idx kept."""
+        def build():
+            scored = self._cut(self.scores())
+            named = pr.with_names(pr.mirror(scored, self.cfg), self.tables)
+            return lb.label(named, self.cfg)
+        return self._get("labels", build)
+
+    def release(self) -> None:
+        raw = self._cache.get("raw")
+        if raw is not None and self.materialize:
+            raw.unpersist()
+
+
+def label_lake(lake: Lake, cfg: ScoreConfig | None = None, materialize: bool = True) -> DataFrame:
+    """The whole job: returns the labelled pairs (query order not imposed)."""
+    state = LakeState(lake, cfg or ScoreConfig(), materialize=materialize)
+    return state.labels().drop("q_idx", "c_idx")
