@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakesift.config import ScoreConfig
+from lakesift.plans.util import maybe_broadcast
 
 
 def upper_pairs(spark: SparkSession, ok_idx: list[int], cfg: ScoreConfig) -> DataFrame:
@@ -60,9 +61,11 @@ def mirror(df: DataFrame, cfg: ScoreConfig) -> DataFrame:
     return out
 
 
-def with_names(df: DataFrame, tables: DataFrame) -> DataFrame:
-    """Attach ``query_table`` / ``candidate_table`` from the table dimension."""
-    names = F.broadcast(tables.select("table_idx", "table_name"))
+def with_names(df: DataFrame, tables: DataFrame, n_tables: int,
+               limit_bytes: int = 64 << 20) -> DataFrame:
+    """Attach ``query_table`` / ``candidate_table`` from the table dimension
+    (``n_tables`` rows, broadcast under the size limit)."""
+    names = maybe_broadcast(tables.select("table_idx", "table_name"), 128 * n_tables, limit_bytes)
     return (
         df.join(names.select(F.col("table_idx").alias("q_idx"), F.col("table_name").alias("query_table")), "q_idx")
         .join(names.select(F.col("table_idx").alias("c_idx"), F.col("table_name").alias("candidate_table")), "c_idx")
@@ -73,3 +76,14 @@ PAIR_SCHEMA = T.StructType([
     T.StructField("q_idx", T.IntegerType(), False),
     T.StructField("c_idx", T.IntegerType(), False),
 ])
+
+
+def mirror_column_pairs(df: DataFrame) -> DataFrame:
+    """Ordered column pairs from the upper form ``(q_idx, q_col) <= (c_idx, c_col)``."""
+    other = [c for c in df.columns if c not in ("q_idx", "c_idx", "q_col", "c_col")]
+    strict = (F.col("q_idx") < F.col("c_idx")) | (
+        (F.col("q_idx") == F.col("c_idx")) & (F.col("q_col") < F.col("c_col")))
+    swapped = df.where(strict).select(
+        F.col("c_idx").alias("q_idx"), F.col("q_idx").alias("c_idx"),
+        F.col("c_col").alias("q_col"), F.col("q_col").alias("c_col"), *other)
+    return df.unionByName(swapped)

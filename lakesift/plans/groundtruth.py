@@ -193,7 +193,8 @@ class LakeState:
         """Output rows (L6) for every ordered pair, with q_idx / c_idx kept."""
         def build():
             scored = self._cut(self.scores())
-            named = pr.with_names(pr.mirror(scored, self.cfg), self.tables)
+            named = pr.with_names(pr.mirror(scored, self.cfg), self.tables, self.n_tables,
+                                  self.cfg.broadcast_limit_bytes)
             return lb.label(named, self.cfg)
         return self._get("labels", build)
 
