@@ -33,8 +33,9 @@ def upper_pairs(spark: SparkSession, ok_idx: list[int], cfg: ScoreConfig) -> Dat
         F.col("table_idx").alias("q_idx"),
         F.explode(F.sequence(F.col("table_idx"), F.lit(last))).alias("c_idx"),
     )
-    # keep loaded candidates only (the table dimension is tiny: broadcast)
-    pairs = gen.join(F.broadcast(tables.withColumnRenamed("table_idx", "c_idx")), "c_idx")
+    # keep loaded candidates only (one row per table, broadcast under the limit)
+    pairs = gen.join(maybe_broadcast(tables.withColumnRenamed("table_idx", "c_idx"), 16 * len(ok_idx),
+                                     cfg.broadcast_limit_bytes), "c_idx")
     nq, mc = cfg.num_queries or None, cfg.max_candidates or None
     if nq is not None or mc is not None:
         def ok(q, c):

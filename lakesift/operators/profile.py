@@ -21,12 +21,11 @@ from pyspark.sql import functions as F
 
 from lakesift.config import ScoreConfig
 from lakesift.functions import text as tx
-from lakesift.plans.util import maybe_broadcast
 
 
 def raw_value_counts(cells: DataFrame) -> DataFrame:
-    """P5 on raw text: ``(table_idx, col_idx, value, n[, first])``; one null row
-    per column.  When the cells carry a row ordinal, ``first`` is the value's
+    """P5 on raw text: ``(table_idx, col_idx, value, n[, first])`` over non-null
+    cells.  When the cells carry a row ordinal, ``first`` is the value's
     first position, so the same single shuffle also feeds the E1 samples."""
     aggs = [F.count(F.lit(1)).alias("n")]
     if "ord" in cells.columns:
@@ -34,30 +33,35 @@ def raw_value_counts(cells: DataFrame) -> DataFrame:
     return cells.groupBy("table_idx", "col_idx", "value").agg(*aggs)
 
 
-def column_stats(raw: DataFrame, columns: DataFrame, n_columns: int, cfg: ScoreConfig) -> DataFrame:
-    """P1, P3, P8, P9 per column (columns without any cell are filled in by the caller).
+def column_stats(raw: DataFrame) -> DataFrame:
+    """P1, P3, P8 per column (columns without any value are filled in by
+    :func:`assemble`).
 
-    ``columns`` is the column dimension (one row per lake column, ``n_columns``
-    rows); it is broadcast only under the configured size limit."""
-    cols = maybe_broadcast(columns.select("table_idx", "col_idx", "src_class"),
-                           est_bytes=48 * n_columns, limit_bytes=cfg.broadcast_limit_bytes)
-    nn_value = F.col("value").isNotNull()
-    text_col = F.col("src_class").isin(tx.SRC_TEXT, tx.SRC_CSV)
+    The type tests run once per *distinct* raw value.  They are evaluated
+    for every column and resolved against the column's source class in
+    :func:`assemble`, so this aggregate reads ``raw`` alone - which keeps its
+    ``raw`` subplan identical to the other consumers' (one shared shuffle)."""
     return (
-        raw.join(cols, ["table_idx", "col_idx"])
-        .groupBy("table_idx", "col_idx")
+        raw.groupBy("table_idx", "col_idx")
         .agg(
-            F.sum("n").alias("n_rows"),
-            F.coalesce(F.sum(F.when(nn_value, F.col("n"))), F.lit(0)).alias("n_non_null"),
-            F.count("value").alias("n_distinct"),
-            # type test evaluated once per distinct value, only for text columns
-            F.bool_and(F.when(nn_value & text_col, tx.is_numeric_text(F.col("value")))).alias("all_numeric_text"),
-            F.bool_and(F.when(nn_value & (F.col("src_class") == tx.SRC_CSV),
-                              tx.is_boolean_text(F.col("value")))).alias("all_boolean_text"),
+            F.sum("n").alias("n_non_null"),
+            F.count(F.lit(1)).alias("n_distinct"),
+            F.bool_and(tx.is_numeric_text(F.col("value"))).alias("all_numeric_text"),
+            F.bool_and(tx.is_boolean_text(F.col("value"))).alias("all_boolean_text"),
+            *_first_seen(raw),
         )
     )
 
 
+def _first_seen(raw: DataFrame) -> list:
+    """``min(first)`` when ``raw`` carries row positions.
+
+    Every consumer of ``raw`` reads ``first``; this keeps their ``raw``
+    subplans identical after column pruning, so one job computes the raw
+    shuffle once and reuses it (ReusedExchange) for all of them."""
+    return [F.min("first").alias("first")] if "first" in raw.columns else []
+
+
 def inferred_type(src_class, n_non_null, all_numeric_text, all_boolean_text):
     """P3: 'numeric' iff every non-null value is a number; empty -> 'string'."""
     num = (
@@ -73,15 +77,75 @@ def top_values(raw: DataFrame, top_k: int) -> DataFrame:
     """``(table_idx, col_idx, value, freq, rank)`` for the k most frequent
     normalised values; ties broken by value ascending."""
     norm = (
-        raw.where(F.col("value").isNotNull())
-        .select("table_idx", "col_idx", tx.normalize_value(F.col("value")).alias("value"), "n")
+        raw.select("table_idx", "col_idx", tx.normalize_value(F.col("value")).alias("value"), "n",
+                *(["first"] if "first" in raw.columns else []))
         .groupBy("table_idx", "col_idx", "value")
-        .agg(F.sum("n").alias("freq"))
+        .agg(F.sum("n").alias("freq"), *_first_seen(raw))
     )
     w = Window.partitionBy("table_idx", "col_idx").orderBy(F.desc("freq"), F.asc("value"))
     return norm.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k)
 
 
+BUNDLE_COLUMNS = ("kind", "table_idx", "col_idx", "value", "a", "b", "c", "d", "all_numeric_text",
+                  "all_boolean_text")
+KIND_STATS, KIND_TOP, KIND_SAMPLE, KIND_ROWS = 0, 1, 2, 3
+
+
+def bundle(raw: DataFrame, table_rows: DataFrame, cfg: ScoreConfig,
+           samples: DataFrame | None = None) -> DataFrame:
+    """Stats, top-k values and (optionally) E1 samples of every column as *one*
+    DataFrame, so that a single job - reusing the one shuffle of ``raw`` -
+    materialises all of them (see :func:`split_bundle`).
+
+    kind 0: b=n_non_null, c=n_distinct, d=first row, type-test flags
+    kind 3: a=n_rows of the table (col_idx -1)
+    kind 1: value, a=freq, b=rank, d=first position of the value
+    kind 2: value, a=occurrences, b=pos, d=first position
+
+    Every branch outputs both the counts and the first positions of ``raw``,
+    so column pruning leaves the three ``raw`` subplans identical and the
+    job shuffles ``raw`` once (ReusedExchange).
+    """
+    def shape(df, kind, value=None, a=None, b=None, c=None, d=None, num=None, boo=None):
+        lit_l = F.lit(None).cast("long")
+        return df.select(
+            F.lit(kind).alias("kind"), "table_idx", "col_idx",
+            (value if value is not None else F.lit(None).cast("string")).alias("value"),
+            (a if a is not None else lit_l).cast("long").alias("a"),
+            (b if b is not None else lit_l).cast("long").alias("b"),
+            (c if c is not None else lit_l).cast("long").alias("c"),
+            (d if d is not None else lit_l).cast("long").alias("d"),
+            (num if num is not None else F.lit(None).cast("boolean")).alias("all_numeric_text"),
+            (boo if boo is not None else F.lit(None).cast("boolean")).alias("all_boolean_text"))
+
+    st = column_stats(raw)
+    top = top_values(raw, cfg.top_k)
+    first = (lambda df: F.col("first") if "first" in df.columns else None)
+    rows = table_rows.withColumn("col_idx", F.lit(-1))
+    out = shape(rows, KIND_ROWS, a=F.col("n_rows")).unionByName(
+        shape(st, KIND_STATS, b=F.col("n_non_null"), c=F.col("n_distinct"),
+                d=first(st), num=F.col("all_numeric_text"), boo=F.col("all_boolean_text"))) \
+        .unionByName(shape(top, KIND_TOP, value=F.col("value"), a=F.col("freq"), b=F.col("rank"),
+                           d=first(top)))
+    if samples is not None:
+        out = out.unionByName(shape(samples, KIND_SAMPLE, value=F.col("value"), a=F.col("freq"),
+                                    b=F.col("pos"), d=F.col("first")))
+    return out
+
+
+def split_bundle(b: DataFrame, columns: DataFrame) -> tuple["Profiles", DataFrame]:
+    """(profiles, samples) from a materialised :func:`bundle`."""
+    rows = b.where(F.col("kind") == KIND_ROWS).select("table_idx", F.col("a").alias("n_rows"))
+    stats = b.where(F.col("kind") == KIND_STATS).select(
+        "table_idx", "col_idx", F.col("b").alias("n_non_null"),
+        F.col("c").alias("n_distinct"), "all_numeric_text", "all_boolean_text")
+    top = b.where(F.col("kind") == KIND_TOP).select(
+        "table_idx", "col_idx", "value", F.col("a").alias("freq"), F.col("b").cast("int").alias("rank"))
+    samples = b.where(F.col("kind") == KIND_SAMPLE).select(
+        "table_idx", "col_idx", "value", F.col("b").cast("int").alias("pos"))
+    return assemble(columns, rows, stats, top), samples
+
+
 @dataclass
 class Profiles:
     """Profile outputs reused by every score.
@@ -95,15 +159,19 @@ class Profiles:
     values: DataFrame
 
 
-def profile(raw: DataFrame, columns: DataFrame, n_columns: int, cfg: ScoreConfig) -> Profiles:
+def profile(raw: DataFrame, columns: DataFrame, table_rows: DataFrame, cfg: ScoreConfig) -> Profiles:
     """P10 from the raw value counts of :func:`raw_value_counts`."""
-    stats = column_stats(raw, columns, n_columns, cfg)
-    top = top_values(raw, cfg.top_k)
+    return assemble(columns, table_rows, column_stats(raw), top_values(raw, cfg.top_k))
+
+
+def assemble(columns: DataFrame, table_rows: DataFrame, stats: DataFrame, top: DataFrame) -> Profiles:
+    """P10: column dimension + table row counts + statistics + top-k set sizes."""
     set_sizes = top.groupBy("table_idx", "col_idx").agg(F.count(F.lit(1)).alias("n_values"))
     nn = F.coalesce(F.col("n_non_null"), F.lit(0))
     rows = F.coalesce(F.col("n_rows"), F.lit(0))
     prof = (
-        columns.join(stats, ["table_idx", "col_idx"], "left")
+        columns.join(table_rows, "table_idx", "left")
+        .join(stats, ["table_idx", "col_idx"], "left")
         .join(set_sizes, ["table_idx", "col_idx"], "left")
         .select(
             "table_idx", "col_idx", "column_name", "src_class",

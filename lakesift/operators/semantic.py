@@ -30,15 +30,14 @@ def sample_values(raw: DataFrame, cfg: ScoreConfig) -> DataFrame:
 
     ``raw`` are the raw value counts with their first ordinal (profile.py)."""
     firsts = (
-        raw.where(F.col("value").isNotNull())
-        .select("table_idx", "col_idx", F.lower(F.col("value")).alias("value"), "first")
+        raw.select("table_idx", "col_idx", F.lower(F.col("value")).alias("value"), "n", "first")
         .groupBy("table_idx", "col_idx", "value")
-        .agg(F.min("first").alias("first"))
+        .agg(F.sum("n").alias("freq"), F.min("first").alias("first"))
     )
     w = Window.partitionBy("table_idx", "col_idx").orderBy("first")
     return (firsts.withColumn("pos", F.row_number().over(w))
             .where(F.col("pos") <= cfg.sample_values)
-            .select("table_idx", "col_idx", "value", "pos"))
+            .select("table_idx", "col_idx", "value", "pos", "freq", "first"))
 
 
 def _joined_values(samples: DataFrame) -> DataFrame:

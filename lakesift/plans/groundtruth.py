@@ -13,14 +13,14 @@ Stages (each one a set-at-a-time Spark plan over all tables / pairs):
 
 With ``materialize=True`` the small stage outputs are checkpointed in the
 session's checkpoint folder, so a lost executor never forces a re-scan of
-the lake, and ``raw`` is persisted while the profile outputs are derived.
+the lake.  ``raw`` itself is never cached: its three consumers (statistics,
+top-k, samples) run in one job that reuses its single shuffle.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,23 +65,27 @@ class LakeState:
     # -- stage 1-2 -----------------------------------------------------------
     @property
     def raw(self) -> DataFrame:
+        return self._get("raw", lambda: pf.raw_value_counts(self.lake.cells(with_ord=True)))
+
+    def _profile_outputs(self):
         def build():
-            raw = pf.raw_value_counts(self.lake.cells(with_ord=True))
             if self.materialize:
-                raw = raw.persist(StorageLevel.DISK_ONLY)
-            return raw
-        return self._get("raw", build)
+                # one job: a single scan + shuffle of ``raw`` feeds stats, top-k
+                # and samples; only the small bundle is written
+                b = cut_lineage(pf.bundle(self.raw, self.lake.table_rows(), self.cfg,
+                                          samples=sm.sample_values(self.raw, self.cfg)))
+                return pf.split_bundle(b, self.columns)
+            return (pf.profile(self.raw, self.columns, self.lake.table_rows(), self.cfg),
+                    sm.sample_values(self.raw, self.cfg))
+        return self._get("profile_outputs", build)
 
     @property
     def profiles(self) -> pf.Profiles:
-        def build():
-            p = pf.profile(self.raw, self.columns, self.n_columns, self.cfg)
-            return pf.Profiles(columns=self._cut(p.columns), values=self._cut(p.values))
-        return self._get("profiles", build)
+        return self._profile_outputs()[0]
 
     @property
     def samples(self) -> DataFrame:
-        return self._get("samples", lambda: self._cut(sm.sample_values(self.raw, self.cfg)))
+        return self._profile_outputs()[1]
 
     # -- stage 3 ---------------------------------------------------------------
     @property
@@ -199,9 +203,7 @@ class LakeState:
         return self._get("labels", build)
 
     def release(self) -> None:
-        raw = self._cache.get("raw")
-        if raw is not None and self.materialize:
-            raw.unpersist()
+        """Kept for symmetry with callers; nothing is cached in memory."""
 
 
 def label_lake(lake: Lake, cfg: ScoreConfig | None = None, materialize: bool = True) -> DataFrame:

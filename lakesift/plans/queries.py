@@ -11,12 +11,13 @@ from __future__ import annotations
 import posixpath
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakesift.config import ScoreConfig
+from lakesift.config import CARDINALITY_WEIGHT, JACCARD_WEIGHT, ScoreConfig
 from lakesift.operators import joinability as jn, labels as lb, pairs as pr, semantic as sm
 from lakesift.plans.groundtruth import LakeState
+from lakesift.plans.util import maybe_broadcast
 from lakesift.sources.lake import Lake
 
 # The test lake: every table of a scale-factor folder except ``embeddings``
@@ -43,8 +44,9 @@ def state(spark: SparkSession, sf_dir: str, cfg: ScoreConfig | None = None,
 
 def _names(st: LakeState, df: DataFrame) -> DataFrame:
     """table_idx -> table_name."""
-    names = st.tables.select("table_idx", "table_name")
-    return df.join(F.broadcast(names), "table_idx")
+    names = maybe_broadcast(st.tables.select("table_idx", "table_name"), 128 * st.n_tables,
+                            st.cfg.broadcast_limit_bytes)
+    return df.join(names, "table_idx")
 
 
 def _pair_names(st: LakeState, df: DataFrame) -> DataFrame:
@@ -60,9 +62,10 @@ def _r(c: str, digits: int = D6) -> F.Column:
 def q_lake_cells(spark, sf_dir):
     """Every cell of every table, in long form (nulls kept)."""
     st = state(spark, sf_dir)
-    cells = st.lake.cells()
+    cells = st.lake.cells(keep_nulls=True)
     cols = st.columns.select("table_idx", "col_idx", "column_name")
-    return _names(st, cells.join(F.broadcast(cols), ["table_idx", "col_idx"])).select(
+    cols = maybe_broadcast(cols, 96 * st.n_columns, st.cfg.broadcast_limit_bytes)
+    return _names(st, cells.join(cols, ["table_idx", "col_idx"])).select(
         "table_name", "col_idx", "column_name", "value")
 
 
@@ -175,10 +178,9 @@ def q_column_jaccard(spark, sf_dir):
 def q_column_union_similarity(spark, sf_dir):
     """U2 + U3 + U4: the full column-pair matrix (0.0 on type mismatch)."""
     st = state(spark, sf_dir)
-    cfg_w = (0.7, 0.3)
     sim = F.when(F.col("type_q") != F.col("type_c"), F.lit(0.0)).otherwise(
-        F.lit(cfg_w[0]) * _jaccard()
-        + F.lit(cfg_w[1]) * (F.lit(1.0) - F.abs(F.col("card_q") - F.col("card_c"))))
+        F.lit(JACCARD_WEIGHT) * _jaccard()
+        + F.lit(CARDINALITY_WEIGHT) * (F.lit(1.0) - F.abs(F.col("card_q") - F.col("card_c"))))
     m = _column_matrix(st).withColumn("similarity", sim)
     return _pair_names(st, m).select("query_table", "candidate_table", "q_col", "c_col", _r("similarity"))
 

@@ -51,6 +51,7 @@ class LakeTable:
 class _Loaded:
     df: DataFrame
     columns: list[tuple[str, str, T.DataType]]  # (source column, lake name, type)
+    size_bytes: int | None = None
 
 
 def list_lake(spark: SparkSession, root: str, pattern: str = "*.csv") -> list[str]:
@@ -92,10 +93,12 @@ def dedupe_names(names: list[str]) -> list[str]:
 class Lake:
     """Tables of a lake plus their load status (S3)."""
 
-    def __init__(self, spark: SparkSession, tables: list[LakeTable], csv_multiline: bool = True):
+    def __init__(self, spark: SparkSession, tables: list[LakeTable], csv_multiline: bool = True,
+                 rebalance_bytes: int = 2 << 20):
         self.spark = spark
         self.tables = tables
         self.csv_multiline = csv_multiline
+        self.rebalance_bytes = rebalance_bytes
         self.loaded: dict[int, _Loaded] = {}
         self.errors: dict[int, str] = {}
         for t in tables:
@@ -125,7 +128,7 @@ class Lake:
             cols = [(f.name, f.name, f.dataType) for f in df.schema.fields]
             if not cols:
                 raise ValueError("table has no columns")
-            return _Loaded(df, cols)
+            return _Loaded(df, cols, self._size(t.path))
         # CSV: every column read as text; header names resolved like a CSV
         # reader with duplicate-name mangling.
         head = self.spark.read.text(t.path).limit(1).collect()
@@ -138,7 +141,19 @@ class Lake:
         if len(df.columns) != len(names):
             raise ValueError("header does not match the parsed columns")
         cols = [(src, name, T.StringType()) for src, name in zip(df.columns, names)]
-        return _Loaded(df, cols)
+        return _Loaded(df, cols, self._size(t.path))
+
+    def _size(self, path: str) -> int | None:
+        """File size from the file system listing (metadata only)."""
+        try:
+            sc = self.spark.sparkContext
+            hpath = sc._jvm.org.apache.hadoop.fs.Path(path)
+            fs = hpath.getFileSystem(sc._jsc.hadoopConfiguration())
+            return int(fs.getContentSummary(hpath).getLength())
+        except Exception:
+            import os
+
+            return os.path.getsize(path) if os.path.exists(path) else None
 
     # -- dimensions (driver metadata, one row per table / column) ----------
     def ok_indices(self) -> list[int]:
@@ -170,18 +185,22 @@ class Lake:
 
     # -- cells --------------------------------------------------------------
     def _ordinal(self, t: LakeTable) -> F.Column:
-        """Row position in file order (used for first-appearance order)."""
+        """Row position in file order, as one ``long`` (used for first-appearance
+        order; a long keeps ``min(ord)`` on the hash-aggregate path).
+
+        Parquet: the row index.  CSV: split start offset + row number within
+        the task; a row takes at least one byte, so positions of a split stay
+        below the next split's start offset and file order is preserved."""
         if t.fmt == "parquet":
-            return F.struct(F.col("_metadata.file_path").alias("f"),
-                            F.lit(0).cast("long").alias("b"),
-                            F.col("_metadata.row_index").alias("r"))
-        return F.struct(F.col("_metadata.file_path").alias("f"),
-                        F.col("_metadata.file_block_start").alias("b"),
-                        F.monotonically_increasing_id().alias("r"))
+            return F.col("_metadata.row_index")
+        return F.col("_metadata.file_block_start") + F.expr("monotonically_increasing_id() & 8589934591")
 
     def table_cells(self, table_idx: int, with_ord: bool = False,
-                    max_cols: int | None = None) -> DataFrame:
-        """One row per cell ``(table_idx, col_idx, value[, ord])``; nulls kept."""
+                    max_cols: int | None = None, keep_nulls: bool = False) -> DataFrame:
+        """One row per cell ``(table_idx, col_idx, value[, ord])``.
+
+        Null cells are dropped right after the unpivot (F1) unless
+        ``keep_nulls``; row counts come from :meth:`table_rows`."""
         t = self.tables[table_idx]
         ld = self.loaded[table_idx]
         structs = []
@@ -192,17 +211,54 @@ class Lake:
             if t.fmt == "csv":
                 value = tx.null_tokens_to_null(value)
             structs.append(F.struct(F.lit(i).alias("col_idx"), value.alias("value")))
+        src_df = ld.df
+        ord_col = self._ordinal(t).alias("ord") if with_ord else None
+        parts = self._rebalance_parts(t, ld)
+        if parts:
+            # Narrow scan of a heavy file (e.g. one row group): spread the rows
+            # before the unpivot + aggregation, which cost far more per row
+            # than the scan.  Hash on the row ordinal: deterministic, no sort.
+            keep = [F.col(f"`{src}`") for src, _, _ in ld.columns]
+            src_df = src_df.select(self._ordinal(t).alias("__ord"), *keep).repartition(parts, "__ord")
+            ord_col = F.col("__ord").alias("ord") if with_ord else None
         sel = [F.lit(table_idx).alias("table_idx")]
-        if with_ord:
-            sel.append(self._ordinal(t).alias("ord"))
-        out = ld.df.select(*sel, F.inline(F.array(*structs)))
+        if ord_col is not None:
+            sel.append(ord_col)
+        out = src_df.select(*sel, F.inline(F.array(*structs)))
         cols = ["table_idx", "col_idx", "value"] + (["ord"] if with_ord else [])
-        return out.select(*cols)
+        out = out.select(*cols)
+        return out if keep_nulls else out.where(F.col("value").isNotNull())
+
+    def _rebalance_parts(self, t: LakeTable, ld: "_Loaded") -> int:
+        """Target partitions when a table's scan is too narrow for its size, else 0.
+
+        Only files whose bytes per scan partition exceed ``rebalance_bytes``
+        are spread (to about one partition per ``rebalance_bytes``, at most the
+        default parallelism).  Tables that Spark already splits finely - the
+        normal case for large lakes - are never shuffled here."""
+        if not self.rebalance_bytes or ld.size_bytes is None:
+            return 0
+        try:
+            scan_parts = ld.df.rdd.getNumPartitions()
+        except Exception:
+            return 0
+        want = min(self.spark.sparkContext.defaultParallelism,
+                   -(-ld.size_bytes // self.rebalance_bytes))
+        return want if want > scan_parts else 0
+
+    def table_rows(self) -> DataFrame:
+        """P1 row counts ``(table_idx, n_rows)``: column-free scans, one per table."""
+        parts = [self.loaded[i].df.agg(F.count(F.lit(1)).alias("n_rows"))
+                 .select(F.lit(i).alias("table_idx"), "n_rows") for i in self.ok_indices()]
+        if not parts:
+            return self.spark.createDataFrame([], "table_idx int, n_rows bigint")
+        return reduce(DataFrame.unionByName, parts)
 
-    def cells(self, with_ord: bool = False, max_cols: int | None = None) -> DataFrame:
+    def cells(self, with_ord: bool = False, max_cols: int | None = None,
+              keep_nulls: bool = False) -> DataFrame:
         """All cells of all loaded tables (one UNION ALL of per-table scans)."""
-        parts = [self.table_cells(i, with_ord, max_cols) for i in self.ok_indices()]
+        parts = [self.table_cells(i, with_ord, max_cols, keep_nulls) for i in self.ok_indices()]
         if not parts:
-            schema = CELL_SCHEMA_DDL + (", ord struct<f:string,b:bigint,r:bigint>" if with_ord else "")
+            schema = CELL_SCHEMA_DDL + (", ord bigint" if with_ord else "")
             return self.spark.createDataFrame([], schema)
         return reduce(DataFrame.unionByName, parts)
