@@ -30,6 +30,11 @@ TABLE_TEXT_COLUMNS = 8
 EMBEDDING_DIM = 384
 NORM_EPSILON = 1e-9
 OUTPUT_DIGITS = 3
+# Scores are first rounded to this many decimals before thresholds and
+# output rounding, so that float noise from summation order (last-bit
+# differences between equivalent plans) can never flip a label or the 3rd
+# digit at an exact half.
+CLEAN_DIGITS = 12
 # Table semantic score used when no embedder is configured.
 NO_MODEL_TABLE_SCORE = 0.5
 

@@ -5,14 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakesift.config import OUTPUT_COLUMNS, OUTPUT_DIGITS, ScoreConfig
+from lakesift.config import CLEAN_DIGITS, OUTPUT_COLUMNS, OUTPUT_DIGITS, ScoreConfig
 
 SCORE_COLUMNS = ("similarity", "joinability", "unionability", "semantic_table",
                  "semantic_join", "semantic_union")
 
 
+def clean(c) -> F.Column:
+    """A score with summation-order noise removed (see ``CLEAN_DIGITS``)."""
+    return F.round(c if isinstance(c, F.Column) else F.col(c), CLEAN_DIGITS)
+
+
+def stable_round(c, digits: int) -> F.Column:
+    return F.round(clean(c), digits)
+
+
 def label(scores: DataFrame, cfg: ScoreConfig) -> DataFrame:
     """L1-L4 on unrounded scores, then L5 rounding of the six scores."""
+    scores = scores.select(*[clean(c).alias(c) if c in SCORE_COLUMNS else F.col(c)
+                             for c in scores.columns])
     is_join = ((F.col("joinability") >= cfg.join_threshold)
                & (F.col("semantic_join") >= cfg.semantic_threshold)).cast("int")
     is_union = ((F.col("unionability") >= cfg.union_threshold)
@@ -25,7 +36,7 @@ def label(scores: DataFrame, cfg: ScoreConfig) -> DataFrame:
     ).withColumn("is_ground_truth", F.greatest("is_join_gt", "is_union_gt"))
     return labelled.select(
         "q_idx", "c_idx",
-        *[F.round(F.col(c), OUTPUT_DIGITS).alias(c) if c in SCORE_COLUMNS else F.col(c)
+        *[stable_round(c, OUTPUT_DIGITS).alias(c) if c in SCORE_COLUMNS else F.col(c)
           for c in OUTPUT_COLUMNS],
     )
 

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import posixpath
 
-from lakesift.config import (CARDINALITY_WEIGHT, EMBEDDING_DIM, JACCARD_WEIGHT, NORM_EPSILON,
+from lakesift.config import (CLEAN_DIGITS, CARDINALITY_WEIGHT, EMBEDDING_DIM, JACCARD_WEIGHT, NORM_EPSILON,
                              NUMERIC_CARDINALITY_CUTOFF, OUTPUT_DIGITS, SAMPLE_VALUES,
                              SEMANTIC_GATE, SEMANTIC_THRESHOLD, TABLE_TEXT_COLUMNS, TOP_K,
                              JOIN_THRESHOLD, UNION_THRESHOLD)
@@ -198,11 +198,16 @@ class Oracle:
                     s.semantic_join, s.semantic_union
                  FROM pairs p JOIN joinability j USING (q_idx, c_idx) JOIN unionability u USING (q_idx, c_idx)
                  JOIN tsem t USING (q_idx, c_idx) JOIN semantic s USING (q_idx, c_idx)""",
+            "cscores": f"""SELECT q_idx, c_idx, round(joinability, {CLEAN_DIGITS}) AS joinability,
+                    round(unionability, {CLEAN_DIGITS}) AS unionability,
+                    round(semantic_table, {CLEAN_DIGITS}) AS semantic_table,
+                    round(semantic_join, {CLEAN_DIGITS}) AS semantic_join,
+                    round(semantic_union, {CLEAN_DIGITS}) AS semantic_union FROM scores""",
             "lab": f"""SELECT q_idx, c_idx, greatest(joinability, unionability) AS similarity, joinability,
                     unionability, semantic_table, semantic_join, semantic_union,
                     CAST(joinability >= {JOIN_THRESHOLD} AND semantic_join >= {SEMANTIC_THRESHOLD} AS INTEGER) AS is_join_gt,
                     CAST(unionability >= {UNION_THRESHOLD} AND semantic_union >= {SEMANTIC_THRESHOLD} AS INTEGER) AS is_union_gt
-                 FROM scores""",
+                 FROM cscores""",
         }
 
     def sql(self, select: str, needs: list[str]) -> str:
@@ -264,6 +269,7 @@ def _named(select_cols: str, src: str, pair: bool = True) -> str:
 
 PAIR = "qt.table_name AS query_table, ct.table_name AS candidate_table"
 R6 = 6
+C = CLEAN_DIGITS
 
 
 def queries_sql(tables: tuple[str, ...], schema_dir: str = SCHEMA_DIR) -> dict[str, str]:
@@ -278,33 +284,33 @@ def queries_sql(tables: tuple[str, ...], schema_dir: str = SCHEMA_DIR) -> dict[s
                                  "prof", pair=False), ["prof"]),
         "type_inference": (_named("t.table_name, CAST(x.col_idx AS INTEGER) AS col_idx, x.column_name, x.inferred_type",
                                   "prof", pair=False), ["prof"]),
-        "null_ratio": (_named(f"t.table_name, CAST(x.col_idx AS INTEGER) AS col_idx, round(x.null_ratio, {R6}) AS null_ratio",
+        "null_ratio": (_named(f"t.table_name, CAST(x.col_idx AS INTEGER) AS col_idx, round(round(x.null_ratio, {C}), {R6}) AS null_ratio",
                               "prof", pair=False), ["prof"]),
         "cardinality_ratio": (_named(f"t.table_name, CAST(x.col_idx AS INTEGER) AS col_idx, "
                                      f"CAST(x.n_distinct AS BIGINT) AS n_distinct, "
-                                     f"round(x.cardinality_ratio, {R6}) AS cardinality_ratio", "prof", pair=False), ["prof"]),
+                                     f"round(round(x.cardinality_ratio, {C}), {R6}) AS cardinality_ratio", "prof", pair=False), ["prof"]),
         "top_values": (_named("t.table_name, CAST(x.col_idx AS INTEGER) AS col_idx, x.value, "
                               "CAST(x.freq AS BIGINT) AS freq, CAST(x.rank AS INTEGER) AS rank", "topv", pair=False), ["topv"]),
         "column_profile": (_named(f"t.table_name, CAST(x.col_idx AS INTEGER) AS col_idx, x.column_name, x.inferred_type, "
-                                  f"round(x.cardinality_ratio, {R6}) AS cardinality_ratio, "
-                                  f"round(x.null_ratio, {R6}) AS null_ratio, CAST(x.n_values AS INTEGER) AS n_values",
+                                  f"round(round(x.cardinality_ratio, {C}), {R6}) AS cardinality_ratio, "
+                                  f"round(round(x.null_ratio, {C}), {R6}) AS null_ratio, CAST(x.n_values AS INTEGER) AS n_values",
                                   "prof", pair=False), ["prof"]),
         "table_pairs": (_named(PAIR, "pairs"), ["pairs", "tabs"]),
         "value_overlap": (_named(f"{PAIR}, CAST(x.q_col AS INTEGER) AS q_col, CAST(x.c_col AS INTEGER) AS c_col, "
                                  "CAST(x.k AS BIGINT) AS k", "ov"), ["ov", "tabs"]),
         "column_containment": (_named(f"{PAIR}, CAST(x.q_col AS INTEGER) AS q_col, CAST(x.c_col AS INTEGER) AS c_col, "
-                                      f"round(x.containment_q, {R6}) AS containment_q, "
-                                      f"round(x.containment_c, {R6}) AS containment_c", "cont"), ["cont", "tabs"]),
-        "joinability": (_named(f"{PAIR}, round(x.joinability, {R6}) AS joinability", "joinability"),
+                                      f"round(round(x.containment_q, {C}), {R6}) AS containment_q, "
+                                      f"round(round(x.containment_c, {C}), {R6}) AS containment_c", "cont"), ["cont", "tabs"]),
+        "joinability": (_named(f"{PAIR}, round(round(x.joinability, {C}), {R6}) AS joinability", "joinability"),
                         ["joinability", "tabs"]),
         "column_jaccard": (_named(f"{PAIR}, CAST(x.q_col AS INTEGER) AS q_col, CAST(x.c_col AS INTEGER) AS c_col, "
-                                  f"round(x.jaccard, {R6}) AS jaccard", "jac") + " WHERE x.type_q = x.type_c",
+                                  f"round(round(x.jaccard, {C}), {R6}) AS jaccard", "jac") + " WHERE x.type_q = x.type_c",
                            ["jac", "tabs"]),
         "column_union_similarity": (_named(f"{PAIR}, CAST(x.q_col AS INTEGER) AS q_col, CAST(x.c_col AS INTEGER) AS c_col, "
-                                           f"round(x.s, {R6}) AS similarity", "um"), ["um", "tabs"]),
+                                           f"round(round(x.s, {C}), {R6}) AS similarity", "um"), ["um", "tabs"]),
         "coverage": (_named(f"{PAIR}, CAST(x.n_q AS INTEGER) AS n_q, CAST(x.n_c AS INTEGER) AS n_c, "
-                            f"round(x.lo / x.hi, {R6}) AS coverage", "dims"), ["dims", "tabs"]),
-        "unionability": (_named(f"{PAIR}, round(x.unionability, {R6}) AS unionability", "unionability"),
+                            f"round(round(x.lo / x.hi, {C}), {R6}) AS coverage", "dims"), ["dims", "tabs"]),
+        "unionability": (_named(f"{PAIR}, round(round(x.unionability, {C}), {R6}) AS unionability", "unionability"),
                          ["unionability", "tabs"]),
         "column_sample_values": (_named("t.table_name, CAST(x.col_idx AS INTEGER) AS col_idx, "
                                         "CAST(x.pos AS INTEGER) AS pos, x.value", "samp", pair=False), ["samp"]),
@@ -313,17 +319,17 @@ def queries_sql(tables: tuple[str, ...], schema_dir: str = SCHEMA_DIR) -> dict[s
         "table_text": (_named("t.table_name, x.table_text", "tabtext", pair=False), ["tabtext"]),
         "text_embedding": (_named("t.table_name, x.bucket, CAST(x.weight AS BIGINT) AS weight", "tbag", pair=False),
                            ["tbag"]),
-        "table_semantic": (_named(f"{PAIR}, round(x.semantic_table, {R6}) AS semantic_table", "tsem"),
+        "table_semantic": (_named(f"{PAIR}, round(round(x.semantic_table, {C}), {R6}) AS semantic_table", "tsem"),
                            ["tsem", "tabs"]),
         "column_semantic": (_named(f"{PAIR}, CAST(x.q_col AS INTEGER) AS q_col, CAST(x.c_col AS INTEGER) AS c_col, "
-                                   f"round(x.s, {R6}) AS cosine", "sm"), ["sm", "tabs"]),
-        "semantic_join": (_named(f"{PAIR}, round(x.semantic_join, {R6}) AS semantic_join", "semantic"),
+                                   f"round(round(x.s, {C}), {R6}) AS cosine", "sm"), ["sm", "tabs"]),
+        "semantic_join": (_named(f"{PAIR}, round(round(x.semantic_join, {C}), {R6}) AS semantic_join", "semantic"),
                           ["semantic", "tabs"]),
-        "semantic_union": (_named(f"{PAIR}, round(x.semantic_union, {R6}) AS semantic_union", "semantic"),
+        "semantic_union": (_named(f"{PAIR}, round(round(x.semantic_union, {C}), {R6}) AS semantic_union", "semantic"),
                            ["semantic", "tabs"]),
-        "pair_labels": (_named(f"{PAIR}, round(x.similarity, {d}) AS similarity, round(x.joinability, {d}) AS joinability, "
-                               f"round(x.unionability, {d}) AS unionability, round(x.semantic_table, {d}) AS semantic_table, "
-                               f"round(x.semantic_join, {d}) AS semantic_join, round(x.semantic_union, {d}) AS semantic_union, "
+        "pair_labels": (_named(f"{PAIR}, round(round(x.similarity, {C}), {d}) AS similarity, round(round(x.joinability, {C}), {d}) AS joinability, "
+                               f"round(round(x.unionability, {C}), {d}) AS unionability, round(round(x.semantic_table, {C}), {d}) AS semantic_table, "
+                               f"round(round(x.semantic_join, {C}), {d}) AS semantic_join, round(round(x.semantic_union, {C}), {d}) AS semantic_union, "
                                "x.is_join_gt, x.is_union_gt, greatest(x.is_join_gt, x.is_union_gt) AS is_ground_truth",
                                "lab"), ["lab", "tabs"]),
         "label_summary": ("SELECT CAST(sum(greatest(is_join_gt, is_union_gt)) AS BIGINT) AS positive_pairs, "
@@ -346,7 +352,7 @@ WITH el AS (
   SELECT label, sum(m * m) AS cc FROM centroid GROUP BY ALL
 )
 SELECT p.vec_id, p.label,
-       round(CASE WHEN sqrt(p.vv) < {NORM_EPSILON} OR sqrt(cn.cc) < {NORM_EPSILON} THEN 0.0
-                  ELSE greatest(0.0, least(1.0, p.dot / (sqrt(p.vv) * sqrt(cn.cc)))) END, 6) AS cosine
+       round(round(CASE WHEN sqrt(p.vv) < {NORM_EPSILON} OR sqrt(cn.cc) < {NORM_EPSILON} THEN 0.0
+                  ELSE greatest(0.0, least(1.0, p.dot / (sqrt(p.vv) * sqrt(cn.cc)))) END, 12), 6) AS cosine
 FROM parts p JOIN cn USING (label)
 """

@@ -54,7 +54,7 @@ def _pair_names(st: LakeState, df: DataFrame) -> DataFrame:
 
 
 def _r(c: str, digits: int = D6) -> F.Column:
-    return F.round(F.col(c), digits).alias(c)
+    return lb.stable_round(c, digits).alias(c)
 
 
 # -- sources / reshape ----------------------------------------------------------
@@ -244,7 +244,7 @@ def q_vector_cosine(spark, sf_dir):
     nv = F.sqrt(sm.dot(F.col("embedding"), F.col("embedding")))
     nc = F.sqrt(sm.dot(F.col("centroid"), F.col("centroid")))
     cos = sm.clamped_cosine(sm.dot(F.col("embedding"), F.col("centroid")), nv, nc)
-    return j.select("vec_id", "label", F.round(cos, D6).alias("cosine"))
+    return j.select("vec_id", "label", lb.stable_round(cos, D6).alias("cosine"))
 
 
 def q_table_semantic(spark, sf_dir):
