@@ -15,6 +15,8 @@ the pair alignment kernel with one matrix product per table pair.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -167,3 +169,23 @@ def table_semantic(pairs: DataFrame, table_vecs: DataFrame | None, n_tables: int
             .select("q_idx", "c_idx",
                     clamped_cosine(dot(F.col("vq"), F.col("vc")), F.col("nq"), F.col("nc"))
                     .alias("semantic_table")))
+
+
+# -- model embedder -------------------------------------------------------------
+
+def model_vectors(texts: DataFrame, keys: list[str], text_col: str, embed_batch) -> DataFrame:
+    """E4 with a user model: ``embed_batch(list[str]) -> sequence of vectors``.
+
+    Runs as an Arrow-batched pandas UDF, so the model is called once per
+    batch of texts in each Python worker (load it lazily inside
+    ``embed_batch``).  Returns ``(keys..., vec array<float>, norm double)``."""
+    import numpy as np
+    import pandas as pd
+
+    @F.pandas_udf("array<float>")
+    def encode(s: pd.Series) -> pd.Series:
+        out = embed_batch(s.tolist())
+        return pd.Series([np.asarray(v, dtype=np.float32).tolist() for v in out])
+
+    v = texts.select(*keys, encode(F.col(text_col)).alias("vec"))
+    return v.select(*keys, "vec", F.sqrt(dot(F.col("vec"), F.col("vec"))).alias("norm"))

@@ -111,21 +111,38 @@ class LakeState:
     def hashed(self) -> bool:
         return self.cfg.embedder == "hashed"
 
+    @property
+    def model(self):
+        e = self.cfg.embedder
+        return e if callable(e) else None
+
     @property
     def table_vectors(self) -> DataFrame | None:
-        if not self.hashed:
+        """E3+E4 per table; None without an embedder (E6 then scores 0.5)."""
+        def build():
+            if self.hashed:
+                bags = sm.table_bags(self.tables, self.profiles, self.samples, self.cfg, self.value_bags)
+                return self._cut(sm.dense(bags, ["table_idx"], self.cfg.embedding_dim))
+            if self.model is not None:
+                ship_package(self.spark)
+                texts = sm.table_texts(self.tables, self.profiles, self.samples, self.cfg)
+                return self._cut(sm.model_vectors(texts, ["table_idx"], "table_text", self.model))
             return None
-        return self._get("table_vectors", lambda: self._cut(sm.dense(
-            sm.table_bags(self.tables, self.profiles, self.samples, self.cfg, self.value_bags),
-            ["table_idx"], self.cfg.embedding_dim)))
+        return self._get("table_vectors", build)
 
     @property
     def column_vectors(self) -> DataFrame | None:
-        if not self.hashed:
+        """E2+E4 (E7) per column; None without an embedder (E11: scores 0)."""
+        def build():
+            if self.hashed:
+                bags = sm.column_bags(self.profiles, self.samples, self.cfg, self.value_bags)
+                return self._cut(sm.dense(bags, ["table_idx", "col_idx"], self.cfg.embedding_dim))
+            if self.model is not None:
+                ship_package(self.spark)
+                texts = sm.column_texts(self.profiles, self.samples)
+                return self._cut(sm.model_vectors(texts, ["table_idx", "col_idx"], "column_text", self.model))
             return None
-        return self._get("column_vectors", lambda: self._cut(sm.dense(
-            sm.column_bags(self.profiles, self.samples, self.cfg, self.value_bags),
-            ["table_idx", "col_idx"], self.cfg.embedding_dim)))
+        return self._get("column_vectors", build)
 
     @property
     def table_semantic(self) -> DataFrame:
@@ -150,7 +167,7 @@ class LakeState:
         if semantic:
             feats = feats.join(self.column_vectors.select("table_idx", "col_idx", F.col("vec").alias("emb")),
                                ["table_idx", "col_idx"], "left")
-            per_col_bytes += 4 * cfg.embedding_dim
+            per_col_bytes += 4 * cfg.embedding_dim + 64
             gated = self.table_semantic.select(
                 "q_idx", "c_idx", (F.col("semantic_table") >= cfg.semantic_gate).alias("gated"))
             pairs = gated

@@ -121,3 +121,22 @@ def test_query_prefix_and_candidate_cap(spark, lake_dir):
     st = LakeState(lake, ScoreConfig(num_queries=1))
     got = sorted((r.query_table, r.candidate_table) for r in st.labels().collect())
     assert got == [("a.csv", "a.csv"), ("a.csv", "c.csv"), ("a.csv", "d.csv")]
+
+
+def test_csv_sink_header_and_order(spark, lake_dir, tmp_path):
+    from lakesift.config import OUTPUT_COLUMNS
+    from lakesift.operators import labels as lb
+
+    for name in ("t1", "t2"):
+        write_csv(lake_dir / f"{name}.csv", ["x", "y"], [["1", "a"], ["2", "b"], ["2", "c"]])
+    st = LakeState(Lake.from_folder(spark, str(lake_dir), fmt="csv"), ScoreConfig())
+    out = str(tmp_path / "out")
+    lb.write_labels(st.labels(), out)
+    import glob
+
+    files = sorted(glob.glob(out + "/part-*.csv"))
+    lines = [ln for f in files for ln in open(f).read().splitlines()]
+    assert lines[0] == ",".join(OUTPUT_COLUMNS)
+    body = [ln for ln in lines if not ln.startswith("query_table")]
+    assert [ln.split(",")[:2] for ln in body] == [["t1.csv", "t1.csv"], ["t1.csv", "t2.csv"],
+                                                 ["t2.csv", "t1.csv"], ["t2.csv", "t2.csv"]]

@@ -122,3 +122,26 @@ def test_entry_smoke(spark):
                           "semantic_table", "semantic_join", "semantic_union", "is_join_gt",
                           "is_union_gt", "is_ground_truth"]
     assert df.count() == 169
+
+
+def test_model_embedder_hook_and_no_model(spark):
+    def letter_counts(texts):
+        # toy model (local, so it is shipped by value): 26 letter counts per text
+        out = []
+        for t in texts:
+            v = [0.0] * 26
+            for ch in t.lower():
+                if "a" <= ch <= "z":
+                    v[ord(ch) - 97] += 1.0
+            out.append(v)
+        return out
+
+    lake = Lake.from_paths(spark, Q.lake_paths(SF)[:3])
+    st = LakeState(lake, ScoreConfig(embedder=letter_counts))
+    rows = st.labels().collect()
+    assert len(rows) == 9
+    assert all(r.semantic_table > 0.5 for r in rows if r.query_table == r.candidate_table)
+    st0 = LakeState(lake, ScoreConfig(embedder="none"))
+    rows0 = st0.labels().collect()
+    assert {r.semantic_table for r in rows0} == {0.5}
+    assert {r.semantic_join for r in rows0} == {0.0} and {r.is_ground_truth for r in rows0} == {0}
