@@ -65,8 +65,14 @@ def null_tokens_to_null(c: Column) -> Column:
     return F.when(c.isin(*NA_TOKENS), F.lit(None).cast("string")).otherwise(c)
 
 
+STRIP_CHAR_PATTERN = r"^[\t\n\x{0B}\f\r\x{1C}-\x{1F}\x{85}\p{Z}]$"
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, STRIP_PATTERN, "")
+    """Remove leading/trailing white space.  The regex runs only when the first
+    or last character is white space, so long texts are not scanned."""
+    edge = F.substring(c, 1, 1).rlike(STRIP_CHAR_PATTERN) | F.substring(c, -1, 1).rlike(STRIP_CHAR_PATTERN)
+    return F.when(edge, F.regexp_replace(c, STRIP_PATTERN, "")).otherwise(c)
 
 
 def normalize_value(c: Column) -> Column:

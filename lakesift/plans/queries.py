@@ -34,7 +34,12 @@ def lake_paths(sf_dir: str) -> list[str]:
 
 
 def state(spark: SparkSession, sf_dir: str, cfg: ScoreConfig | None = None,
-          materialize: bool = False) -> LakeState:
+          materialize: bool = True) -> LakeState:
+    """The lake state shared by all queries of one session and lake.
+
+    Materialised: the profile job (one scan, one raw shuffle) runs once and
+    writes its small outputs to the checkpoint folder; every query reads
+    them instead of re-planning the scan."""
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), repr(cfg), materialize)
     if key not in _STATES:
         lake = Lake.from_paths(spark, lake_paths(sf_dir))
