@@ -145,3 +145,27 @@ def test_model_embedder_hook_and_no_model(spark):
     rows0 = st0.labels().collect()
     assert {r.semantic_table for r in rows0} == {0.5}
     assert {r.semantic_join for r in rows0} == {0.0} and {r.is_ground_truth for r in rows0} == {0}
+
+
+def _rows(df, cols):
+    return sorted(tuple(r[c] for c in cols) for r in df.collect())
+
+
+def test_hot_value_salting_gives_the_same_overlap(spark):
+    lake = Lake.from_paths(spark, Q.lake_paths(SF))
+    plain = LakeState(lake, ScoreConfig(value_salt_buckets=1))
+    # every value counts as hot and is split over 3 x 3 salt slices
+    salted = LakeState(lake, ScoreConfig(hot_value_postings=0, value_salt_buckets=3))
+    cols = ["q_idx", "c_idx", "q_col", "c_col", "k"]
+    assert _rows(plain.overlap, cols) == _rows(salted.overlap, cols)
+    plan = salted.overlap._jdf.queryExecution().optimizedPlan().toString()
+    assert "salt_q" in plan and "salt_c" in plan
+
+
+def test_no_broadcast_fallback_gives_the_same_scores(spark):
+    lake = Lake.from_paths(spark, Q.lake_paths(SF)[:6])
+    a = LakeState(lake, ScoreConfig())
+    b = LakeState(lake, ScoreConfig(broadcast_limit_bytes=0))
+    cols = ["query_table", "candidate_table", "joinability", "unionability", "semantic_table",
+            "semantic_join", "semantic_union", "is_ground_truth"]
+    assert _rows(a.labels(), cols) == _rows(b.labels(), cols)
