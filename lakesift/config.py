@@ -77,3 +77,7 @@ class ScoreConfig:
     value_salt_buckets: int = 8
     # Largest dimension table (estimated bytes) that is broadcast.
     broadcast_limit_bytes: int = 64 << 20
+    # Tables per profile job: a lake with more tables is profiled in batches
+    # whose small outputs are appended to one table in the checkpoint folder,
+    # so no single plan unions more than this many table scans.
+    profile_batch_tables: int = 256

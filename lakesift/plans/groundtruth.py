@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from lakesift.config import ScoreConfig
 from lakesift.operators import align, joinability as jn, labels as lb, pairs as pr
 from lakesift.operators import profile as pf, semantic as sm
-from lakesift.plans.util import cut_lineage, maybe_broadcast, ship_package
+from lakesift.plans.util import cut_lineage, maybe_broadcast, scratch_path, ship_package
 from lakesift.sources.lake import Lake
 
 
@@ -67,13 +67,26 @@ class LakeState:
     def raw(self) -> DataFrame:
         return self._get("raw", lambda: pf.raw_value_counts(self.lake.cells(with_ord=True)))
 
+    def _bundle(self, subset: list[int] | None) -> DataFrame:
+        raw = self.raw if subset is None else pf.raw_value_counts(
+            self.lake.cells(with_ord=True, subset=subset))
+        return pf.bundle(raw, self.lake.table_rows(subset), self.cfg,
+                         samples=sm.sample_values(raw, self.cfg))
+
     def _profile_outputs(self):
         def build():
             if self.materialize:
-                # one job: a single scan + shuffle of ``raw`` feeds stats, top-k
-                # and samples; only the small bundle is written
-                b = cut_lineage(pf.bundle(self.raw, self.lake.table_rows(), self.cfg,
-                                          samples=sm.sample_values(self.raw, self.cfg)))
+                # one job per batch of tables: a single scan + shuffle of ``raw``
+                # feeds stats, top-k and samples; only the small bundle is written
+                ok = self.lake.ok_indices()
+                size = max(1, self.cfg.profile_batch_tables)
+                if len(ok) <= size:
+                    b = cut_lineage(self._bundle(None))
+                else:
+                    path = scratch_path(self.spark, "profile")
+                    for start in range(0, len(ok), size):
+                        self._bundle(ok[start:start + size]).write.mode("append").parquet(path)
+                    b = self.spark.read.parquet(path)
                 return pf.split_bundle(b, self.columns)
             return (pf.profile(self.raw, self.columns, self.lake.table_rows(), self.cfg),
                     sm.sample_values(self.raw, self.cfg))

@@ -71,3 +71,11 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, os.path.dirname(root)))
     sc.addPyFile(zpath)
     _SHIPPED.add(app)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the checkpoint folder for a written stage table."""
+    import uuid
+
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{base}/lakesift-{name}-{uuid.uuid4().hex}"

@@ -246,18 +246,21 @@ class Lake:
                    -(-ld.size_bytes // self.rebalance_bytes))
         return want if want > scan_parts else 0
 
-    def table_rows(self) -> DataFrame:
+    def table_rows(self, subset: list[int] | None = None) -> DataFrame:
         """P1 row counts ``(table_idx, n_rows)``: column-free scans, one per table."""
+        idx = self.ok_indices() if subset is None else subset
         parts = [self.loaded[i].df.agg(F.count(F.lit(1)).alias("n_rows"))
-                 .select(F.lit(i).alias("table_idx"), "n_rows") for i in self.ok_indices()]
+                 .select(F.lit(i).alias("table_idx"), "n_rows") for i in idx]
         if not parts:
             return self.spark.createDataFrame([], "table_idx int, n_rows bigint")
         return reduce(DataFrame.unionByName, parts)
 
     def cells(self, with_ord: bool = False, max_cols: int | None = None,
-              keep_nulls: bool = False) -> DataFrame:
-        """All cells of all loaded tables (one UNION ALL of per-table scans)."""
-        parts = [self.table_cells(i, with_ord, max_cols, keep_nulls) for i in self.ok_indices()]
+              keep_nulls: bool = False, subset: list[int] | None = None) -> DataFrame:
+        """Cells of the loaded tables (``subset`` or all): one UNION ALL of
+        per-table scans."""
+        idx = self.ok_indices() if subset is None else subset
+        parts = [self.table_cells(i, with_ord, max_cols, keep_nulls) for i in idx]
         if not parts:
             schema = CELL_SCHEMA_DDL + (", ord bigint" if with_ord else "")
             return self.spark.createDataFrame([], schema)

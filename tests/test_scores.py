@@ -169,3 +169,15 @@ def test_no_broadcast_fallback_gives_the_same_scores(spark):
     cols = ["query_table", "candidate_table", "joinability", "unionability", "semantic_table",
             "semantic_join", "semantic_union", "is_ground_truth"]
     assert _rows(a.labels(), cols) == _rows(b.labels(), cols)
+
+
+def test_profile_in_table_batches_equals_one_job(spark):
+    lake = Lake.from_paths(spark, Q.lake_paths(SF))
+    one = LakeState(lake, ScoreConfig(), materialize=True)
+    batched = LakeState(lake, ScoreConfig(profile_batch_tables=4), materialize=True)
+    cols = ["table_idx", "col_idx", "inferred_type", "n_rows", "n_non_null", "n_distinct", "n_values"]
+    assert _rows(one.profiles.columns, cols) == _rows(batched.profiles.columns, cols)
+    vcols = ["table_idx", "col_idx", "value", "freq", "rank"]
+    assert _rows(one.profiles.values, vcols) == _rows(batched.profiles.values, vcols)
+    scols = ["table_idx", "col_idx", "value", "pos"]
+    assert _rows(one.samples, scols) == _rows(batched.samples, scols)
