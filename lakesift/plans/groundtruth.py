@@ -207,8 +207,14 @@ class LakeState:
             ov_cols.append(F.lit(None).cast("array<float>").alias("emb"))
         ship_package(self.spark)
         rows = side(0, "q_idx").unionByName(side(1, "c_idx")).unionByName(self.overlap.select(*ov_cols))
-        return rows.groupBy("q_idx", "c_idx").applyInPandas(align.score_pair_group,
-                                                             align.PAIR_SCORE_SCHEMA)
+        # Spread pairs over Python workers: the input rows are few per pair, so
+        # AQE would coalesce them into one task; the partition count grows with
+        # the number of pairs instead (groupBy reuses this partitioning).
+        n_ok = len(self.lake.ok_indices())
+        n_pairs = n_ok * (n_ok + 1) // 2
+        parts = max(self.spark.sparkContext.defaultParallelism, -(-n_pairs // cfg.pairs_per_task))
+        return (rows.repartition(parts, "q_idx", "c_idx")
+                .groupBy("q_idx", "c_idx").applyInPandas(align.score_pair_group, align.PAIR_SCORE_SCHEMA))
 
     @property
     def unionability(self) -> DataFrame:
