@@ -129,13 +129,28 @@ class LakeState:
         e = self.cfg.embedder
         return e if callable(e) else None
 
+    def _hashed_vectors(self) -> tuple[DataFrame, DataFrame]:
+        """Table and column vectors of the hashed embedder, materialised in one
+        job (both share the token aggregation of the sample values)."""
+        def build():
+            dim = self.cfg.embedding_dim
+            tv = sm.dense(sm.table_bags(self.tables, self.profiles, self.samples, self.cfg, self.value_bags),
+                          ["table_idx"], dim)
+            cv = sm.dense(sm.column_bags(self.profiles, self.samples, self.cfg, self.value_bags),
+                          ["table_idx", "col_idx"], dim)
+            if not self.materialize:
+                return tv, cv
+            both = cut_lineage(tv.withColumn("col_idx", F.lit(-1)).unionByName(cv))
+            return (both.where(F.col("col_idx") == -1).drop("col_idx"),
+                    both.where(F.col("col_idx") >= 0))
+        return self._get("hashed_vectors", build)
+
     @property
     def table_vectors(self) -> DataFrame | None:
         """E3+E4 per table; None without an embedder (E6 then scores 0.5)."""
         def build():
             if self.hashed:
-                bags = sm.table_bags(self.tables, self.profiles, self.samples, self.cfg, self.value_bags)
-                return self._cut(sm.dense(bags, ["table_idx"], self.cfg.embedding_dim))
+                return self._hashed_vectors()[0]
             if self.model is not None:
                 ship_package(self.spark)
                 texts = sm.table_texts(self.tables, self.profiles, self.samples, self.cfg)
@@ -148,8 +163,7 @@ class LakeState:
         """E2+E4 (E7) per column; None without an embedder (E11: scores 0)."""
         def build():
             if self.hashed:
-                bags = sm.column_bags(self.profiles, self.samples, self.cfg, self.value_bags)
-                return self._cut(sm.dense(bags, ["table_idx", "col_idx"], self.cfg.embedding_dim))
+                return self._hashed_vectors()[1]
             if self.model is not None:
                 ship_package(self.spark)
                 texts = sm.column_texts(self.profiles, self.samples)

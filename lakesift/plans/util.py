@@ -53,7 +53,10 @@ _SHIPPED: set[str] = set()
 def ship_package(spark: SparkSession) -> None:
     """Make ``lakesift`` importable in Python workers (like ``--py-files``).
 
-    Needed for the grouped pandas kernels; done once per application."""
+    Needed for the grouped pandas kernels; done once per application.  The
+    package is zipped in memory and written to the session's checkpoint
+    folder (shared storage on a cluster), from where Spark distributes it."""
+    import io
     import os
     import zipfile
 
@@ -62,14 +65,22 @@ def ship_package(spark: SparkSession) -> None:
     if app in _SHIPPED:
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    zpath = os.path.join(tempfile.mkdtemp(prefix="lakesift-pyfiles-"), "lakesift.zip")
-    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
         for dirpath, _, files in os.walk(root):
             for f in files:
                 if f.endswith(".py"):
                     full = os.path.join(dirpath, f)
                     z.write(full, os.path.relpath(full, os.path.dirname(root)))
-    sc.addPyFile(zpath)
+    dst = scratch_path(spark, "pyfiles") + "/lakesift.zip"
+    jvm = sc._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(dst)
+    out = hpath.getFileSystem(sc._jsc.hadoopConfiguration()).create(hpath, True)
+    try:
+        out.write(bytearray(buf.getvalue()))
+    finally:
+        out.close()
+    sc.addPyFile(dst)
     _SHIPPED.add(app)
 
 
