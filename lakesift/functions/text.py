@@ -57,6 +57,9 @@ def cell_text(name: str, dtype: T.DataType) -> Column:
         return F.to_json(c)
     if isinstance(dtype, (T.StringType, T.VarcharType, T.CharType)):
         return c
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        # a floating NaN is a missing value, like a null
+        return F.when(F.isnan(c), F.lit(None).cast("string")).otherwise(c.cast("string"))
     return c.cast("string")
 
 

@@ -31,6 +31,13 @@ def _lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+def _cell(col: str, kind: str) -> str:
+    """Cell text; a floating NaN counts as missing."""
+    if kind == "float":
+        return f"CASE WHEN isnan(\"{col}\") THEN NULL ELSE CAST(\"{col}\" AS VARCHAR) END"
+    return f"CAST(\"{col}\" AS VARCHAR)"
+
+
 def _src_class(arrow_type) -> str:
     import pyarrow as pa
 
@@ -42,6 +49,12 @@ def _src_class(arrow_type) -> str:
     return "other"
 
 
+def _is_float(arrow_type) -> bool:
+    import pyarrow as pa
+
+    return pa.types.is_floating(arrow_type)
+
+
 def lake_spec(tables: tuple[str, ...], schema_dir: str = SCHEMA_DIR) -> list[tuple[str, str, list[tuple[str, str]]]]:
     """[(view, file name, [(column, src_class)])] in path order."""
     import pyarrow.parquet as pq
@@ -49,7 +62,8 @@ def lake_spec(tables: tuple[str, ...], schema_dir: str = SCHEMA_DIR) -> list[tup
     out = []
     for view in sorted(tables, key=lambda t: f"{t}.parquet"):
         schema = pq.read_schema(posixpath.join(schema_dir, f"{view}.parquet"))
-        out.append((view, f"{view}.parquet", [(f.name, _src_class(f.type)) for f in schema]))
+        out.append((view, f"{view}.parquet",
+                    [(f.name, "float" if _is_float(f.type) else _src_class(f.type)) for f in schema]))
     return out
 
 
@@ -63,11 +77,11 @@ class Oracle:
         cells = []
         for ti, (view, _, cols) in enumerate(spec):
             items = ", ".join(
-                f"struct_pack(col_idx := {ci}, value := CAST(\"{c}\" AS VARCHAR))" for ci, (c, _) in enumerate(cols))
+                f"struct_pack(col_idx := {ci}, value := {_cell(c, k)})" for ci, (c, k) in enumerate(cols))
             cells.append(f"SELECT {ti} AS table_idx, ord, unnest([{items}]) AS s "
                          f"FROM (SELECT row_number() OVER () AS ord, * FROM {view})")
         tabs = ", ".join(f"({ti}, {_lit(name)}, {len(cols)})" for ti, (_, name, cols) in enumerate(spec))
-        coldim = ", ".join(f"({ti}, {ci}, {_lit(c)}, {_lit(k)})"
+        coldim = ", ".join(f"({ti}, {ci}, {_lit(c)}, {_lit('numeric' if k == 'float' else k)})"
                            for ti, (_, _, cols) in enumerate(spec) for ci, (c, k) in enumerate(cols))
         num, strip, split = _lit(NUMERIC_PATTERN), _lit(STRIP_PATTERN), _lit(TOKEN_SPLIT_PATTERN)
         dim = EMBEDDING_DIM

@@ -140,3 +140,17 @@ def test_csv_sink_header_and_order(spark, lake_dir, tmp_path):
     body = [ln for ln in lines if not ln.startswith("query_table")]
     assert [ln.split(",")[:2] for ln in body] == [["t1.csv", "t1.csv"], ["t1.csv", "t2.csv"],
                                                  ["t2.csv", "t1.csv"], ["t2.csv", "t2.csv"]]
+
+
+def test_float_nan_is_missing(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    d = tmp_path / "pq"
+    d.mkdir()
+    pq.write_table(pa.table({"x": pa.array([1.5, float("nan"), None, 2.0], pa.float64()),
+                             "s": pa.array(["a", "b", "c", "d"])}), str(d / "t.parquet"))
+    st = LakeState(Lake.from_folder(spark, str(d), fmt="parquet"), ScoreConfig())
+    x = {r.column_name: r for r in st.profiles.columns.collect()}["x"]
+    assert (x.n_rows, x.n_non_null, x.inferred_type, x.n_values) == (4, 2, "numeric", 2)
+    assert abs(x.null_ratio - 0.5) < 1e-12
