@@ -81,6 +81,7 @@ class ScoreConfig:
     # whose small outputs are appended to one table in the checkpoint folder,
     # so no single plan unions more than this many table scans.
     profile_batch_tables: int = 256
-    # Table pairs per pair-kernel task (the kernel's partition count is
-    # pairs / pairs_per_task, at least the default parallelism).
-    pairs_per_task: int = 4096
+    # Pair kernel blocking: tables per block (a group scores all pairs of two
+    # blocks) and block pairs per task.
+    pair_block_tables: int = 32
+    blocks_per_task: int = 4

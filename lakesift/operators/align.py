@@ -1,13 +1,13 @@
 """Optimal one-to-one column alignment (U5, E10) as a grouped Spark job.
 
 The per-pair matrices are small (columns of two tables) but there are many
-pairs, so the work is parallel over pairs: rows of *all* pairs are shuffled
-by pair and each group is solved by an exact maximum-weight assignment in
-numpy (shortest augmenting paths with dual potentials, O(n^2 m)).
-
-The pair group receives only ``n_q + n_c`` column rows plus the non-zero
-overlap counts; the dense matrices are built inside the task, so no column
-cross product is ever materialised by Spark.
+pairs, so the work is parallel over pairs.  Pairs are grouped in blocks: a
+group holds the column rows of two blocks of tables (each sent once per
+block pair, not once per table pair), the pairs to score and their non-zero
+overlap counts.  Dense matrices are built inside the task - no column cross
+product is materialised by Spark - and solved by an exact maximum-weight
+assignment in numpy (shortest augmenting paths with dual potentials,
+O(n^2 m)).
 """
 
 from __future__ import annotations
@@ -117,29 +117,25 @@ PAIR_SCORE_SCHEMA = ("q_idx int, c_idx int, n_q int, n_c int, union_total double
                      "unionability double, semantic_join double, semantic_union double")
 
 
-def score_pair_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Kernel for one table pair.
+def score_one(q_idx: int, c_idx: int, cq: pd.DataFrame, cc: pd.DataFrame,
+              kk: pd.DataFrame | None, semantic: bool) -> dict:
+    """U1-U8 and E8-E10 for one table pair.
 
-    Input rows: ``side`` 0 (query column), 1 (candidate column) with
-    ``col, type_code, card, n_values, emb``; ``side`` 2 with ``col`` (query
-    column), ``col2`` (candidate column) and ``k``.  For a self pair only
-    ``col <= col2`` overlaps are present; the matrix is mirrored.
-    """
-    q_idx = int(pdf["q_idx"].iat[0])
-    c_idx = int(pdf["c_idx"].iat[0])
-    side = pdf["side"].to_numpy()
-    cq = pdf[side == 0].sort_values("col")
-    cc = pdf[side == 1].sort_values("col")
-    kk = pdf[side == 2]
+    ``cq`` / ``cc``: the columns of the two tables (``col, type_code, card,
+    n_values[, emb]``); ``kk``: their non-zero overlaps (``col`` of the query
+    table, ``col2`` of the candidate, ``k``).  For a self pair only
+    ``col <= col2`` overlaps are given; the matrix is mirrored."""
+    cq = cq.sort_values("col")
+    cc = cc.sort_values("col")
     n_q, n_c = len(cq), len(cc)
     out = dict(q_idx=q_idx, c_idx=c_idx, n_q=n_q, n_c=n_c, union_total=0.0,
                unionability=0.0, semantic_join=0.0, semantic_union=0.0)
     if n_q == 0 or n_c == 0:
-        return pd.DataFrame([out])
+        return out
     pos_q = {int(c): i for i, c in enumerate(cq["col"].to_numpy())}
     pos_c = {int(c): j for j, c in enumerate(cc["col"].to_numpy())}
     k = np.zeros((n_q, n_c))
-    if len(kk):
+    if kk is not None and len(kk):
         ii = np.array([pos_q[int(x)] for x in kk["col"].to_numpy()], dtype=np.int64)
         jj = np.array([pos_c[int(x)] for x in kk["col2"].to_numpy()], dtype=np.int64)
         kv = kk["k"].to_numpy(dtype=np.float64)
@@ -154,7 +150,7 @@ def score_pair_group(pdf: pd.DataFrame) -> pd.DataFrame:
     out["union_total"] = total
     # U6 x U7: mean aligned similarity times coverage
     out["unionability"] = (total / lo) * (lo / hi)
-    if "emb" in pdf.columns:
+    if semantic and "emb" in cq.columns:
         eq_rows = cq["emb"].to_numpy()
         ec_rows = cc["emb"].to_numpy()
         if all(e is not None for e in eq_rows) and all(e is not None for e in ec_rows):
@@ -164,4 +160,30 @@ def score_pair_group(pdf: pd.DataFrame) -> pd.DataFrame:
             out["semantic_join"] = float(sem.max())
             stotal, _, _ = max_assignment(sem)
             out["semantic_union"] = stotal / lo
-    return pd.DataFrame([out])
+    return out
+
+
+# Row kinds of a block group.
+KIND_COLUMN, KIND_PAIR, KIND_OVERLAP = 0, 2, 3
+
+
+def score_block_group(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Kernel for one block pair (tables ``bq*B .. bq*B+B-1`` x ``bc*B ..``).
+
+    Rows: ``kind`` 0 = a column of a table of either block (sent once per
+    block pair, with its embedding when a pair of the block passes the gate),
+    2 = a table pair of the block to score (``gated``), 3 = a non-zero overlap.
+    Each table's columns travel once per block pair instead of once per
+    table pair."""
+    kind = pdf["kind"].to_numpy()
+    cols = pdf[kind == KIND_COLUMN]
+    tables = {int(t): g for t, g in cols.groupby("table_idx")}
+    ov = pdf[kind == KIND_OVERLAP]
+    overlaps = {(int(q), int(c)): g for (q, c), g in ov.groupby(["q_idx", "c_idx"])} if len(ov) else {}
+    empty = cols.iloc[0:0]
+    out = []
+    for q, c, gated in pdf.loc[kind == KIND_PAIR, ["q_idx", "c_idx", "gated"]].itertuples(index=False):
+        q, c = int(q), int(c)
+        out.append(score_one(q, c, tables.get(q, empty), tables.get(c, empty),
+                             overlaps.get((q, c)), bool(gated)))
+    return pd.DataFrame(out, columns=[f.split()[0] for f in PAIR_SCORE_SCHEMA.split(", ")])

@@ -184,8 +184,26 @@ class LakeState:
         return self._get(key, lambda: self._pair_scores(with_semantic))
 
     def _pair_scores(self, with_semantic: bool) -> DataFrame:
+        """Stage 5 as a blocked grouped map.
+
+        Tables are cut into blocks of ``pair_block_tables``; one group per
+        block pair ``(bq <= bc)`` receives the column rows of the tables of
+        both blocks once (with embeddings only if a pair of the block passes
+        the gate), its table pairs and their non-zero overlaps, and scores all
+        its pairs.  A table's columns are shipped N / B times instead of N
+        times (once per pair), and a group holds at most 2 B tables' columns."""
         cfg = self.cfg
+        bsize = max(1, int(cfg.pair_block_tables))
         semantic = with_semantic and self.column_vectors is not None
+        if semantic:
+            pairs = self.table_semantic.select(
+                "q_idx", "c_idx", (F.col("semantic_table") >= cfg.semantic_gate).alias("gated"))
+        else:
+            pairs = self.pairs.withColumn("gated", F.lit(False))
+        blk = lambda c: F.floor(F.col(c) / bsize).cast("int")
+        pairs = pairs.withColumn("bq", blk("q_idx")).withColumn("bc", blk("c_idx"))
+        blocks = pairs.groupBy("bq", "bc").agg(F.max(F.col("gated").cast("int")).alias("any_gated"))
+
         feats = self.profiles.columns.select(
             "table_idx", "col_idx",
             F.when(F.col("inferred_type") == "numeric", 0).otherwise(1).alias("type_code"),
@@ -195,40 +213,52 @@ class LakeState:
             feats = feats.join(self.column_vectors.select("table_idx", "col_idx", F.col("vec").alias("emb")),
                                ["table_idx", "col_idx"], "left")
             per_col_bytes += 4 * cfg.embedding_dim + 64
-            gated = self.table_semantic.select(
-                "q_idx", "c_idx", (F.col("semantic_table") >= cfg.semantic_gate).alias("gated"))
-            pairs = gated
-        else:
-            pairs = self.pairs.withColumn("gated", F.lit(False))
-        feats = maybe_broadcast(feats, per_col_bytes * self.n_columns, cfg.broadcast_limit_bytes)
-
-        def side(n: int, key: str) -> DataFrame:
-            f = feats.withColumnRenamed("table_idx", key)
-            j = pairs.join(f, key)
-            cols = [F.col("q_idx"), F.col("c_idx"), F.lit(n).alias("side"),
-                    F.col("col_idx").alias("col"), F.lit(None).cast("int").alias("col2"),
-                    "type_code", "card", "n_values", F.lit(None).cast("long").alias("k")]
+        feats = maybe_broadcast(feats.withColumn("blk", blk("table_idx")),
+                                per_col_bytes * self.n_columns, cfg.broadcast_limit_bytes)
+
+        null_i, null_l = F.lit(None).cast("int"), F.lit(None).cast("long")
+
+        def columns_of(block_col: str, only_distinct: bool) -> DataFrame:
+            b = blocks.where(F.col("bq") != F.col("bc")) if only_distinct else blocks
+            j = b.join(feats, F.col(block_col) == F.col("blk"))
+            cols = [F.col("bq"), F.col("bc"), F.lit(align.KIND_COLUMN).alias("kind"),
+                    F.col("table_idx"), null_i.alias("q_idx"), null_i.alias("c_idx"),
+                    F.col("col_idx").alias("col"), null_i.alias("col2"),
+                    "type_code", "card", "n_values", null_l.alias("k"),
+                    F.lit(None).cast("boolean").alias("gated")]
             if semantic:
-                # embeddings travel only for pairs that pass the gate
-                cols.append(F.when(F.col("gated"), F.col("emb")).alias("emb"))
+                # embeddings travel only to blocks with a pair past the gate
+                cols.append(F.when(F.col("any_gated") == 1, F.col("emb")).alias("emb"))
             return j.select(*cols)
 
-        ov_cols = [F.col("q_idx"), F.col("c_idx"), F.lit(2).alias("side"),
-                   F.col("q_col").alias("col"), F.col("c_col").alias("col2"),
-                   F.lit(None).cast("int").alias("type_code"), F.lit(None).cast("double").alias("card"),
-                   F.lit(None).cast("int").alias("n_values"), F.col("k")]
-        if semantic:
-            ov_cols.append(F.lit(None).cast("array<float>").alias("emb"))
+        def shaped(df: DataFrame, kind: int, **given) -> DataFrame:
+            base = dict(table_idx=null_i, q_idx=null_i, c_idx=null_i, col=null_i, col2=null_i,
+                        type_code=null_i, card=F.lit(None).cast("double"), n_values=null_i,
+                        k=null_l, gated=F.lit(None).cast("boolean"))
+            base.update(given)
+            cols = [F.col("bq"), F.col("bc"), F.lit(kind).alias("kind")] + \
+                   [v.alias(n) for n, v in base.items()]
+            if semantic:
+                cols.append(F.lit(None).cast("array<float>").alias("emb"))
+            return df.select(*cols)
+
+        pair_rows = shaped(pairs, align.KIND_PAIR, q_idx=F.col("q_idx"), c_idx=F.col("c_idx"),
+                           gated=F.col("gated"))
+        ov = self.overlap.withColumn("bq", blk("q_idx")).withColumn("bc", blk("c_idx"))
+        ov_rows = shaped(ov, align.KIND_OVERLAP, q_idx=F.col("q_idx"), c_idx=F.col("c_idx"),
+                         col=F.col("q_col"), col2=F.col("c_col"), k=F.col("k"))
+        rows = (columns_of("bq", False).unionByName(columns_of("bc", True))
+                .unionByName(pair_rows).unionByName(ov_rows))
         ship_package(self.spark)
-        rows = side(0, "q_idx").unionByName(side(1, "c_idx")).unionByName(self.overlap.select(*ov_cols))
-        # Spread pairs over Python workers: the input rows are few per pair, so
-        # AQE would coalesce them into one task; the partition count grows with
-        # the number of pairs instead (groupBy reuses this partitioning).
-        n_ok = len(self.lake.ok_indices())
-        n_pairs = n_ok * (n_ok + 1) // 2
-        parts = max(self.spark.sparkContext.defaultParallelism, -(-n_pairs // cfg.pairs_per_task))
-        return (rows.repartition(parts, "q_idx", "c_idx")
-                .groupBy("q_idx", "c_idx").applyInPandas(align.score_pair_group, align.PAIR_SCORE_SCHEMA))
+        # Spread block pairs over Python workers: their input is small per group,
+        # so AQE would coalesce it into one task; the partition count grows with
+        # the number of block pairs instead (groupBy reuses this partitioning).
+        n_blocks = -(-(max(self.lake.ok_indices(), default=0) + 1) // bsize)
+        n_groups = n_blocks * (n_blocks + 1) // 2
+        parts = max(1, min(n_groups, max(self.spark.sparkContext.defaultParallelism,
+                                         -(-n_groups // cfg.blocks_per_task))))
+        return (rows.repartition(parts, "bq", "bc")
+                .groupBy("bq", "bc").applyInPandas(align.score_block_group, align.PAIR_SCORE_SCHEMA))
 
     @property
     def unionability(self) -> DataFrame:
