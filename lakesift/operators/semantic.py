@@ -104,7 +104,8 @@ def token_bag(df: DataFrame, keys: list[str], text: F.Column, dim: int) -> DataF
             .groupBy(*keys, "bucket").agg(F.count(F.lit(1)).alias("weight")))
 
 
-def _value_bags(samples: DataFrame, dim: int) -> DataFrame:
+def sample_bags(samples: DataFrame, dim: int) -> DataFrame:
+    """Token bags of the sample values, per column."""
     return token_bag(samples, ["table_idx", "col_idx"], F.col("value"), dim)
 
 
@@ -112,7 +113,7 @@ def column_bags(prof: Profiles, samples: DataFrame, cfg: ScoreConfig,
                 value_bags: DataFrame | None = None) -> DataFrame:
     """E7 sparse: ``(table_idx, col_idx, bucket, weight)`` of every column text."""
     dim = cfg.embedding_dim
-    vb = value_bags if value_bags is not None else _value_bags(samples, dim)
+    vb = value_bags if value_bags is not None else sample_bags(samples, dim)
     head = token_bag(prof.columns, ["table_idx", "col_idx"], column_header(prof.columns), dim)
     return (head.unionByName(vb).groupBy("table_idx", "col_idx", "bucket")
             .agg(F.sum("weight").alias("weight")))
@@ -122,7 +123,7 @@ def table_bags(tables: DataFrame, prof: Profiles, samples: DataFrame, cfg: Score
                value_bags: DataFrame | None = None) -> DataFrame:
     """E3 + E4 sparse: ``(table_idx, bucket, weight)`` of every table text."""
     dim = cfg.embedding_dim
-    vb = value_bags if value_bags is not None else _value_bags(samples, dim)
+    vb = value_bags if value_bags is not None else sample_bags(samples, dim)
     cols = prof.columns.where(_in_table_text(cfg)).select("table_idx", "col_idx", "column_name",
                                                          "inferred_type")
     name = token_bag(tables.where(F.col("status") == "ok"), ["table_idx"],

@@ -7,8 +7,8 @@ Stages (each one a set-at-a-time Spark plan over all tables / pairs):
 2. Profiles, top-k value sets and first-appearance samples from ``raw``.
 3. Value overlap (inverted-index join) -> joinability.
 4. Hashed token bags -> table and column vectors -> table cosines (gate).
-5. One grouped kernel per table pair: unionability alignment, and for gated
-   pairs the column cosine matrix, its max and its alignment.
+5. One grouped kernel per block pair of tables: unionability alignment, and
+   for gated pairs the column cosine matrix, its max and its alignment.
 6. Labels, mirrored to both orientations, rounded.
 
 With ``materialize=True`` the small stage outputs are checkpointed in the
@@ -118,7 +118,7 @@ class LakeState:
     # -- stage 4 ---------------------------------------------------------------
     @property
     def value_bags(self) -> DataFrame:
-        return self._get("value_bags", lambda: sm._value_bags(self.samples, self.cfg.embedding_dim))
+        return self._get("value_bags", lambda: sm.sample_bags(self.samples, self.cfg.embedding_dim))
 
     @property
     def hashed(self) -> bool:

@@ -194,3 +194,48 @@ def test_blocked_pair_kernel_equals_single_block(spark):
     assert [r[:4] for r in a] == [r[:4] for r in b]
     for x, y in zip(a, b):
         assert all(abs(u - v) < 1e-12 for u, v in zip(x[4:], y[4:]))
+
+
+def test_renamed_and_permuted_columns_keep_syntactic_scores(spark, tmp_path):
+    tables = {
+        "p.csv": (["id", "cat", "val"], [[str(i), f"c{i % 7}", str(i % 11)] for i in range(60)]),
+        "q.csv": (["cat", "n"], [[f"c{i % 5}", str(i % 13)] for i in range(40)]),
+        "r.csv": (["n", "s", "t"], [[str(i % 9), f"s{i % 4}", f"t{i % 3}"] for i in range(30)]),
+    }
+    results = []
+    for variant in ("plain", "renamed"):
+        d = tmp_path / variant
+        d.mkdir()
+        for name, (header, rows) in tables.items():
+            if variant == "renamed":
+                order = list(reversed(range(len(header))))
+                header = [f"x_{header[i]}_{k}" for k, i in enumerate(order)]
+                rows = [[r[i] for i in order] for r in rows]
+            write_csv(d / name, header, rows)
+        st = LakeState(Lake.from_folder(spark, str(d), fmt="csv"), ScoreConfig())
+        results.append({(r.query_table, r.candidate_table): (r.joinability, r.unionability)
+                         for r in st.labels().collect()})
+    assert results[0] == results[1]
+
+
+def test_split_lake_parts_are_unionable(spark, tmp_path):
+    d = tmp_path / "split"
+    d.mkdir()
+    orders = spark.read.parquet("/root/testdata/sf0.01/orders.parquet")
+    prios = sorted(r[0] for r in orders.select("o_orderpriority").distinct().collect())
+    for i, p in enumerate(prios):
+        (orders.where(F.col("o_orderpriority") == p).coalesce(1)
+         .write.parquet(str(d / f"part{i}")))
+    import glob
+    import shutil
+
+    flat = tmp_path / "lake"
+    flat.mkdir()
+    for i in range(len(prios)):
+        src = glob.glob(str(d / f"part{i}" / "*.parquet"))[0]
+        shutil.copy(src, flat / f"orders_{i}.parquet")
+    st = LakeState(Lake.from_folder(spark, str(flat), fmt="parquet"), ScoreConfig())
+    rows = st.labels().collect()
+    assert len(rows) == len(prios) ** 2
+    for r in rows:
+        assert r.unionability >= 0.2 and r.is_union_gt == 1 and r.is_ground_truth == 1
