@@ -117,49 +117,61 @@ PAIR_SCORE_SCHEMA = ("q_idx int, c_idx int, n_q int, n_c int, union_total double
                      "unionability double, semantic_join double, semantic_union double")
 
 
-def score_one(q_idx: int, c_idx: int, cq: pd.DataFrame, cc: pd.DataFrame,
+class TableCols:
+    """One table's columns as arrays, built once per group and reused by every
+    pair the table takes part in."""
+
+    __slots__ = ("cols", "pos", "type_code", "card", "n_values", "emb")
+
+    def __init__(self, rows: pd.DataFrame):
+        rows = rows.sort_values("col")
+        self.cols = rows["col"].to_numpy(dtype=np.int64)
+        self.pos = {int(c): i for i, c in enumerate(self.cols)}
+        self.type_code = rows["type_code"].to_numpy()
+        self.card = rows["card"].to_numpy(dtype=np.float64)
+        self.n_values = rows["n_values"].to_numpy()
+        self.emb = None
+        if "emb" in rows.columns and len(rows):
+            e = rows["emb"].to_numpy()
+            if all(x is not None for x in e):
+                self.emb = np.stack([np.asarray(x, dtype=np.float64) for x in e])
+
+    def __len__(self) -> int:
+        return len(self.cols)
+
+
+def score_one(q_idx: int, c_idx: int, tq: TableCols, tc: TableCols,
               kk: pd.DataFrame | None, semantic: bool) -> dict:
     """U1-U8 and E8-E10 for one table pair.
 
-    ``cq`` / ``cc``: the columns of the two tables (``col, type_code, card,
-    n_values[, emb]``); ``kk``: their non-zero overlaps (``col`` of the query
-    table, ``col2`` of the candidate, ``k``).  For a self pair only
-    ``col <= col2`` overlaps are given; the matrix is mirrored."""
-    cq = cq.sort_values("col")
-    cc = cc.sort_values("col")
-    n_q, n_c = len(cq), len(cc)
+    ``tq`` / ``tc``: the columns of the two tables; ``kk``: their non-zero
+    overlaps (``col`` of the query table, ``col2`` of the candidate, ``k``).
+    For a self pair only ``col <= col2`` overlaps are given; the matrix is
+    mirrored."""
+    n_q, n_c = len(tq), len(tc)
     out = dict(q_idx=q_idx, c_idx=c_idx, n_q=n_q, n_c=n_c, union_total=0.0,
                unionability=0.0, semantic_join=0.0, semantic_union=0.0)
     if n_q == 0 or n_c == 0:
         return out
-    pos_q = {int(c): i for i, c in enumerate(cq["col"].to_numpy())}
-    pos_c = {int(c): j for j, c in enumerate(cc["col"].to_numpy())}
     k = np.zeros((n_q, n_c))
     if kk is not None and len(kk):
-        ii = np.array([pos_q[int(x)] for x in kk["col"].to_numpy()], dtype=np.int64)
-        jj = np.array([pos_c[int(x)] for x in kk["col2"].to_numpy()], dtype=np.int64)
+        ii = np.array([tq.pos[int(x)] for x in kk["col"].to_numpy()], dtype=np.int64)
+        jj = np.array([tc.pos[int(x)] for x in kk["col2"].to_numpy()], dtype=np.int64)
         kv = kk["k"].to_numpy(dtype=np.float64)
         k[ii, jj] = kv
         if q_idx == c_idx:
             k[jj, ii] = kv
-    s = union_matrix(cq["type_code"].to_numpy(), cc["type_code"].to_numpy(),
-                     cq["card"].to_numpy(dtype=np.float64), cc["card"].to_numpy(dtype=np.float64),
-                     cq["n_values"].to_numpy(), cc["n_values"].to_numpy(), k)
+    s = union_matrix(tq.type_code, tc.type_code, tq.card, tc.card, tq.n_values, tc.n_values, k)
     total, _, _ = max_assignment(s)
     lo, hi = min(n_q, n_c), max(n_q, n_c)
     out["union_total"] = total
     # U6 x U7: mean aligned similarity times coverage
     out["unionability"] = (total / lo) * (lo / hi)
-    if semantic and "emb" in cq.columns:
-        eq_rows = cq["emb"].to_numpy()
-        ec_rows = cc["emb"].to_numpy()
-        if all(e is not None for e in eq_rows) and all(e is not None for e in ec_rows):
-            eq = np.stack([np.asarray(e, dtype=np.float64) for e in eq_rows])
-            ec = np.stack([np.asarray(e, dtype=np.float64) for e in ec_rows])
-            sem = cosine_matrix(eq, ec)
-            out["semantic_join"] = float(sem.max())
-            stotal, _, _ = max_assignment(sem)
-            out["semantic_union"] = stotal / lo
+    if semantic and tq.emb is not None and tc.emb is not None:
+        sem = cosine_matrix(tq.emb, tc.emb)
+        out["semantic_join"] = float(sem.max())
+        stotal, _, _ = max_assignment(sem)
+        out["semantic_union"] = stotal / lo
     return out
 
 
@@ -177,10 +189,10 @@ def score_block_group(pdf: pd.DataFrame) -> pd.DataFrame:
     table pair."""
     kind = pdf["kind"].to_numpy()
     cols = pdf[kind == KIND_COLUMN]
-    tables = {int(t): g for t, g in cols.groupby("table_idx")}
+    tables = {int(t): TableCols(g) for t, g in cols.groupby("table_idx")}
     ov = pdf[kind == KIND_OVERLAP]
     overlaps = {(int(q), int(c)): g for (q, c), g in ov.groupby(["q_idx", "c_idx"])} if len(ov) else {}
-    empty = cols.iloc[0:0]
+    empty = TableCols(cols.iloc[0:0])
     out = []
     for q, c, gated in pdf.loc[kind == KIND_PAIR, ["q_idx", "c_idx", "gated"]].itertuples(index=False):
         q, c = int(q), int(c)

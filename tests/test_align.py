@@ -80,3 +80,34 @@ def test_cosine_guard_and_clamp():
     assert c[1, 0] == 0.0                        # opposite: clamped to 0
     assert abs(c[1, 1] - 1.0) < 1e-12            # equal direction
     assert 0.0 <= c.min() and c.max() <= 1.0
+
+
+def test_block_kernel_self_pair_and_cross_pair():
+    import pandas as pd
+
+    from lakesift.operators.align import KIND_COLUMN, KIND_OVERLAP, KIND_PAIR, score_block_group
+
+    def col(t, c, type_code, card, n, emb):
+        return dict(kind=KIND_COLUMN, table_idx=t, q_idx=None, c_idx=None, col=c, col2=None,
+                    type_code=type_code, card=card, n_values=n, k=None, gated=None, emb=emb)
+
+    def pair(q, c, gated):
+        return dict(kind=KIND_PAIR, table_idx=None, q_idx=q, c_idx=c, col=None, col2=None,
+                    type_code=None, card=None, n_values=None, k=None, gated=gated, emb=None)
+
+    def ov(q, c, i, j, k):
+        return dict(kind=KIND_OVERLAP, table_idx=None, q_idx=q, c_idx=c, col=i, col2=j,
+                    type_code=None, card=None, n_values=None, k=k, gated=None, emb=None)
+
+    rows = [col(0, 0, 1, 0.5, 4, [1.0, 0.0]), col(0, 1, 0, 0.2, 3, [0.0, 1.0]),
+            col(1, 0, 1, 0.5, 4, [1.0, 1.0]),
+            pair(0, 0, True), pair(0, 1, False),
+            ov(0, 0, 0, 0, 4), ov(0, 0, 1, 1, 3), ov(0, 1, 0, 0, 2)]
+    out = score_block_group(pd.DataFrame(rows)).set_index(["q_idx", "c_idx"])
+    self_pair = out.loc[(0, 0)]
+    assert abs(self_pair.unionability - 1.0) < 1e-12
+    assert abs(self_pair.semantic_union - 1.0) < 1e-12 and abs(self_pair.semantic_join - 1.0) < 1e-12
+    cross = out.loc[(0, 1)]
+    # best: col 0 <-> col 0, Jaccard 2 / 6, card sim 1; coverage 1/2
+    assert abs(cross.unionability - (0.7 * (2 / 6) + 0.3) * 0.5) < 1e-12
+    assert cross.semantic_join == 0.0 and cross.semantic_union == 0.0   # not gated
