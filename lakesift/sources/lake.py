@@ -94,18 +94,30 @@ class Lake:
     """Tables of a lake plus their load status (S3)."""
 
     def __init__(self, spark: SparkSession, tables: list[LakeTable], csv_multiline: bool = True,
-                 rebalance_bytes: int = 2 << 20):
+                 rebalance_bytes: int = 2 << 20, schema_threads: int = 16):
         self.spark = spark
         self.tables = tables
         self.csv_multiline = csv_multiline
         self.rebalance_bytes = rebalance_bytes
         self.loaded: dict[int, _Loaded] = {}
         self.errors: dict[int, str] = {}
-        for t in tables:
+
+        def load(t: LakeTable):
             try:
-                self.loaded[t.table_idx] = self._load(t)
+                return t.table_idx, self._load(t), None
             except Exception as e:  # S3: the table takes part in no pair
-                self.errors[t.table_idx] = f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"
+                return t.table_idx, None, f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"
+
+        # Schema resolution is driver-side metadata work (footers, header
+        # lines); a thread pool overlaps it for lakes with many files.
+        from concurrent.futures import ThreadPoolExecutor
+
+        with ThreadPoolExecutor(max_workers=max(1, min(schema_threads, len(tables) or 1))) as pool:
+            for idx, ld, err in pool.map(load, tables):
+                if ld is not None:
+                    self.loaded[idx] = ld
+                else:
+                    self.errors[idx] = err
 
     # -- construction -----------------------------------------------------
     @classmethod
