@@ -15,7 +15,7 @@ def __getattr__(name):
 
         return Lake
     if name in ("LakeState", "label_lake"):
-        from lakesift.plans import groundtruth
+        from lakesift.plans import labelling
 
-        return getattr(groundtruth, name)
+        return getattr(labelling, name)
     raise AttributeError(name)

@@ -17,7 +17,7 @@ from pyspark.sql import SparkSession
 
 from lakesift.config import ScoreConfig
 from lakesift.operators import labels as lb
-from lakesift.plans.groundtruth import LakeState
+from lakesift.plans.labelling import LakeState
 from lakesift.sources.lake import Lake
 
 

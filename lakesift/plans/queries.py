@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lakesift.config import CARDINALITY_WEIGHT, JACCARD_WEIGHT, ScoreConfig
 from lakesift.operators import joinability as jn, labels as lb, pairs as pr, semantic as sm
-from lakesift.plans.groundtruth import LakeState
+from lakesift.plans.labelling import LakeState
 from lakesift.plans.util import maybe_broadcast
 from lakesift.sources.lake import Lake
 

@@ -5,7 +5,7 @@ import pytest
 from conftest import write_csv
 from lakesift.config import ScoreConfig
 from lakesift.operators import semantic as sm
-from lakesift.plans.groundtruth import LakeState
+from lakesift.plans.labelling import LakeState
 from lakesift.sources.lake import Lake, dedupe_names
 
 

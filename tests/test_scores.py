@@ -9,7 +9,7 @@ from conftest import write_csv
 from lakesift.config import ScoreConfig
 from lakesift.operators import labels as lb, semantic as sm
 from lakesift.plans import queries as Q
-from lakesift.plans.groundtruth import LakeState
+from lakesift.plans.labelling import LakeState
 from lakesift.sources.lake import Lake
 
 SF = "/root/testdata/sf0.001"
