@@ -75,14 +75,17 @@ def inferred_type(src_class, n_non_null, all_numeric_text, all_boolean_text):
 
 def top_values(raw: DataFrame, top_k: int) -> DataFrame:
     """``(table_idx, col_idx, value, freq, rank)`` for the k most frequent
-    normalised values; ties broken by value ascending."""
+    normalised values.  Equal counts keep first-appearance order (the earliest
+    row holding the normalised value first), as a stable frequency sort of the
+    values in table order would; without row positions, value ascending."""
     norm = (
         raw.select("table_idx", "col_idx", tx.normalize_value(F.col("value")).alias("value"), "n",
                 *(["first"] if "first" in raw.columns else []))
         .groupBy("table_idx", "col_idx", "value")
         .agg(F.sum("n").alias("freq"), *_first_seen(raw))
     )
-    w = Window.partitionBy("table_idx", "col_idx").orderBy(F.desc("freq"), F.asc("value"))
+    tie = [F.asc("first")] if "first" in raw.columns else []
+    w = Window.partitionBy("table_idx", "col_idx").orderBy(F.desc("freq"), *tie, F.asc("value"))
     return norm.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k)
 
 

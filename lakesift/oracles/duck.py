@@ -97,8 +97,9 @@ class Oracle:
                     bool_and(regexp_matches(value, {num})) FILTER (WHERE value IS NOT NULL) AS all_num
                  FROM raw r GROUP BY ALL""",
             "norm": f"""SELECT table_idx, col_idx, regexp_replace(lower(value), {strip}, '', 'g') AS value,
-                    sum(n) AS freq FROM raw WHERE value IS NOT NULL GROUP BY ALL""",
-            "topv": f"""SELECT *, row_number() OVER (PARTITION BY table_idx, col_idx ORDER BY freq DESC, value ASC) AS rank
+                    sum(n) AS freq, min(first) AS first FROM raw WHERE value IS NOT NULL GROUP BY ALL""",
+            "topv": f"""SELECT *, row_number() OVER (PARTITION BY table_idx, col_idx
+                                               ORDER BY freq DESC, first ASC, value ASC) AS rank
                  FROM norm QUALIFY rank <= {TOP_K}""",
             "setsize": "SELECT table_idx, col_idx, count(*) AS n_values FROM topv GROUP BY ALL",
             "prof": """SELECT d.table_idx, d.col_idx, d.column_name, d.src_class,

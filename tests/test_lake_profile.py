@@ -101,11 +101,16 @@ def test_texts_first_appearance_and_column_cut(edge_lake):
     assert ttext[1] == "Table: b_header_only.csv"
 
 
-def test_top_k_ties_by_value(spark, lake_dir):
-    write_csv(lake_dir / "ties.csv", ["k"], [[f"w{i:03d}"] for i in range(300)])
+def test_top_k_ties_keep_first_appearance(spark, lake_dir):
+    import random
+
+    words = [f"w{i:03d}" for i in range(300)]
+    random.Random(3).shuffle(words)
+    rows = [["hot"], ["hot"]] + [[w] for w in words]        # 'hot' twice, 300 words once
+    write_csv(lake_dir / "ties.csv", ["k"], rows)
     st = LakeState(Lake.from_folder(spark, str(lake_dir), fmt="csv"), ScoreConfig())
-    vals = sorted(r.value for r in st.profiles.values.collect())
-    assert vals == [f"w{i:03d}" for i in range(200)]
+    got = [r.value for r in sorted(st.profiles.values.collect(), key=lambda r: r.rank)]
+    assert got == ["hot"] + words[:199]
     assert st.profiles.columns.collect()[0].n_values == 200
 
 
