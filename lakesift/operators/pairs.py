@@ -12,7 +12,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lakesift.config import ScoreConfig
 from lakesift.plans.util import maybe_broadcast
@@ -73,12 +72,6 @@ def with_names(df: DataFrame, tables: DataFrame, n_tables: int,
     )
 
 
-PAIR_SCHEMA = T.StructType([
-    T.StructField("q_idx", T.IntegerType(), False),
-    T.StructField("c_idx", T.IntegerType(), False),
-])
-
-
 def mirror_column_pairs(df: DataFrame) -> DataFrame:
     """Ordered column pairs from the upper form ``(q_idx, q_col) <= (c_idx, c_col)``."""
     other = [c for c in df.columns if c not in ("q_idx", "c_idx", "q_col", "c_col")]

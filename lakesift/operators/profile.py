@@ -89,8 +89,6 @@ def top_values(raw: DataFrame, top_k: int) -> DataFrame:
     return norm.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k)
 
 
-BUNDLE_COLUMNS = ("kind", "table_idx", "col_idx", "value", "a", "b", "c", "d", "all_numeric_text",
-                  "all_boolean_text")
 KIND_STATS, KIND_TOP, KIND_SAMPLE, KIND_ROWS = 0, 1, 2, 3
 
 

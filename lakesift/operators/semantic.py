@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakesift.config import NORM_EPSILON, ScoreConfig
+from lakesift.config import NO_MODEL_TABLE_SCORE, NORM_EPSILON, ScoreConfig
 from lakesift.functions import text as tx
 from lakesift.operators.profile import Profiles
 from lakesift.plans.util import maybe_broadcast
@@ -162,7 +162,7 @@ def table_semantic(pairs: DataFrame, table_vecs: DataFrame | None, n_tables: int
                    cfg: ScoreConfig) -> DataFrame:
     """E6 for every pair: ``(q_idx, c_idx, semantic_table)``; 0.5 without a model."""
     if table_vecs is None:
-        return pairs.select("q_idx", "c_idx", F.lit(0.5).alias("semantic_table"))
+        return pairs.select("q_idx", "c_idx", F.lit(NO_MODEL_TABLE_SCORE).alias("semantic_table"))
     tv = maybe_broadcast(table_vecs, n_tables * (cfg.embedding_dim * 4 + 64), cfg.broadcast_limit_bytes)
     q = tv.select(F.col("table_idx").alias("q_idx"), F.col("vec").alias("vq"), F.col("norm").alias("nq"))
     c = tv.select(F.col("table_idx").alias("c_idx"), F.col("vec").alias("vc"), F.col("norm").alias("nc"))

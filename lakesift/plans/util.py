@@ -42,11 +42,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def round_cols(df: DataFrame, cols: list[str], digits: int) -> DataFrame:
-    return df.select(*[F.round(F.col(c), digits).alias(c) if c in cols else F.col(c)
-                       for c in df.columns])
-
-
 _SHIPPED: set[str] = set()
 
 
