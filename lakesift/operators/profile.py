@@ -62,13 +62,17 @@ def _first_seen(raw: DataFrame) -> list:
     return [F.min("first").alias("first")] if "first" in raw.columns else []
 
 
-def inferred_type(src_class, n_non_null, all_numeric_text, all_boolean_text):
-    """P3: 'numeric' iff every non-null value is a number; empty -> 'string'."""
+def inferred_type(src_class, n_non_null, all_numeric_text, all_boolean_text, n_rows=None):
+    """P3: 'numeric' iff every non-null value is a number; empty -> 'string'.
+
+    CSV text: a column of only true/false values is read as booleans (a
+    number class) only when it has no missing cell; with one, it stays text."""
+    no_missing = F.lit(True) if n_rows is None else (n_rows == n_non_null)
     num = (
         (src_class == tx.SRC_NUMERIC)
         | ((src_class == tx.SRC_TEXT) & F.coalesce(all_numeric_text, F.lit(False)))
         | ((src_class == tx.SRC_CSV) & (F.coalesce(all_numeric_text, F.lit(False))
-                                        | F.coalesce(all_boolean_text, F.lit(False))))
+                                        | (F.coalesce(all_boolean_text, F.lit(False)) & no_missing)))
     )
     return F.when((n_non_null > 0) & num, F.lit("numeric")).otherwise(F.lit("string"))
 
@@ -177,7 +181,7 @@ def assemble(columns: DataFrame, table_rows: DataFrame, stats: DataFrame, top: D
         .select(
             "table_idx", "col_idx", "column_name", "src_class",
             inferred_type(F.col("src_class"), nn, F.col("all_numeric_text"),
-                          F.col("all_boolean_text")).alias("inferred_type"),
+                          F.col("all_boolean_text"), rows).alias("inferred_type"),
             rows.alias("n_rows"),
             nn.alias("n_non_null"),
             F.coalesce(F.col("n_distinct"), F.lit(0)).alias("n_distinct"),

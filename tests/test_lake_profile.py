@@ -20,7 +20,8 @@ def edge_lake(spark, lake_dir):
                [" 1 ", "2", "6", "false", "2", "3", "2020-01-02"],
                ["+2", "3", "7", "True", "3", "4", "2020-01-03"],
                [".5", "4", "8", "FALSE", "4", "5", "2020-01-04"]])
-    write_csv(lake_dir / "e_na_tokens.csv", ["v"], [["NA"], ["null"], ["x"], ["n/a"], [""]])
+    write_csv(lake_dir / "e_na_tokens.csv", ["v", "flag"],
+              [["NA", "true"], ["null", ""], ["x", "False"], ["n/a", "true"], ["", "false"]])
     with open(lake_dir / "f_dup_header.csv", "w") as f:
         f.write("a,a,b\n1,2,3\n4,5,6\n")
     (lake_dir / "g_empty.csv").write_text("")
@@ -73,9 +74,12 @@ def test_type_inference_of_text(edge_lake):
 
 
 def test_na_tokens_are_nulls(edge_lake):
-    e = profiles_by_name(edge_lake)[("e_na_tokens.csv", "v")]
+    p = profiles_by_name(edge_lake)
+    e = p[("e_na_tokens.csv", "v")]
     assert (e.n_rows, e.n_non_null) == (5, 1)
     assert abs(e.null_ratio - 0.8) < 1e-12
+    # booleans with a missing cell are read as text
+    assert p[("e_na_tokens.csv", "flag")].inferred_type == "string"
 
 
 def test_duplicate_headers_renamed():
