@@ -173,8 +173,10 @@ class LakeState:
 
     @property
     def table_semantic(self) -> DataFrame:
-        return self._get("table_semantic", lambda: sm.table_semantic(
-            self.pairs, self.table_vectors, self.n_tables, self.cfg))
+        """E6 per upper-triangle pair; materialised once, as it feeds the gate of
+        the pair kernel (block flags and pair rows) and the final scores."""
+        return self._get("table_semantic", lambda: self._cut(sm.table_semantic(
+            self.pairs, self.table_vectors, self.n_tables, self.cfg)))
 
     # -- stage 5 ---------------------------------------------------------------
     def pair_scores(self, with_semantic: bool = True) -> DataFrame:

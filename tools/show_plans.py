@@ -53,7 +53,8 @@ def main():
         ("Joinability (J3-J5 from the overlap)", st.joinability),
         ("Table vectors (hashed token bags -> dense)",
          sm.dense(sm.table_bags(st.tables, st.profiles, st.samples, st.cfg), ["table_idx"], st.cfg.embedding_dim)),
-        ("Table semantic (pair cosines)", st.table_semantic),
+        ("Table semantic (pair cosines)",
+         sm.table_semantic(st.pairs, st.table_vectors, st.n_tables, st.cfg)),
         ("Pair kernel (grouped alignment + column cosines)", st.pair_scores(True)),
         ("Labels (mirror, names, rounding)", st.labels()),
     ]
