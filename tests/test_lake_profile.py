@@ -163,3 +163,14 @@ def test_float_nan_is_missing(spark, tmp_path):
     x = {r.column_name: r for r in st.profiles.columns.collect()}["x"]
     assert (x.n_rows, x.n_non_null, x.inferred_type, x.n_values) == (4, 2, "numeric", 2)
     assert abs(x.null_ratio - 0.5) < 1e-12
+
+
+def test_query_prefix_and_candidate_cap_together(spark, lake_dir):
+    for name in ("a", "c", "d", "e"):
+        write_csv(lake_dir / f"{name}.csv", ["x"], [["1"], ["2"]])
+    (lake_dir / "b.csv").write_text("")
+    lake = Lake.from_folder(spark, str(lake_dir), fmt="csv")       # a b(failed) c d e
+    st = LakeState(lake, ScoreConfig(num_queries=3, max_candidates=4))
+    got = sorted((r.query_table, r.candidate_table) for r in st.labels().collect())
+    queries, candidates = ["a.csv", "c.csv"], ["a.csv", "c.csv", "d.csv"]
+    assert got == sorted((q, c) for q in queries for c in candidates)
