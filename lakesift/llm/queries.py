@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lakesift.llm import exact_dedup, quality
+from lakesift.llm import bpe, exact_dedup, quality
 from lakesift.llm.common import table
 
 
@@ -14,6 +16,18 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).drop("cleaned")
 
 
+def byte_bpe(docs: DataFrame, ranks: str = "byte_bpe_50k.tiktoken") -> DataFrame:
+    """Digests of the ids and of the decoded bytes of each text."""
+    path = public_tokenizers.path(ranks)
+    tokens = bpe.encode(docs, path, public_tokenizers.PATTERN)
+    return bpe.decode(tokens, path).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = exact_dedup.exact_dedup(spark, f"{sf_dir}/documents.parquet")
     return rows.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -21,5 +35,6 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
+    "op4_byte_bpe": op4_byte_bpe,
     "op6_exact_dedup": op6_exact_dedup,
 }
