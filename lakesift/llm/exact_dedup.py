@@ -39,6 +39,8 @@ _CONF = {
     # one bounded block cache and write buffer for all stores of an executor
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "300",
+    # many small stores: don't reserve disk for their logs
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
