@@ -3,6 +3,25 @@ here again on purpose, so that they check those of the operators."""
 
 from __future__ import annotations
 
+OP1 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (
+  SELECT DISTINCT doc_id, md5(g) AS g FROM (
+    SELECT doc_id, unnest([array_to_string(w[i:i + 3], ' ') for i in range(1, len(w) - 2)]) AS g FROM d WHERE len(w) >= 4
+    UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 3)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+link AS (
+  SELECT x, y FROM (
+    SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2)
+  JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * k >= 85 * (p.n + q.n - k)),
+e AS (SELECT x AS a, y AS b FROM link UNION ALL SELECT y, x FROM link),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT d.doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(r.b) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN r ON r.a = d.doc_id GROUP BY d.doc_id
+"""
+
 OP3 = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 tok AS (
@@ -60,6 +79,7 @@ FROM d JOIN g USING (t)
 """
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_jaccard": OP1,
     "op3_quality_rules": OP3,
     "op6_exact_dedup": OP6,
 }
