@@ -78,8 +78,35 @@ SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept,
 FROM d JOIN g USING (t)
 """
 
+OP8 = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+    sha256(concat('0:', coalesce(doc_id::VARCHAR, ''), ':', sha256(coalesce(text, '')))) AS key
+  FROM documents),
+s AS (
+  SELECT source, sum(size)::BIGINT AS words, row_number() OVER (ORDER BY source NULLS LAST) AS i FROM d GROUP BY source),
+w AS (SELECT source, words, i, [3.0::DOUBLE, 1.0, 2.0][(i - 1) % 3 + 1] AS weight, 1.5::DOUBLE * sum(words) OVER () AS total FROM s),
+o AS (
+  SELECT *, total - coalesce(sum(2.0 * words) OVER b, 0) AS left_words, sum(weight) OVER () - coalesce(sum(weight) OVER b, 0) AS left_weight
+  FROM w WINDOW b AS (ORDER BY words / weight, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT *, 2 * words * left_weight <= left_words * weight AS is_full FROM o),
+z AS (
+  SELECT coalesce(sum(2.0 * words) FILTER (is_full), 0) AS spent, coalesce(sum(weight) FILTER (is_full), 0) AS used FROM f),
+t AS (
+  SELECT source, words, CASE WHEN is_full THEN 2.0 * words
+    ELSE (total - spent) * weight / ((SELECT sum(weight) FROM w) - used) END::DOUBLE AS target FROM f, z),
+r AS (
+  SELECT source, words, target, CASE WHEN words > 0 THEN floor(target + 0.5)::BIGINT // words ELSE 0 END AS epochs,
+    CASE WHEN words > 0 THEN floor(target + 0.5)::BIGINT % words ELSE 0 END AS rest FROM t),
+c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY key ROWS UNBOUNDED PRECEDING) AS upto FROM d)
+SELECT doc_id, size, words AS source_size, target,
+  (size * (epochs + CASE WHEN rest > 0 AND upto - size / 2.0 <= rest THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM c JOIN r ON c.source IS NOT DISTINCT FROM r.source
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_ngram_jaccard": OP1,
     "op3_quality_rules": OP3,
     "op6_exact_dedup": OP6,
+    "op8_source_mix": OP8,
 }

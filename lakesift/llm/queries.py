@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakesift.llm import bpe, exact_dedup, ngram_join, quality
+from lakesift.llm import bpe, exact_dedup, mixing, ngram_join, quality
 from lakesift.llm.common import table
 
 
@@ -37,9 +37,15 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixing.Mix(weights=(3.0, 1.0, 2.0), share=1.5, epochs=2)
+    return mixing.mix(table(spark, sf_dir, "documents"), plan).drop("copies")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op3_quality_rules": op3_quality_rules,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_exact_dedup": op6_exact_dedup,
+    "op8_source_mix": op8_source_mix,
 }
