@@ -42,6 +42,8 @@ from lakesift.llm.common import WORDS_MAP, gram_hashes, mix, on_workers, runs, s
 
 #: Signature rows that a worker combines before it sends them.
 CHUNK_ROWS = 1 << 20
+#: Cost of a chance meeting in a bucket, in signatures.
+CHANCE_COST = 20
 #: Bytes of text whose sets a worker holds at once.
 SET_BYTES = 1 << 20
 _DIGEST = (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
@@ -76,14 +78,15 @@ def distance(pct: int, high: int) -> int:
 
 def plan_band(pct: int, low: int, high: int, n_sets: int) -> tuple[int, int, int]:
     """(n1, n2, k2) of the least cost: signatures, and unrelated sets met in
-    their buckets (the smallest set of the band has the weakest signatures)."""
+    their buckets.  Two disjoint sets share a signature only where the parts of
+    both are empty, so with the power of twice the grams that one covers."""
     k, best = distance(pct, high), None
     for k2 in range(min(k, 6) + 1):
         n1 = -(-(k + 1) // (k2 + 1))
         for n2 in range(k2 + 1, min(k2 + 8, 12)):
             per_set = n1 * comb(n2, k2)
             grams = low / n1 * (n2 - k2) / n2
-            cost = per_set * (1 + 4 * n_sets * exp(-grams))
+            cost = per_set * (1 + CHANCE_COST * n_sets * exp(-2 * grams))
             if best is None or cost < best[0]:
                 best = (cost, n1, n2, k2)
     return best[1:]
@@ -342,7 +345,7 @@ def similarity_links(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id
     for j, (low, high) in enumerate(more):
         n_sets = counts[j] + (counts[j - 1] if j else 0)
         if counts[j] and distance(join.pct, high) > 0:
-            plans[j] = plan_band(join.pct, more[max(j - 1, 0)][0], high, n_sets)
+            plans[j] = plan_band(join.pct, low, high, n_sets)
 
     rows = signature_rows(docs, join, plans, seed, text_col, combine=True)
     pairs = staged(_stars(rows), "pairs")
