@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakesift.llm import bpe, exact_dedup, mixing, ngram_join, quality
+from lakesift.llm import bpe, exact_dedup, html_extract, license_scan, mixing, ngram_join, quality
 from lakesift.llm.common import table
 
 
@@ -42,10 +42,20 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), plan).drop("copies")
 
 
+def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op3_quality_rules": op3_quality_rules,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_source_mix": op8_source_mix,
+    "op9_html_extract": op9_html_extract,
+    "op10_license_scan": op10_license_scan,
 }
