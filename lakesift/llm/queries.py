@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakesift.llm import bpe, exact_dedup, html_extract, license_scan, mixing, ngram_join, quality
+from lakesift.llm import bpe, exact_dedup, html_extract, license_scan, mixing, ngram_join, quality, url_filter
 from lakesift.llm.common import table
 
 
@@ -16,6 +16,15 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard(table(spark, sf_dir, "documents"), ngram_join.Join(words=4, pct=85)).drop("class_id")
 
 
+# The rules of the query.
+URL_RULES = ("allow org/", "block example.org/es/", "block example.org/en/1", "allow com/fr/", "block com/de/")
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = url_filter.parse_rules(list(URL_RULES))
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"), rules)
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).drop("cleaned")
 
@@ -52,6 +61,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
+    "op2_url_filter": op2_url_filter,
     "op3_quality_rules": op3_quality_rules,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_exact_dedup": op6_exact_dedup,
