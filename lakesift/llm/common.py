@@ -122,23 +122,33 @@ def runs(texts: list[bytes], limit: int = RUN_BYTES):
         yield start, len(texts)
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of texts already mapped by ``byte_map``
-    (one blank or more between words), and the offsets of each text's words."""
+def word_spans(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of the joined texts (mapped by ``byte_map``: one blank or more
+    between words), starts and ends of all words, offsets of each text's words."""
     buf = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
     space = buf == 32
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     starts, ends = edge[0::2], edge[1::2]
     lengths = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
     bounds = np.concatenate([[0], np.cumsum(lengths)]) + 1
-    offsets = np.searchsorted(starts, bounds)
+    return buf, starts, ends, np.searchsorted(starts, bounds)
+
+
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte spans: differences of one running polynomial sum."""
     if not len(starts):
-        return np.empty(0, np.uint64), offsets
+        return np.empty(0, np.uint64)
     up, down = _powers(len(buf) + 1)
     total = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum(BYTE_HASH[buf] * up[: len(buf)], out=total[1:])
     h = (total[ends] - total[starts]) * down[starts]
-    return mix(h ^ ((ends - starts).astype(np.uint64) * _SEED)), offsets
+    return mix(h ^ ((ends - starts).astype(np.uint64) * _SEED))
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of mapped texts, and the offsets of each text's words."""
+    buf, starts, ends, offsets = word_spans(texts)
+    return span_hashes(buf, starts, ends), offsets
 
 
 def gram_hashes(words: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

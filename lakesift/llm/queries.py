@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakesift.llm import bpe, exact_dedup, html_extract, license_scan, mixing, ngram_join, quality, url_filter
+from lakesift.llm import bpe, class_lm, exact_dedup, html_extract, license_scan, mixing, ngram_join, quality, url_filter
 from lakesift.llm.common import table
 
 
@@ -46,6 +46,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op7_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.Mix(weights=(3.0, 1.0, 2.0), share=1.5, epochs=2)
     return mixing.mix(table(spark, sf_dir, "documents"), plan).drop("copies")
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_class_lm": op7_class_lm,
     "op8_source_mix": op8_source_mix,
     "op9_html_extract": op9_html_extract,
     "op10_license_scan": op10_license_scan,
