@@ -6,8 +6,9 @@ each band the largest Hamming distance ``k`` of two linked sets is known.  The
 gram domain is cut by hash into ``n1`` partitions, so that in one of them two
 linked sets differ in at most ``k2`` grams, and each of these into ``n2``
 parts; every subset of ``n2 - k2`` parts gives a signature.  Two linked sets
-share at least one, so no link is lost, and each candidate is checked on the
-full sets.
+share at least one, so no link is lost.  Candidates are first held against the
+bound that parity bits give (two sets differ in as many grams at least as
+their bits), then checked on the full sets.
 
 ``k2`` and ``n2`` follow the counted sets of each band: more sets need longer
 signatures, which fewer unrelated sets share.  The result doesn't depend on it.
@@ -17,7 +18,9 @@ form one class; within a task, and then over all tasks, each class of a bucket
 is compared with the bucket's smallest class only.  If such a comparison fails
 and other links don't join the two, the bucket is open: all pairs of its
 classes in different components are then checked.  So components are exact
-and large groups of near copies never expand into all pairs.
+and large groups of near copies never expand into all pairs.  (Groups whose
+members stay just below the similarity are compared in pairs, by their parity
+bits within the join; that is what an exact join has to rule out.)
 
 Edge cases: null, blank and empty texts have an empty set and no links; equal
 texts and repeated rows share a class; a null id counts for no component id
@@ -46,6 +49,8 @@ CHUNK_ROWS = 1 << 20
 CHANCE_COST = 20
 #: Bytes of text whose sets a worker holds at once.
 SET_BYTES = 1 << 20
+#: Columns of the parity bits.
+BITS = tuple(f"p{i}" for i in range(8))
 _DIGEST = (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
 
 
@@ -163,57 +168,60 @@ def _texts(batch, column: int) -> list[bytes]:
 
 # --- passes over the documents ------------------------------------------------
 
+def parity(x: np.ndarray) -> np.ndarray:
+    """Parity bits of a set: of the grams in each of 512 cells."""
+    bits = np.bincount((x & np.uint64(8 * 64 - 1)).astype(np.int64), minlength=8 * 64) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def set_table(docs: DataFrame, join: Join, seed: int, id_col: str, text_col: str) -> DataFrame:
-    """Per document: id, ``n_shingles``, class ``c`` and a second digest."""
+    """Per document: id, hash of the text, size of the set, class ``c``, a
+    second digest and the parity bits (8 words)."""
     kind, n = docs.schema[id_col].dataType.simpleString(), join.words
 
     def run(batches):
         for batch in batches:
-            texts = _texts(batch, 1)
-            sizes, first, second = [], [], []
+            texts = _texts(batch, 2)
+            sizes, first, second, bits = [], [], [], []
             for a, b in runs(texts, SET_BYTES):
                 for s in sets_of(texts[a:b], n):
                     d = digest(s, seed)
                     sizes.append(len(s))
                     first.append(d[0])
                     second.append(d[1])
+                    bits.append(parity(s))
+            words = np.array(bits, np.int64).reshape(len(sizes), 8)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64())],
-                ["id", "n", "c", "d"])
+                [batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in (sizes, first, second)),
+                 *(pa.array(words[:, i].copy()) for i in range(8))],
+                ["id", "h", "n", "c", "d", *BITS])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
-        run, f"id {kind}, n bigint, c bigint, d bigint")
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"id {kind}, h bigint, n bigint, c bigint, d bigint, " + ", ".join(f"{b} bigint" for b in BITS))
 
 
-def signature_rows(docs: DataFrame, join: Join, plans: dict, seed: int, text_col: str, combine: bool) -> DataFrame:
-    """(sig, c, n, low): with ``combine``, classes that share a signature within
-    a worker's chunk come as pairs (c, low) with the chunk's smallest class, and
-    only that one represents the chunk in the bucket (low null)."""
+def signature_rows(docs: DataFrame, join: Join, plans: dict, seed: int, text_col: str) -> DataFrame:
+    """(sig, c, low): classes that share a signature within a worker's chunk
+    come with the chunk's smallest class, which alone represents the chunk in
+    the bucket (low null)."""
     n, pct = join.words, join.pct
 
     def run(batches):
         seen: set[int] = set()
         held, rows = [], 0
 
-        def out(sig, c, size, low):
-            return pa.RecordBatch.from_arrays([pa.array(sig), pa.array(c), pa.array(size), low], ["sig", "c", "n", "low"])
-
         def flush():
-            sig, c, size = (np.concatenate(x) for x in zip(*held))
-            if combine:
-                order = np.lexsort((c, sig))
-                sig, c, size = sig[order], c[order], size[order]
-                head = np.concatenate([[True], sig[1:] != sig[:-1]])
-                low = c[head][np.cumsum(head) - 1]
-                pair = (~head) & (c != low)
-                if pair.any():
-                    both = np.unique(np.stack([c[pair], low[pair]], axis=1), axis=0)
-                    zero = np.zeros(len(both), np.int64)
-                    yield out(zero, both[:, 0], zero, pa.array(both[:, 1]))
-                sig, c, size = sig[head], c[head], size[head]
+            sig, c = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((c, sig))
+            sig, c = sig[order], c[order]
+            head = np.concatenate([[True], sig[1:] != sig[:-1]])
+            low = c[head][np.cumsum(head) - 1]
+            keep = head | (c != low)
+            sig, c, low, head = sig[keep], c[keep], low[keep], head[keep]
             for a in range(0, len(sig), 1 << 16):
                 part = slice(a, a + (1 << 16))
-                yield out(sig[part], c[part], size[part], pa.nulls(len(sig[part]), pa.int64()))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(sig[part]), pa.array(c[part]), pa.array(low[part], mask=head[part])], ["sig", "c", "low"])
 
         for batch in batches:
             texts = _texts(batch, 0)
@@ -229,7 +237,7 @@ def signature_rows(docs: DataFrame, join: Join, plans: dict, seed: int, text_col
                 if not sets:
                     continue
                 sig, owner = signatures(sets, plans, pct)
-                held.append((sig, np.array(names, np.int64)[owner], np.array([len(s) for s in sets], np.int64)[owner]))
+                held.append((sig, np.array(names, np.int64)[owner]))
                 rows += len(sig)
                 if rows >= CHUNK_ROWS:
                     yield from flush()
@@ -237,53 +245,51 @@ def signature_rows(docs: DataFrame, join: Join, plans: dict, seed: int, text_col
         if held:
             yield from flush()
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "sig bigint, c bigint, n bigint, low bigint")
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "sig bigint, c bigint, low bigint")
 
 
-def class_texts(docs: DataFrame, wanted: DataFrame, n_wanted: int, join: Join, seed: int, text_col: str) -> DataFrame:
-    """One text of each wanted class."""
-    n = join.words
+def bucket_edges(rows: DataFrame) -> DataFrame:
+    """(sig, x, y), x < y: each class of a bucket with the smallest class of its
+    chunk, and each chunk's with the bucket's.  Chunks were combined before
+    the shuffle, so a bucket has a row for each chunk at most."""
+    local = rows.where("low is not null").selectExpr("sig", "low x", "c y")
+    lowest = rows.where("low is null").select("sig", "c").withColumn("x", F.min("c").over(Window.partitionBy("sig")))
+    return local.unionByName(lowest.where("x < c").selectExpr("sig", "x", "c y"))
 
-    def run(batches):
-        for batch in batches:
-            texts = _texts(batch, 0)
-            names = [digest(s, seed)[0] for a, b in runs(texts, SET_BYTES) for s in sets_of(texts[a:b], n)]
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), batch.column(0)], ["c", "text"])
 
-    named = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "c bigint, text string")
-    found = named.join(small_side(wanted, n_wanted, 16), "c", "left_semi")
-    return found.groupBy("c").agg(F.first("text").alias("text"))
+def close(join: Join, a: str, b: str) -> str:
+    """SQL condition that two linked sets fulfil: on their sizes, and on the
+    distance that their parity bits prove."""
+    bits = " + ".join(f"bit_count({a}.{p} ^ {b}.{p})" for p in BITS)
+    return (f"100 * least({a}.n, {b}.n) >= {join.pct} * greatest({a}.n, {b}.n)"
+            f" and ({bits}) * {100 + join.pct} <= {100 - join.pct} * ({a}.n + {b}.n)")
 
 
-def verify(pairs: DataFrame, texts: DataFrame, join: Join, plans: dict) -> DataFrame:
-    """(x, y, linked, shared): ``shared`` are the common signatures of a pair
-    that isn't linked.  Each pair ships the text of y; that of x meets it in
-    the second join."""
+def verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame, join: Join, text_col: str) -> DataFrame:
+    """The linked ones of pairs (x, y).  A class's text is that of the rows with
+    its text hash; each pair ships the text of y, that of x meets it in the
+    second join."""
     n, pct = join.words, join.pct
+    wanted = pairs.select(F.explode(F.array("x", "y")).alias("c")).distinct().join(classes.select("c", "h"), "c")
+    wanted = staged(wanted, "wanted")
+    hashed = docs.select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    texts = hashed.join(small_side(wanted, wanted.count(), 24), "h").groupBy("c").agg(F.first("text").alias("text"))
 
     def run(batches):
         last, last_set = None, None
         for batch in batches:
-            linked, shared = [], []
+            keep = []
             for x, tx, ty in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3)):
                 if x != last:
                     last, last_set = x, sets_of([tx.as_py().encode()], n)[0]
                 other = sets_of([ty.as_py().encode()], n)[0]
                 inter = len(np.intersect1d(last_set, other, assume_unique=True))
-                ok = 100 * inter >= pct * (len(last_set) + len(other) - inter)
-                linked.append(ok)
-                if ok:
-                    shared.append(None)
-                else:
-                    a, b = (signatures([s], plans, pct)[0] for s in (last_set, other))
-                    shared.append(np.intersect1d(a, b).tolist())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(shared, pa.list_(pa.int64()))],
-                ["x", "y", "linked", "shared"])
+                keep.append(100 * inter >= pct * (len(last_set) + len(other) - inter))
+            yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
     with_y = pairs.join(texts.select(F.col("c").alias("y"), F.col("text").alias("ty")), "y")
     both = with_y.join(texts.select(F.col("c").alias("x"), F.col("text").alias("tx")), "x")
-    return both.select("x", "y", "tx", "ty").mapInArrow(run, "x bigint, y bigint, linked boolean, shared array<bigint>")
+    return staged(both.select("x", "y", "tx", "ty").mapInArrow(run, "x bigint, y bigint"), "links")
 
 
 # --- components -----------------------------------------------------------------
@@ -347,55 +353,36 @@ def similarity_links(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id
         if counts[j] and distance(join.pct, high) > 0:
             plans[j] = plan_band(join.pct, low, high, n_sets)
 
-    rows = signature_rows(docs, join, plans, seed, text_col, combine=True)
-    pairs = staged(_stars(rows), "pairs")
-    tested = _check(docs, pairs, join, plans, seed, text_col)
-    comps = components(tested.where("linked").select("x", "y"))
-    comps = staged(comps, "comps")
-
-    # buckets that are still open: a failed pair in two components
-    failed = tested.where("not linked")
-    failed = _with_comp(_with_comp(failed, comps, "x"), comps, "y").where("comp_x != comp_y")
-    open_sigs = staged(failed.select(F.explode("shared").alias("sig")).distinct(), "open")
-    n_open = open_sigs.count()
-    links = tested.where("linked").select("x", "y")
+    classes = staged(sets.where("n > 0").groupBy("c").agg(
+        F.min("h").alias("h"), F.first("n").alias("n"), *(F.first(p).alias(p) for p in BITS)), "classes")
+    edges = staged(bucket_edges(signature_rows(docs, join, plans, seed, text_col)), "bucket-edges")
+    # a bucket's classes against its smallest: bound first, then the full sets
+    pairs = edges.select("x", "y").distinct()
+    x, y = classes.alias("a"), classes.alias("b")
+    pairs = pairs.join(x, F.col("x") == F.col("a.c")).join(y, F.col("y") == F.col("b.c"))
+    pairs = staged(pairs.where(close(join, "a", "b")).select("x", "y"), "pairs")
+    links = verify(docs, pairs, classes, join, text_col)
+    comps = staged(components(links), "comps")
+
+    # open buckets: their classes aren't all in one component
+    side = comps.select(F.col("c").alias("y"), F.col("comp").alias("cy"))
+    open_ = edges.join(comps.select(F.col("c").alias("x"), F.col("comp").alias("cx")), "x", "left").join(side, "y", "left")
+    open_ = staged(open_.where("coalesce(cx, x) != coalesce(cy, y)").select("sig").distinct(), "open")
+    n_open = open_.count()
     if n_open:
-        members = signature_rows(docs, join, plans, seed, text_col, combine=False).select("sig", "c", "n")
-        members = members.join(small_side(open_sigs, n_open, 16), "sig", "left_semi").distinct()
-        members = staged(_with_comp(members, comps, "c"), "members")
-        a = members.selectExpr("sig", "c x", "n nx", "comp_c cx")
-        b = members.selectExpr("sig", "c y", "n ny", "comp_c cy")
-        close = f"100 * least(nx, ny) >= {join.pct} * greatest(nx, ny)"
-        more = a.join(b, "sig").where(f"x < y and cx != cy and {close}").select("x", "y").distinct()
+        members = edges.join(small_side(open_, n_open, 16), "sig").select("sig", F.explode(F.array("x", "y")).alias("c")).distinct()
+        members = members.join(classes, "c").join(comps, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
+        members = staged(members.drop("h"), "members")
+        more = members.alias("a").join(members.alias("b"), "sig").where(
+            "a.c < b.c and a.comp != b.comp and " + close(join, "a", "b")).selectExpr("a.c x", "b.c y").distinct()
         more = staged(more.join(pairs, ["x", "y"], "left_anti"), "more")
         if not more.isEmpty():
-            again = _check(docs, more, join, plans, seed, text_col).where("linked").select("x", "y")
-            links = staged(links.unionByName(again), "links")
-            comps = staged(components(links), "comps")
+            again = verify(docs, more, classes, join, text_col)
+            links = staged(links.unionByName(again), "all-links")
+            comps = staged(components(links), "all-comps")
     return Links(sets, links, comps)
 
 
-def _stars(rows: DataFrame) -> DataFrame:
-    """Distinct pairs (x < y): chunk pairs as they are, and each class of a
-    bucket with the bucket's smallest."""
-    local = rows.where("low is not null").selectExpr("low x", "c y")
-    bucket = Window.partitionBy("sig")
-    lowest = rows.where("low is null").select("sig", "c").withColumn("x", F.min("c").over(bucket))
-    return local.unionByName(lowest.where("x < c").selectExpr("x", "c y")).distinct()
-
-
-def _check(docs, pairs, join, plans, seed, text_col) -> DataFrame:
-    wanted = staged(pairs.selectExpr("explode(array(x, y)) c").distinct(), "wanted")
-    texts = class_texts(docs, wanted, wanted.count(), join, seed, text_col)
-    return staged(verify(pairs, texts, join, plans), "tested")
-
-
-def _with_comp(df: DataFrame, comps: DataFrame, key: str) -> DataFrame:
-    side = comps.select(F.col("c").alias(key), F.col("comp").alias(f"comp_{key}"))
-    out = df.join(side, key, "left")
-    return out.withColumn(f"comp_{key}", F.coalesce(f"comp_{key}", key))
-
-
 def ngram_jaccard(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: id, ``n_shingles``, ``component_id`` (smallest id reachable
     by links) and ``class_id`` (documents of one class have equal sets)."""
