@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakesift.llm import bpe, class_lm, exact_dedup, html_extract, license_scan, mixing, ngram_join, quality, url_filter
+from lakesift.llm import bpe, class_lm, exact_dedup, html_extract, license_scan, mixing, ngram_join, pii, quality, url_filter
 from lakesift.llm.common import table
 
 
@@ -41,6 +41,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe(table(spark, sf_dir, "documents"))
 
 
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str, secret: bytes = b"key of the registered query") -> DataFrame:
+    return pii.surrogates(table(spark, sf_dir, "documents"), secret)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = exact_dedup.exact_dedup(spark, f"{sf_dir}/documents.parquet")
     return rows.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
     "op3_quality_rules": op3_quality_rules,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_pii_surrogates": op5_pii_surrogates,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_class_lm": op7_class_lm,
     "op8_source_mix": op8_source_mix,
