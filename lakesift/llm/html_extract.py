@@ -191,21 +191,21 @@ def _signed(h: int) -> int:
 
 
 def subtree_hashes(page: str) -> tuple[list[int], int]:
-    """Distinct hashes of the candidate subtrees with text, and a digest of the
-    page's content (its longest text)."""
+    """Distinct hashes of the candidate subtrees, and a digest of the page's
+    content: that of its articles, else its longest text."""
     root = parse(page)
     _mark(root)
     found, longest = set(), ""
     for n in _walk(root):
-        if n.dropped and n.tag in RAW:
+        if n.tag in RAW:
             continue
         for c in n.children:
             if isinstance(c, str) and len(c) > len(longest):
                 longest = c
         if _candidate(n):
             found.add(_signed(n.hash))
-    digest = int.from_bytes(blake2b(longest.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-    return sorted(found), digest
+    content = b"".join(a.hash.to_bytes(8, "little") for a in articles(root)) or longest.encode("utf-8", "surrogatepass")
+    return sorted(found), int.from_bytes(blake2b(content, digest_size=8).digest(), "little", signed=True)
 
 
 def main_text(page: str, templates: frozenset[int] = frozenset()) -> str:
