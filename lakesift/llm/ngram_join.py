@@ -50,7 +50,7 @@ CHANCE_COST = 20
 #: Bytes of text whose sets a worker holds at once.
 SET_BYTES = 1 << 20
 #: Columns of the parity bits.
-BITS = tuple(f"p{i}" for i in range(8))
+BITS = tuple(f"p{i}" for i in range(16))
 _DIGEST = (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
 
 
@@ -169,14 +169,15 @@ def _texts(batch, column: int) -> list[bytes]:
 # --- passes over the documents ------------------------------------------------
 
 def parity(x: np.ndarray) -> np.ndarray:
-    """Parity bits of a set: of the grams in each of 512 cells."""
-    bits = np.bincount((x & np.uint64(8 * 64 - 1)).astype(np.int64), minlength=8 * 64) & 1
+    """Parity bits of a set: of the grams in each of 1024 cells."""
+    cells = 64 * len(BITS)
+    bits = np.bincount((x & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
 def set_table(docs: DataFrame, join: Join, seed: int, id_col: str, text_col: str) -> DataFrame:
     """Per document: id, hash of the text, size of the set, class ``c``, a
-    second digest and the parity bits (8 words)."""
+    second digest and the parity bits."""
     kind, n = docs.schema[id_col].dataType.simpleString(), join.words
 
     def run(batches):
@@ -190,10 +191,10 @@ def set_table(docs: DataFrame, join: Join, seed: int, id_col: str, text_col: str
                     first.append(d[0])
                     second.append(d[1])
                     bits.append(parity(s))
-            words = np.array(bits, np.int64).reshape(len(sizes), 8)
+            words = np.array(bits, np.int64).reshape(len(sizes), len(BITS))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in (sizes, first, second)),
-                 *(pa.array(words[:, i].copy()) for i in range(8))],
+                 *(pa.array(words[:, i].copy()) for i in range(len(BITS)))],
                 ["id", "h", "n", "c", "d", *BITS])
 
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
@@ -375,6 +376,7 @@ def similarity_links(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id
         members = staged(members.drop("h"), "members")
         more = members.alias("a").join(members.alias("b"), "sig").where(
             "a.c < b.c and a.comp != b.comp and " + close(join, "a", "b")).selectExpr("a.c x", "b.c y").distinct()
+        more = staged(more, "near")
         more = staged(more.join(pairs, ["x", "y"], "left_anti"), "more")
         if not more.isEmpty():
             again = verify(docs, more, classes, join, text_col)
