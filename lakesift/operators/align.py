@@ -121,20 +121,20 @@ class TableCols:
     """One table's columns as arrays, built once per group and reused by every
     pair the table takes part in."""
 
-    __slots__ = ("cols", "pos", "type_code", "card", "n_values", "emb")
+    __slots__ = ("cols", "type_code", "card", "n_values", "emb")
 
     def __init__(self, rows: pd.DataFrame):
         rows = rows.sort_values("col")
         self.cols = rows["col"].to_numpy(dtype=np.int64)
-        self.pos = {int(c): i for i, c in enumerate(self.cols)}
         self.type_code = rows["type_code"].to_numpy()
         self.card = rows["card"].to_numpy(dtype=np.float64)
         self.n_values = rows["n_values"].to_numpy()
         self.emb = None
         if "emb" in rows.columns and len(rows):
             e = rows["emb"].to_numpy()
-            if all(x is not None for x in e):
-                self.emb = np.stack([np.asarray(x, dtype=np.float64) for x in e])
+            width = next((len(x) for x in e if x is not None), 0)
+            if width:  # a column without a vector has cosine 0 with all others
+                self.emb = np.stack([np.zeros(width) if x is None else np.asarray(x, dtype=np.float64) for x in e])
 
     def __len__(self) -> int:
         return len(self.cols)
@@ -155,8 +155,8 @@ def score_one(q_idx: int, c_idx: int, tq: TableCols, tc: TableCols,
         return out
     k = np.zeros((n_q, n_c))
     if kk is not None and len(kk):
-        ii = np.array([tq.pos[int(x)] for x in kk["col"].to_numpy()], dtype=np.int64)
-        jj = np.array([tc.pos[int(x)] for x in kk["col2"].to_numpy()], dtype=np.int64)
+        # positions are 0..n-1, in the order of the rows
+        ii, jj = kk["col"].to_numpy(dtype=np.int64), kk["col2"].to_numpy(dtype=np.int64)
         kv = kk["k"].to_numpy(dtype=np.float64)
         k[ii, jj] = kv
         if q_idx == c_idx:

@@ -51,9 +51,11 @@ def upper_pairs(spark: SparkSession, ok_idx: list[int], cfg: ScoreConfig) -> Dat
 def mirror(df: DataFrame, cfg: ScoreConfig) -> DataFrame:
     """Ordered pairs from the upper triangle: add (c, q) for q < c, then apply S4/S5."""
     other = [c for c in df.columns if c not in ("q_idx", "c_idx")]
-    swapped = df.where(F.col("q_idx") < F.col("c_idx")).select(
-        F.col("c_idx").alias("q_idx"), F.col("q_idx").alias("c_idx"), *other)
-    out = df.unionByName(swapped)
+    one = F.struct(F.col("q_idx").alias("q"), F.col("c_idx").alias("c"))
+    two = F.struct(F.col("c_idx").alias("q"), F.col("q_idx").alias("c"))
+    turned = F.explode(F.when(F.col("q_idx") < F.col("c_idx"), F.array(one, two)).otherwise(F.array(one)))
+    out = df.select(turned.alias("_pair"), *other).select(
+        F.col("_pair.q").alias("q_idx"), F.col("_pair.c").alias("c_idx"), *other)
     if cfg.num_queries:
         out = out.where(F.col("q_idx") < cfg.num_queries)
     if cfg.max_candidates:

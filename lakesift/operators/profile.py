@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 from lakesift.config import ScoreConfig
 from lakesift.functions import text as tx
+from lakesift.plans.util import maybe_broadcast
+from lakesift.sources.lake import ROW_MARK
 
 
 def raw_value_counts(cells: DataFrame) -> DataFrame:
@@ -62,17 +64,35 @@ def _first_seen(raw: DataFrame) -> list:
     return [F.min("first").alias("first")] if "first" in raw.columns else []
 
 
-def inferred_type(src_class, n_non_null, all_numeric_text, all_boolean_text, n_rows=None):
-    """P3: 'numeric' iff every non-null value is a number; empty -> 'string'.
+def csv_row_counts(raw: DataFrame) -> DataFrame:
+    """P1 of CSV tables from their row marks."""
+    return raw.where(F.col("col_idx") == ROW_MARK).select("table_idx", F.col("n").alias("n_rows"))
+
+
+def csv_typed(raw: DataFrame, limit_bytes: int, n_columns: int) -> DataFrame:
+    """Raw counts of CSV tables after each column is read as a whole: whole
+    numbers (floats if a cell is missing), floats, booleans, else text.  Texts
+    of one value (``1.50`` and ``1.5``) become one."""
+    cells = raw.where(F.col("col_idx") >= 0)
+    kinds = cells.groupBy("table_idx", "col_idx").agg(
+        F.bool_and(tx.is_integer_text(F.col("value"))).alias("ints"),
+        F.bool_and(tx.is_numeric_text(F.col("value"))).alias("numbers"),
+        F.bool_and(tx.is_boolean_text(F.col("value"))).alias("booleans"),
+        F.sum("n").alias("filled")).join(csv_row_counts(raw), "table_idx")
+    kind = (F.when(F.col("ints") & (F.col("filled") == F.col("n_rows")), "int")
+            .when(F.col("numbers"), "float").when(F.col("booleans"), "bool").otherwise("text"))
+    kinds = maybe_broadcast(kinds.select("table_idx", "col_idx", kind.alias("kind")), 64 * n_columns, limit_bytes)
+    typed = cells.join(kinds, ["table_idx", "col_idx"]).withColumn("value", tx.typed_text(F.col("value"), F.col("kind")))
+    return typed.groupBy("table_idx", "col_idx", "value").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
 
-    CSV text: a column of only true/false values is read as booleans (a
-    number class) only when it has no missing cell; with one, it stays text."""
-    no_missing = F.lit(True) if n_rows is None else (n_rows == n_non_null)
+
+def inferred_type(src_class, n_non_null, all_numeric_text, all_boolean_text):
+    """P3: 'numeric' iff every non-null value is a number; empty -> 'string'.
+    A CSV column of only true/false values is a number class, missing cells or not."""
     num = (
         (src_class == tx.SRC_NUMERIC)
-        | ((src_class == tx.SRC_TEXT) & F.coalesce(all_numeric_text, F.lit(False)))
-        | ((src_class == tx.SRC_CSV) & (F.coalesce(all_numeric_text, F.lit(False))
-                                        | (F.coalesce(all_boolean_text, F.lit(False)) & no_missing)))
+        | (src_class.isin(tx.SRC_TEXT, tx.SRC_CSV) & F.coalesce(all_numeric_text, F.lit(False)))
+        | ((src_class == tx.SRC_CSV) & F.coalesce(all_boolean_text, F.lit(False)))
     )
     return F.when((n_non_null > 0) & num, F.lit("numeric")).otherwise(F.lit("string"))
 
@@ -181,7 +201,7 @@ def assemble(columns: DataFrame, table_rows: DataFrame, stats: DataFrame, top: D
         .select(
             "table_idx", "col_idx", "column_name", "src_class",
             inferred_type(F.col("src_class"), nn, F.col("all_numeric_text"),
-                          F.col("all_boolean_text"), rows).alias("inferred_type"),
+                          F.col("all_boolean_text")).alias("inferred_type"),
             rows.alias("n_rows"),
             nn.alias("n_non_null"),
             F.coalesce(F.col("n_distinct"), F.lit(0)).alias("n_distinct"),

@@ -19,7 +19,9 @@ top-k, samples) run in one job that reuses its single shuffle.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,8 +29,11 @@ from pyspark.sql import functions as F
 from lakesift.config import ScoreConfig
 from lakesift.operators import align, joinability as jn, labels as lb, pairs as pr
 from lakesift.operators import profile as pf, semantic as sm
-from lakesift.plans.util import cut_lineage, maybe_broadcast, scratch_path, ship_package
-from lakesift.sources.lake import Lake
+from lakesift.plans.util import cut_lineage, maybe_broadcast, remove_path, scratch_path, ship_package
+from lakesift.sources.lake import BAD_MARK, Lake
+
+#: Errors of reading a file, in contrast to those of the job or the cluster.
+READ_FAILURE = re.compile(r"FAILED_READ_FILE|CANNOT_READ_FILE|PARQUET|Parquet|MALFORMED|Could not read|not a Parquet file|Corrupt|corrupt")
 
 
 @dataclass
@@ -37,13 +42,17 @@ class LakeState:
 
     lake: Lake
     cfg: ScoreConfig
-    materialize: bool = False
+    materialize: bool = True
 
     def __post_init__(self):
         self.spark = self.lake.spark
         self._cache: dict[str, object] = {}
-        self.n_columns = len(self.lake.column_rows())
         self.n_tables = self.lake.n_tables()
+        self._made: list[str] = []
+
+    @property
+    def n_columns(self) -> int:
+        return len(self.lake.column_rows())
 
     def _get(self, key, build):
         if key not in self._cache:
@@ -53,43 +62,105 @@ class LakeState:
     def _cut(self, df: DataFrame) -> DataFrame:
         return cut_lineage(df) if self.materialize else df
 
-    # -- dimensions --------------------------------------------------------
+    # -- dimensions (after the scan, which may take tables out, S3) -----------
     @property
     def tables(self) -> DataFrame:
+        self._settle()
         return self._get("tables", self.lake.table_dim)
 
     @property
     def columns(self) -> DataFrame:
+        self._settle()
         return self._get("columns", self.lake.column_dim)
 
     # -- stage 1-2 -----------------------------------------------------------
+    def _csv(self) -> tuple[DataFrame, DataFrame] | None:
+        """(typed raw counts, row counts) of the CSV tables.  Their raw counts
+        are written once: types need whole columns, and malformed rows fail
+        their table."""
+        def build():
+            idx = [i for i in self.lake.ok_indices() if self.lake.tables[i].fmt == "csv"]
+            parts = self._isolated(idx, lambda part: cut_lineage(
+                pf.raw_value_counts(self.lake.cells(with_ord=True, subset=part, marks=True))))
+            if not parts:
+                return None
+            raw = reduce(DataFrame.unionByName, parts)
+            for r in raw.where(F.col("col_idx") == BAD_MARK).select("table_idx", "n").collect():
+                self.lake.fail(r["table_idx"], f"{r['n']} rows with more fields than the header")
+            left = self.lake.ok_indices()
+            raw = raw.where(F.col("table_idx").isin(left))
+            return pf.csv_typed(raw, self.cfg.broadcast_limit_bytes, self.n_columns), pf.csv_row_counts(raw)
+        return self._get("csv", build)
+
+    def _isolated(self, idx: list[int], run) -> list:
+        """Results of ``run`` over batches of tables; a batch that can't be read
+        is halved until the tables at fault stand alone and are taken out."""
+        size, todo, out = max(1, self.cfg.profile_batch_tables), [], []
+        for start in range(0, len(idx), size):
+            todo.append(idx[start:start + size])
+        while todo:
+            part = todo.pop(0)
+            try:
+                out.append(run(part))
+            except Exception as e:
+                if not READ_FAILURE.search(str(e)):
+                    raise
+                if len(part) == 1:
+                    self.lake.fail(part[0], f"{type(e).__name__}: {str(e).splitlines()[0]}")
+                else:
+                    half = len(part) // 2
+                    todo[:0] = [part[:half], part[half:]]
+        return out
+
+    def _raw(self, subset: list[int]) -> tuple[DataFrame, DataFrame]:
+        """Raw counts and row counts of some tables."""
+        parquet = [i for i in subset if self.lake.tables[i].fmt == "parquet"]
+        raw = pf.raw_value_counts(self.lake.cells(with_ord=True, subset=parquet))
+        rows = self.lake.table_rows(parquet)
+        csv = self._csv() if len(parquet) < len(subset) else None
+        if csv:
+            mine = F.col("table_idx").isin([i for i in subset if i not in set(parquet)])
+            typed, counted = csv[0].where(mine), csv[1].where(mine)
+            raw = raw.unionByName(typed) if parquet else typed
+            rows = rows.unionByName(counted) if parquet else counted
+        return raw, rows
+
     @property
     def raw(self) -> DataFrame:
-        return self._get("raw", lambda: pf.raw_value_counts(self.lake.cells(with_ord=True)))
+        self._settle()
+        return self._get("raw", lambda: self._raw(self.lake.ok_indices())[0])
 
-    def _bundle(self, subset: list[int] | None) -> DataFrame:
-        raw = self.raw if subset is None else pf.raw_value_counts(
-            self.lake.cells(with_ord=True, subset=subset))
-        return pf.bundle(raw, self.lake.table_rows(subset), self.cfg,
-                         samples=sm.sample_values(raw, self.cfg))
+    def _bundle(self, subset: list[int]) -> DataFrame:
+        raw, rows = self._raw(subset)
+        return pf.bundle(raw, rows, self.cfg, samples=sm.sample_values(raw, self.cfg))
+
+    def _settle(self) -> None:
+        """Scan the lake: after this it is known which tables can be read."""
+        def build():
+            self._csv()
+            if not self.materialize:
+                return ()
+            # one job per batch of tables: a single scan + shuffle of ``raw``
+            # feeds stats, top-k and samples; only the small bundle is written
+            path = scratch_path(self.spark, "profile")
+            self._made.append(path)
+
+            def run(part):
+                at = f"{path}/{part[0]}-{part[-1]}"
+                self._bundle(part).write.mode("overwrite").parquet(at)
+                return at
+            return self._isolated(self.lake.ok_indices(), run)
+        self._get("settled", build)
 
     def _profile_outputs(self):
         def build():
             if self.materialize:
-                # one job per batch of tables: a single scan + shuffle of ``raw``
-                # feeds stats, top-k and samples; only the small bundle is written
-                ok = self.lake.ok_indices()
-                size = max(1, self.cfg.profile_batch_tables)
-                if len(ok) <= size:
-                    b = cut_lineage(self._bundle(None))
-                else:
-                    path = scratch_path(self.spark, "profile")
-                    for start in range(0, len(ok), size):
-                        self._bundle(ok[start:start + size]).write.mode("append").parquet(path)
-                    b = self.spark.read.parquet(path)
-                return pf.split_bundle(b, self.columns)
-            return (pf.profile(self.raw, self.columns, self.lake.table_rows(), self.cfg),
-                    sm.sample_values(self.raw, self.cfg))
+                parts = self._cache["settled"]
+                if parts:
+                    return pf.split_bundle(self.spark.read.parquet(*parts), self.columns)
+            raw, rows = self._raw(self.lake.ok_indices())
+            return pf.profile(raw, self.columns, rows, self.cfg), sm.sample_values(raw, self.cfg)
+        self._settle()
         return self._get("profile_outputs", build)
 
     @property
@@ -103,6 +174,7 @@ class LakeState:
     # -- stage 3 ---------------------------------------------------------------
     @property
     def pairs(self) -> DataFrame:
+        self._settle()
         return self._get("pairs", lambda: pr.upper_pairs(self.spark, self.lake.ok_indices(), self.cfg))
 
     @property
@@ -183,7 +255,7 @@ class LakeState:
         """``(q_idx, c_idx, n_q, n_c, union_total, unionability, semantic_join,
         semantic_union)`` for every upper-triangle pair."""
         key = f"pair_scores_{with_semantic}"
-        return self._get(key, lambda: self._pair_scores(with_semantic))
+        return self._get(key, lambda: self._cut(self._pair_scores(with_semantic)))
 
     def _pair_scores(self, with_semantic: bool) -> DataFrame:
         """Stage 5 as a blocked grouped map.
@@ -285,7 +357,11 @@ class LakeState:
         return self._get("labels", build)
 
     def release(self) -> None:
-        """Kept for symmetry with callers; nothing is cached in memory."""
+        """Remove the written profile tables; the state can't be used afterwards."""
+        for path in self._made:
+            remove_path(self.spark, path)
+        self._made.clear()
+        self._cache.clear()
 
 
 def label_lake(lake: Lake, cfg: ScoreConfig | None = None, materialize: bool = True) -> DataFrame:

@@ -19,23 +19,34 @@ def maybe_broadcast(df: DataFrame, est_bytes: int, limit_bytes: int) -> DataFram
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder; create a local one only if unset.
+    """The session's checkpoint folder, ``spark.checkpoint.dir``.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as
-    is.  Only local runs (tests, bench) without that setting get a temporary
-    folder.
-    """
+    Where the setting is absent, a folder of the cluster's default file system
+    is taken; a machine-local one only if the executors run on this machine
+    (``local`` masters: tests, bench).  Otherwise the job stops here, as other
+    machines would not see the files."""
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
     if d:
         return d
     d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
+    if not d and sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
         d = tempfile.mkdtemp(prefix="lakesift-ckpt-")
+    elif not d:
+        home = sc._jvm.org.apache.hadoop.fs.FileSystem.get(sc._jsc.hadoopConfiguration())
+        if home.getUri().getScheme() == "file":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        d = home.getHomeDirectory().toString() + "/lakesift-checkpoints"
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder that :func:`scratch_path` named."""
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the checkpoint folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -12,6 +12,7 @@ from __future__ import annotations
 import csv
 import io
 import posixpath
+import re
 from dataclasses import dataclass
 from functools import reduce
 
@@ -36,6 +37,12 @@ COLUMN_DIM_SCHEMA = T.StructType([
     T.StructField("src_class", T.StringType(), False),
 ])
 
+#: Lines read for a header, and the column of records that don't fit.
+HEADER_LINES = 200
+BAD_RECORD = "_bad_record"
+#: Cells that mark rows of CSV tables: every row, and rows with too many fields.
+ROW_MARK, BAD_MARK = -1, -2
+
 CELL_SCHEMA_DDL = "table_idx int, col_idx int, value string"
 
 
@@ -55,18 +62,24 @@ class _Loaded:
 
 
 def list_lake(spark: SparkSession, root: str, pattern: str = "*.csv") -> list[str]:
-    """Files matching ``pattern`` directly in ``root``, sorted by path."""
-    try:
-        jvm = spark.sparkContext._jvm
-        hpath = jvm.org.apache.hadoop.fs.Path(root.rstrip("/") + "/" + pattern)
-        fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        statuses = fs.globStatus(hpath) or []
-        paths = [s.getPath().toString() for s in statuses if s.isFile()]
-    except Exception:  # no JVM gateway (e.g. Spark Connect): local listing
-        import glob
-
-        paths = [p for p in glob.glob(posixpath.join(root, pattern))]
-    return sorted(paths)
+    """Files and folder tables matching ``pattern`` directly in ``root``,
+    sorted by path.  File system errors are raised, never an empty lake."""
+    sc = spark.sparkContext
+    hpath = sc._jvm.org.apache.hadoop.fs.Path(root.rstrip("/") + "/" + pattern)
+    fs = hpath.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not fs.exists(sc._jvm.org.apache.hadoop.fs.Path(root)):
+        raise FileNotFoundError(f"no such lake folder: {root}")
+    return sorted(s.getPath().toString() for s in fs.globStatus(hpath) or [])
+
+
+def header_names(lines: list[str]) -> list[str]:
+    """Column names from the first lines of a CSV text: the first record that
+    isn't blank (it may span lines inside quotes); a blank name is named by its
+    position, duplicates are numbered."""
+    for record in csv.reader(io.StringIO("\n".join(lines), newline="")):
+        if len(record) > 1 or (record and record[0].strip()):
+            return dedupe_names([n if n != "" else f"Unnamed: {i}" for i, n in enumerate(record)])
+    raise ValueError("No columns to parse from file")
 
 
 def dedupe_names(names: list[str]) -> list[str]:
@@ -93,11 +106,11 @@ def dedupe_names(names: list[str]) -> list[str]:
 class Lake:
     """Tables of a lake plus their load status (S3)."""
 
-    def __init__(self, spark: SparkSession, tables: list[LakeTable], csv_multiline: bool = True,
+    def __init__(self, spark: SparkSession, tables: list[LakeTable],
                  rebalance_bytes: int = 2 << 20, schema_threads: int = 16):
         self.spark = spark
         self.tables = tables
-        self.csv_multiline = csv_multiline
+        self.multiline = self._find_multiline()
         self.rebalance_bytes = rebalance_bytes
         self.loaded: dict[int, _Loaded] = {}
         self.errors: dict[int, str] = {}
@@ -141,20 +154,33 @@ class Lake:
             if not cols:
                 raise ValueError("table has no columns")
             return _Loaded(df, cols, self._size(t.path))
-        # CSV: every column read as text; header names resolved like a CSV
-        # reader with duplicate-name mangling.
-        head = self.spark.read.text(t.path).limit(1).collect()
-        if not head:
-            raise ValueError("No columns to parse from file")
-        names = dedupe_names(next(csv.reader(io.StringIO(head[0][0]))))
-        df = (self.spark.read.option("header", True).option("inferSchema", False)
-              .option("multiLine", self.csv_multiline).option("escape", '"')
+        # CSV: every column read as text, by position; names from the header
+        if t.name.startswith(("_", ".")):
+            raise ValueError("hidden name: Spark's readers skip it")
+        names = header_names([r[0] for r in self.spark.read.text(t.path).limit(HEADER_LINES).collect()])
+        fields = [T.StructField(f"_c{i}", T.StringType()) for i in range(len(names))]
+        schema = T.StructType([*fields, T.StructField(BAD_RECORD, T.StringType())])
+        df = (self.spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
+              .option("columnNameOfCorruptRecord", BAD_RECORD).option("escape", '"')
+              .option("multiLine", t.table_idx in self.multiline).option("enforceSchema", True)
               .csv(t.path))
-        if len(df.columns) != len(names):
-            raise ValueError("header does not match the parsed columns")
-        cols = [(src, name, T.StringType()) for src, name in zip(df.columns, names)]
+        cols = [(f.name, name, T.StringType()) for f, name in zip(fields, names)]
         return _Loaded(df, cols, self._size(t.path))
 
+    def _find_multiline(self) -> set[int]:
+        """CSV tables with a line break inside quotes (a line with an odd number
+        of quotes), found in one distributed pass; only these are read unsplit."""
+        paths = {t.path: t.table_idx for t in self.tables if t.fmt == "csv" and not t.name.startswith(("_", "."))}
+        if not paths:
+            return set()
+        odd = (F.char_length("value") - F.char_length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1
+        lines = self.spark.read.text(list(paths)).where(odd)
+        found = [r[0] for r in lines.select(F.col("_metadata.file_path")).distinct().collect()]
+        from urllib.parse import unquote, urlsplit
+
+        plain = {unquote(urlsplit(p).path): i for p, i in paths.items()}
+        return {i for f in found for p, i in plain.items() if (unquote(urlsplit(f).path) + "/").startswith(p.rstrip("/") + "/")}
+
     def _size(self, path: str) -> int | None:
         """File size from the file system listing (metadata only)."""
         try:
@@ -204,11 +230,21 @@ class Lake:
         the task; a row takes at least one byte, so positions of a split stay
         below the next split's start offset and file order is preserved."""
         if t.fmt == "parquet":
-            return F.col("_metadata.row_index")
-        return F.col("_metadata.file_block_start") + F.expr("monotonically_increasing_id() & 8589934591")
+            place = F.col("_metadata.row_index")
+        else:
+            place = F.col("_metadata.file_block_start") + F.expr("monotonically_increasing_id() & 8589934591")
+        files = sorted(self.loaded[t.table_idx].df.inputFiles())
+        if len(files) < 2:
+            return place
+        # a table of several files: file order first
+        one_slash = "^([A-Za-z][A-Za-z0-9+.-]*):/+"
+        names = [re.sub(one_slash, r"\1:/", f) for f in files]
+        file = F.regexp_replace(F.col("_metadata.file_path"), one_slash, "$1:/")
+        at = F.array_position(F.array(*(F.lit(f) for f in names)), file)
+        return F.shiftleft(at, 42) + place
 
     def table_cells(self, table_idx: int, with_ord: bool = False,
-                    max_cols: int | None = None, keep_nulls: bool = False) -> DataFrame:
+                    max_cols: int | None = None, keep_nulls: bool = False, marks: bool = False) -> DataFrame:
         """One row per cell ``(table_idx, col_idx, value[, ord])``.
 
         Null cells are dropped right after the unpivot (F1) unless
@@ -223,6 +259,12 @@ class Lake:
             if t.fmt == "csv":
                 value = tx.null_tokens_to_null(value)
             structs.append(F.struct(F.lit(i).alias("col_idx"), value.alias("value")))
+        if marks and t.fmt == "csv":
+            # row count and malformed rows from the same pass as the cells
+            rest = F.regexp_replace(F.col(BAD_RECORD), '"([^"]|"")*"', "")
+            bad = F.char_length(rest) - F.char_length(F.replace(rest, F.lit(","), F.lit(""))) >= len(ld.columns)
+            for mark, value in ((ROW_MARK, F.lit("")), (BAD_MARK, F.when(bad, F.lit("")))):
+                structs.append(F.struct(F.lit(mark).alias("col_idx"), value.alias("value")))
         src_df = ld.df
         ord_col = self._ordinal(t).alias("ord") if with_ord else None
         parts = self._rebalance_parts(t, ld)
@@ -230,7 +272,9 @@ class Lake:
             # Narrow scan of a heavy file (e.g. one row group): spread the rows
             # before the unpivot + aggregation, which cost far more per row
             # than the scan.  Hash on the row ordinal: deterministic, no sort.
-            keep = [F.col(f"`{src}`") for src, _, _ in ld.columns]
+            keep = [F.col(tx.quoted(src)) for src, _, _ in ld.columns]
+            if t.fmt == "csv":
+                keep.append(F.col(BAD_RECORD))
             src_df = src_df.select(self._ordinal(t).alias("__ord"), *keep).repartition(parts, "__ord")
             ord_col = F.col("__ord").alias("ord") if with_ord else None
         sel = [F.lit(table_idx).alias("table_idx")]
@@ -245,8 +289,7 @@ class Lake:
         """Target partitions when a table's scan is too narrow for its size, else 0.
 
         Only files whose bytes per scan partition exceed ``rebalance_bytes``
-        are spread (to about one partition per ``rebalance_bytes``, at most the
-        default parallelism).  Tables that Spark already splits finely - the
+        are spread, to about one partition per ``rebalance_bytes``.  Tables that Spark already splits finely - the
         normal case for large lakes - are never shuffled here."""
         if not self.rebalance_bytes or ld.size_bytes is None:
             return 0
@@ -254,13 +297,19 @@ class Lake:
             scan_parts = ld.df.rdd.getNumPartitions()
         except Exception:
             return 0
-        want = min(self.spark.sparkContext.defaultParallelism,
-                   -(-ld.size_bytes // self.rebalance_bytes))
+        want = -(-ld.size_bytes // self.rebalance_bytes)
         return want if want > scan_parts else 0
 
+    def fail(self, table_idx: int, error: str) -> None:
+        """S3: take a table that turned out unreadable out of the lake."""
+        self.loaded.pop(table_idx, None)
+        self.errors[table_idx] = error
+
     def table_rows(self, subset: list[int] | None = None) -> DataFrame:
-        """P1 row counts ``(table_idx, n_rows)``: column-free scans, one per table."""
+        """P1 row counts ``(table_idx, n_rows)`` of Parquet tables: column-free
+        scans, answered from footers.  CSV rows are counted by their marks."""
         idx = self.ok_indices() if subset is None else subset
+        idx = [i for i in idx if self.tables[i].fmt == "parquet"]
         parts = [self.loaded[i].df.agg(F.count(F.lit(1)).alias("n_rows"))
                  .select(F.lit(i).alias("table_idx"), "n_rows") for i in idx]
         if not parts:
@@ -268,11 +317,11 @@ class Lake:
         return reduce(DataFrame.unionByName, parts)
 
     def cells(self, with_ord: bool = False, max_cols: int | None = None,
-              keep_nulls: bool = False, subset: list[int] | None = None) -> DataFrame:
+              keep_nulls: bool = False, subset: list[int] | None = None, marks: bool = False) -> DataFrame:
         """Cells of the loaded tables (``subset`` or all): one UNION ALL of
         per-table scans."""
         idx = self.ok_indices() if subset is None else subset
-        parts = [self.table_cells(i, with_ord, max_cols, keep_nulls) for i in idx]
+        parts = [self.table_cells(i, with_ord, max_cols, keep_nulls, marks) for i in idx]
         if not parts:
             schema = CELL_SCHEMA_DDL + (", ord bigint" if with_ord else "")
             return self.spark.createDataFrame([], schema)
