@@ -350,11 +350,48 @@ def queries_sql(tables: tuple[str, ...], schema_dir: str = SCHEMA_DIR) -> dict[s
         "label_summary": ("SELECT CAST(sum(greatest(is_join_gt, is_union_gt)) AS BIGINT) AS positive_pairs, "
                           "count(*) AS total_pairs FROM lab", ["lab"]),
     }
+    labels, needs = q["pair_labels"]
+    q["labels_prefix"] = (labels + " WHERE x.q_idx < 4 AND x.c_idx < 6", needs)
+    q["no_model_labels"] = (
+        f"SELECT {PAIR}, round(round(greatest(x.joinability, u.unionability), {C}), {d}) AS similarity, "
+        f"round(round(x.joinability, {C}), {d}) AS joinability, round(round(u.unionability, {C}), {d}) AS unionability, "
+        "0.5::DOUBLE AS semantic_table, 0.0::DOUBLE AS semantic_join, 0.0::DOUBLE AS semantic_union, "
+        "0 AS is_join_gt, 0 AS is_union_gt, 0 AS is_ground_truth FROM joinability x JOIN unionability u USING (q_idx, c_idx) "
+        "JOIN tabs qt ON qt.table_idx = x.q_idx JOIN tabs ct ON ct.table_idx = x.c_idx", ["joinability", "unionability", "tabs"])
     out = {k: o.sql(sel, needs) for k, (sel, needs) in q.items()}
+    listed = lake_spec((*tables, "embeddings"), schema_dir)
+    out["lake_listing"] = "SELECT * FROM (VALUES " + ", ".join(
+        f"({i}, '{name}', {len(cols)}, 'ok')" for i, (_, name, cols) in enumerate(listed)) + ") AS t(table_idx, table_name, n_cols, status)"
+    out["csv_profile"] = CSV_CELLS + CSV_PROFILE
+    out["csv_top_values"] = CSV_CELLS + CSV_TOP
     out["vector_cosine"] = VECTOR_COSINE_SQL
     return out
 
 
+# The cells of the CSV table after typing, written out by hand.
+CSV_CELLS = """
+WITH cell AS (
+  SELECT c_custkey AS k, unnest([
+    struct_pack(c := 'key', t := 'numeric', v := CAST(c_custkey AS VARCHAR)),
+    struct_pack(c := 'nation', t := 'numeric', v := CASE WHEN c_custkey % 5 != 0 THEN CAST(CAST(c_nationkey AS DOUBLE) AS VARCHAR) END),
+    struct_pack(c := 'balance', t := 'numeric', v := CAST(CAST(printf('%.2f', CAST(c_acctbal AS DOUBLE)) AS DOUBLE) AS VARCHAR)),
+    struct_pack(c := 'flag', t := 'numeric', v := CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN c_custkey % 2 = 0 THEN 'True' ELSE 'False' END),
+    struct_pack(c := 'nothing', t := 'string', v := NULL),
+    struct_pack(c := 'note', t := 'string', v := CASE WHEN c_custkey % 3 != 0 THEN ' ' || c_mktsegment || ', x ' END)]) AS s
+  FROM customer),
+top AS (
+  SELECT s.c AS c, trim(lower(s.v)) AS v, count(*) AS freq, row_number() OVER (PARTITION BY s.c ORDER BY count(*) DESC, min(k)) AS rank
+  FROM cell WHERE s.v IS NOT NULL GROUP BY 1, 2 QUALIFY rank <= 200)
+"""
+CSV_PROFILE = """
+SELECT s.c AS column_name, any_value(s.t) AS inferred_type, count(*) AS n_rows, count(s.v) AS n_non_null,
+  count(DISTINCT s.v) AS n_distinct, CAST((SELECT count(*) FROM top WHERE top.c = cell.s.c) AS INTEGER) AS n_values,
+  round(CASE WHEN count(s.v) > 0 THEN count(DISTINCT s.v) / count(s.v) ELSE 0.0 END, 6) AS cardinality_ratio,
+  round(CASE WHEN count(s.v) > 0 THEN (count(*) - count(s.v)) / count(*) ELSE 1.0 END, 6) AS null_ratio
+FROM cell GROUP BY s.c
+"""
+CSV_TOP = "SELECT c AS column_name, v AS value, freq, CAST(rank AS INTEGER) AS rank FROM top"
+
 VECTOR_COSINE_SQL = f"""
 WITH el AS (
   SELECT vec_id, label, generate_subscripts(embedding, 1) AS d, unnest(embedding) AS x FROM embeddings

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from lakesift.config import CARDINALITY_WEIGHT, JACCARD_WEIGHT, ScoreConfig
 from lakesift.operators import joinability as jn, labels as lb, pairs as pr, semantic as sm
 from lakesift.plans.labelling import LakeState
-from lakesift.plans.util import maybe_broadcast
+from lakesift.plans.util import maybe_broadcast, scratch_path
 from lakesift.sources.lake import Lake
 
 # The test lake: every table of a scale-factor folder except ``embeddings``
@@ -302,6 +302,60 @@ def q_label_summary(spark, sf_dir):
     return lb.summary(st.labels())
 
 
+# -- listing, prefixes, no model ------------------------------------------------------
+
+def q_lake_listing(spark, sf_dir):
+    """Every table of the folder in path order, with its load status."""
+    return Lake.from_folder(spark, sf_dir, fmt="parquet").table_dim().select("table_idx", "table_name", "n_cols", "status")
+
+
+PREFIX_QUERIES, PREFIX_CANDIDATES = 4, 6
+
+
+def q_labels_prefix(spark, sf_dir):
+    """S4 + S5: labels of the first queries against the first listed candidates."""
+    st = state(spark, sf_dir, ScoreConfig(num_queries=PREFIX_QUERIES, max_candidates=PREFIX_CANDIDATES))
+    return st.labels().drop("q_idx", "c_idx")
+
+
+def q_no_model_labels(spark, sf_dir):
+    """E6 / E11 without an embedder: constant table score, no column scores."""
+    return state(spark, sf_dir, ScoreConfig(embedder="none")).labels().drop("q_idx", "c_idx")
+
+
+# -- CSV ------------------------------------------------------------------------------
+
+def _csv_state(spark: SparkSession, sf_dir: str) -> LakeState:
+    """The customers as a CSV table of several files: zero-padded numbers, missing
+    cells in an integer, a boolean and a text column, an empty column."""
+    key = F.col("c_custkey")
+    rows = spark.read.parquet(posixpath.join(sf_dir, "customer.parquet")).select(
+        key.alias("sort_key"), F.lpad(key.cast("string"), 12, "0").alias("key"),
+        F.when(key % 5 != 0, F.col("c_nationkey")).cast("string").alias("nation"),
+        F.format_string("%.2f", F.col("c_acctbal").cast("double")).alias("balance"),
+        F.when(key % 7 == 0, None).when(key % 2 == 0, "true").otherwise("FALSE").alias("flag"),
+        F.lit(None).cast("string").alias("nothing"),
+        F.when(key % 3 == 0, "NA").otherwise(F.concat(F.lit(" "), F.col("c_mktsegment"), F.lit(", x "))).alias("note"))
+    root = scratch_path(spark, "csv-lake")
+    parts = rows.repartitionByRange(3, "sort_key").sortWithinPartitions("sort_key").drop("sort_key")
+    parts.write.option("header", True).option("ignoreLeadingWhiteSpace", False).option(
+        "ignoreTrailingWhiteSpace", False).csv(f"{root}/customer.csv")
+    return LakeState(Lake.from_folder(spark, root), ScoreConfig())
+
+
+def q_csv_profile(spark, sf_dir):
+    """S2, F1, F3, P2, P3, P8, P9 on a CSV table with missing cells."""
+    return _csv_state(spark, sf_dir).profiles.columns.select(
+        "column_name", "inferred_type", "n_rows", "n_non_null", "n_distinct", "n_values", _r("cardinality_ratio"), _r("null_ratio"))
+
+
+def q_csv_top_values(spark, sf_dir):
+    """P4-P7 on the same table: values after their column is typed as a whole."""
+    st = _csv_state(spark, sf_dir)
+    names = st.columns.select("table_idx", "col_idx", "column_name")
+    return st.profiles.values.join(names, ["table_idx", "col_idx"]).select("column_name", "value", "freq", F.col("rank").cast("int").alias("rank"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "lake_cells": q_lake_cells,
     "column_counts": q_column_counts,
@@ -329,4 +383,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "semantic_union": q_semantic_union,
     "pair_labels": q_pair_labels,
     "label_summary": q_label_summary,
+    "lake_listing": q_lake_listing,
+    "labels_prefix": q_labels_prefix,
+    "no_model_labels": q_no_model_labels,
+    "csv_profile": q_csv_profile,
+    "csv_top_values": q_csv_top_values,
 }

@@ -6,12 +6,13 @@ import math
 import duckdb
 import pytest
 
-import __spark_entry__ as E
+from lakesift.oracles.duck import queries_sql
+from lakesift.plans.queries import LAKE_TABLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
-SQL = E.oracle_sql()
+SQL = queries_sql(LAKE_TABLES)
 
 
 @pytest.fixture(scope="module")
@@ -33,12 +34,12 @@ def digest(rows, cols):
 
 
 def test_every_query_has_an_oracle():
-    assert set(E.queries()) == set(SQL)
+    assert set(QUERIES) == set(SQL)
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, con, name):
-    df = E.queries()[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     rows = [tuple(r) for r in df.collect()]
     res = con.execute(SQL[name])
     ocols = [d[0] for d in res.description]
