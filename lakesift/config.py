@@ -81,7 +81,8 @@ class ScoreConfig:
     # whose small outputs are appended to one table in the checkpoint folder,
     # so no single plan unions more than this many table scans.
     profile_batch_tables: int = 256
-    # Pair kernel blocking: tables per block (a group scores all pairs of two
-    # blocks) and block pairs per task.
+    # Pair kernel blocking: most tables and columns of a block (a group scores
+    # all pairs of two blocks) and block pairs per task.
     pair_block_tables: int = 32
+    pair_block_columns: int = 512
     blocks_per_task: int = 4

@@ -260,22 +260,31 @@ class LakeState:
     def _pair_scores(self, with_semantic: bool) -> DataFrame:
         """Stage 5 as a blocked grouped map.
 
-        Tables are cut into blocks of ``pair_block_tables``; one group per
-        block pair ``(bq <= bc)`` receives the column rows of the tables of
+        Tables are cut into blocks of at most ``pair_block_tables`` tables and
+        ``pair_block_columns`` columns (a wider table is a block of its own);
+        one group per block pair ``(bq <= bc)`` receives the column rows of the tables of
         both blocks once (with embeddings only if a pair of the block passes
         the gate), its table pairs and their non-zero overlaps, and scores all
         its pairs.  A table's columns are shipped N / B times instead of N
-        times (once per pair), and a group holds at most 2 B tables' columns."""
+        times (once per pair); a group holds at most the columns of two blocks
+        and their overlaps, both bounded by the column budget."""
         cfg = self.cfg
-        bsize = max(1, int(cfg.pair_block_tables))
+        blocks_of = self._blocks()
         semantic = with_semantic and self.column_vectors is not None
         if semantic:
             pairs = self.table_semantic.select(
                 "q_idx", "c_idx", (F.col("semantic_table") >= cfg.semantic_gate).alias("gated"))
         else:
             pairs = self.pairs.withColumn("gated", F.lit(False))
-        blk = lambda c: F.floor(F.col(c) / bsize).cast("int")
-        pairs = pairs.withColumn("bq", blk("q_idx")).withColumn("bc", blk("c_idx"))
+        dim = self.spark.createDataFrame(blocks_of, "table_idx int, blk int")
+        dim = maybe_broadcast(dim, 16 * len(blocks_of), cfg.broadcast_limit_bytes)
+
+        def in_blocks(df: DataFrame) -> DataFrame:
+            for side, name in (("q_idx", "bq"), ("c_idx", "bc")):
+                df = df.join(dim.select(F.col("table_idx").alias(side), F.col("blk").alias(name)), side)
+            return df
+
+        pairs = in_blocks(pairs)
         blocks = pairs.groupBy("bq", "bc").agg(F.max(F.col("gated").cast("int")).alias("any_gated"))
 
         feats = self.profiles.columns.select(
@@ -287,7 +296,7 @@ class LakeState:
             feats = feats.join(self.column_vectors.select("table_idx", "col_idx", F.col("vec").alias("emb")),
                                ["table_idx", "col_idx"], "left")
             per_col_bytes += 4 * cfg.embedding_dim + 64
-        feats = maybe_broadcast(feats.withColumn("blk", blk("table_idx")),
+        feats = maybe_broadcast(feats.join(dim, "table_idx"),
                                 per_col_bytes * self.n_columns, cfg.broadcast_limit_bytes)
 
         null_i, null_l = F.lit(None).cast("int"), F.lit(None).cast("long")
@@ -318,7 +327,7 @@ class LakeState:
 
         pair_rows = shaped(pairs, align.KIND_PAIR, q_idx=F.col("q_idx"), c_idx=F.col("c_idx"),
                            gated=F.col("gated"))
-        ov = self.overlap.withColumn("bq", blk("q_idx")).withColumn("bc", blk("c_idx"))
+        ov = in_blocks(self.overlap)
         ov_rows = shaped(ov, align.KIND_OVERLAP, q_idx=F.col("q_idx"), c_idx=F.col("c_idx"),
                          col=F.col("q_col"), col2=F.col("c_col"), k=F.col("k"))
         rows = (columns_of("bq", False).unionByName(columns_of("bc", True))
@@ -327,13 +336,24 @@ class LakeState:
         # Spread block pairs over Python workers: their input is small per group,
         # so AQE would coalesce it into one task; the partition count grows with
         # the number of block pairs instead (groupBy reuses this partitioning).
-        n_blocks = -(-(max(self.lake.ok_indices(), default=0) + 1) // bsize)
+        n_blocks = len({b for _, b in blocks_of})
         n_groups = n_blocks * (n_blocks + 1) // 2
         parts = max(1, min(n_groups, max(self.spark.sparkContext.defaultParallelism,
                                          -(-n_groups // cfg.blocks_per_task))))
         return (rows.repartition(parts, "bq", "bc")
                 .groupBy("bq", "bc").applyInPandas(align.score_block_group, align.PAIR_SCORE_SCHEMA))
 
+    def _blocks(self) -> list[tuple[int, int]]:
+        """(table_idx, block) by running sums of tables and columns, in table order."""
+        out, block, tables, columns = [], 0, 0, 0
+        for i in self.lake.ok_indices():
+            width = len(self.lake.loaded[i].columns)
+            if tables and (tables >= self.cfg.pair_block_tables or columns + width > self.cfg.pair_block_columns):
+                block, tables, columns = block + 1, 0, 0
+            tables, columns = tables + 1, columns + width
+            out.append((i, block))
+        return out
+
     @property
     def unionability(self) -> DataFrame:
         return self.pair_scores(with_semantic=False).select("q_idx", "c_idx", "unionability")

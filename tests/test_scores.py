@@ -155,7 +155,7 @@ def test_hot_value_salting_gives_the_same_overlap(spark):
     lake = Lake.from_paths(spark, Q.lake_paths(SF))
     plain = LakeState(lake, ScoreConfig(value_salt_buckets=1))
     # every value counts as hot and is split over 3 x 3 salt slices
-    salted = LakeState(lake, ScoreConfig(hot_value_postings=0, value_salt_buckets=3))
+    salted = LakeState(lake, ScoreConfig(hot_value_postings=0, value_salt_buckets=3), materialize=False)
     cols = ["q_idx", "c_idx", "q_col", "c_col", "k"]
     assert _rows(plain.overlap, cols) == _rows(salted.overlap, cols)
     plan = salted.overlap._jdf.queryExecution().optimizedPlan().toString()
@@ -239,3 +239,13 @@ def test_split_lake_parts_are_unionable(spark, tmp_path):
     assert len(rows) == len(prios) ** 2
     for r in rows:
         assert r.unionability >= 0.2 and r.is_union_gt == 1 and r.is_ground_truth == 1
+
+
+def test_blocks_hold_the_column_budget():
+    from types import SimpleNamespace
+
+    widths = [3, 600, 4, 200, 200, 200, 5, 5]
+    lake = SimpleNamespace(ok_indices=lambda: list(range(len(widths))),
+                           loaded={i: SimpleNamespace(columns=[0] * w) for i, w in enumerate(widths)})
+    blocks = LakeState._blocks(SimpleNamespace(lake=lake, cfg=ScoreConfig(pair_block_tables=3)))
+    assert blocks == [(0, 0), (1, 1), (2, 2), (3, 2), (4, 2), (5, 3), (6, 3), (7, 3)]
