@@ -38,7 +38,7 @@ CLEAN_DIGITS = 12
 # Table semantic score used when no embedder is configured.
 NO_MODEL_TABLE_SCORE = 0.5
 
-# Output schema of the labelling job, in order.
+# Output schema of the labelling job, in order.
 OUTPUT_COLUMNS = (
     "query_table",
     "candidate_table",

@@ -52,6 +52,7 @@ def _joined_values(samples: DataFrame) -> DataFrame:
 
 def column_header(prof_columns: DataFrame) -> F.Column:
     """Text of a column before its values."""
+    # The words and separators of the embedding texts.
     empty = F.col("n_non_null") == 0
     return F.when(empty, F.concat(F.lit("Column: "), F.col("column_name"), F.lit(" | Type: empty"))) \
         .otherwise(F.concat(F.lit("Column: "), F.col("column_name"), F.lit(" | Type: "),
