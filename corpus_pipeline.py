@@ -27,13 +27,16 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays (five-word grams,
-    similarity 0.8): the one with the smallest id, first by digest of its text
-    if several rows have that id; documents without words stay."""
-    found = ngram_join.ngram_jaccard(docs, ngram_join.Join(words=5, pct=80))
-    # the rows that go: all of a group but its head
-    head = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    goes = staged(found.where(~head).select("doc_id").distinct(), "near-goes")
-    return docs.join(small_side(goes, goes.count(), 16), "doc_id", "left_anti").select(*docs.columns)
+    similarity 0.8): the one with the smallest id, null ids last, then by hash
+    of its text (rows equal in both count as one); documents without words stay."""
+    found = staged(ngram_join.ngram_jaccard(docs, ngram_join.Join(words=5, pct=80)), "near").where("n_shingles > 0")
+    # the first row of each group, by partial aggregation
+    place = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_hash"))
+    heads = found.groupBy("component_class").agg(F.min(place).alias("head"))
+    goes = found.withColumn("place", place).join(heads, "component_class").where("place != head")
+    goes = staged(goes.select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct(), "near-goes")
+    here = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_hash"))
+    return docs.join(small_side(goes, goes.count(), 24), here, "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -387,17 +387,19 @@ def similarity_links(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id
 
 def ngram_jaccard(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: id, ``n_shingles``, ``component_id`` (smallest id reachable
-    by links) and ``class_id`` (documents of one class have equal sets)."""
+    by links), ``class_id`` (documents of one class have equal sets),
+    ``component_class`` (smallest class reachable) and ``text_hash``."""
     found = similarity_links(docs, join, id_col, text_col)
     # smallest id of each class, then of each component: partial aggregates
     sets = found.sets
     heads = sets.where("n > 0").groupBy("c").agg(F.min("id").alias("low"))
     heads = heads.join(found.comps, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
     lows = heads.groupBy("comp").agg(F.min("low").alias("component_id"))
-    by_class = staged(heads.join(lows, "comp").select("c", "component_id"), "class-components")
-    out = sets.join(small_side(by_class, by_class.count(), 40), "c", "left")
+    by_class = staged(heads.join(lows, "comp").select("c", "comp", "component_id"), "class-components")
+    out = sets.join(small_side(by_class, by_class.count(), 48), "c", "left")
     empty = F.col("n") == 0
     return out.select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
         F.when(empty, F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
-        F.when(~empty, F.col("c")).alias("class_id"))
+        F.when(~empty, F.col("c")).alias("class_id"), F.when(~empty, F.col("comp")).alias("component_class"),
+        F.col("h").alias("text_hash"))

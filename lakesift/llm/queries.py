@@ -13,7 +13,8 @@ from lakesift.llm.common import table
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.ngram_jaccard(table(spark, sf_dir, "documents"), ngram_join.Join(words=4, pct=85)).drop("class_id")
+    found = ngram_join.ngram_jaccard(table(spark, sf_dir, "documents"), ngram_join.Join(words=4, pct=85))
+    return found.select("doc_id", "n_shingles", "component_id")
 
 
 # The rules of the query.

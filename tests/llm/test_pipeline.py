@@ -24,8 +24,10 @@ def test_stages_keep_columns_and_take_effect(spark, edges, tmp_path):
     assert len(kept["byte-level BPE"]) == len(kept["mixing sources to target weights"])
 
 
-def test_empty_table(spark, empty):
-    assert P.run(spark, empty).count() == 0
+def test_stages_on_an_empty_table(spark, empty):
+    docs = spark.read.parquet(f"{empty}/documents.parquet")
+    for name, stage in P.STAGES:
+        assert stage(spark, docs, empty).count() == 0, name
 
 
 def test_run_equals_its_stages(spark):
