@@ -146,7 +146,10 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def clean(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """The kept documents with their cleaned texts and all their other columns;
     ``chars_col`` is counted anew where a text changed."""
-    rows = with_figures(docs, text_col).where(F.col(f"{_OWN}.kept"))
+    # the row number keeps the optimizer from moving the filter below the
+    # figures, where it would repeat all their expressions
+    rows = with_figures(docs, text_col).withColumn(_OWN + "row", F.monotonically_increasing_id())
+    rows = rows.where(F.col(f"{_OWN}.kept") & (F.col(_OWN + "row") >= 0))
     changed = F.col(f"{_OWN}.n_lost_chars") > 0
     out = []
     for c in docs.columns:
