@@ -4,8 +4,10 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-PROSE = ("The quick brown fox jumps over the lazy dog near the river bank today. "
-         "Nobody saw it leave, but everyone heard about the long journey home afterwards.\n")
+def prose(*numbers):
+    """Lines of prose that share no words."""
+    words = "the quick brown fox jumps over a lazy dog near river bank and nobody saw it leave again today"
+    return "".join(" ".join(f"{w}{i}" for w in words.split()).capitalize() + ".\n" for i in numbers)
 
 
 def edge_rows():
@@ -14,7 +16,7 @@ def edge_rows():
     near = base.replace("token60", "other60")
     texts = [
         None, "", "   \n\t ", "one", "two words", "THREE short words", base, base, near, base.upper(), long_text,
-        PROSE * 4, PROSE * 4, PROSE + "Home | About | Contact | Login\n" + PROSE * 3, "word " * 80, "é 漢字   x\x0by\x0cz\r\n",
+        prose(1, 2, 3, 4), prose(1, 2, 3, 4), prose(5) + "Home | About | Contact | Login\n" + prose(6, 7, 8), "word " * 80, "é 漢字   x\x0by\x0cz\r\n",
         "Released under the MIT License. MIT license, gnu general public license; CC BY!", "a.b@mail1.example.com or +1 (212) 555-1234",
         "### $$$ %%% &&& " * 20, near + " tail", "x" * 3000, "ab" * 700 + " " + "cd" * 10,
     ]
