@@ -32,7 +32,7 @@ empty result.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import combinations
 from math import comb, exp
 
@@ -41,10 +41,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakesift.llm.common import WORDS_MAP, gram_hashes, mix, on_workers, runs, small_side, staged, word_hashes
+from lakesift.llm.common import WORDS_MAP, gram_hashes, input_bytes, mix, on_workers, runs, small_side, staged, word_hashes
 
 #: Signature rows that a worker combines before it sends them.
-CHUNK_ROWS = 1 << 20
+CHUNK_ROWS = 1 << 19
+#: Shuffled bytes of a signature row, and of a pass over the documents: a share
+#: of the input, but this many at least.
+ROW_BYTES = 16
+PASS_SHARE = 1.25
+PASS_BYTES = 64 << 20
 #: Cost of a chance meeting in a bucket, in signatures.
 CHANCE_COST = 20
 #: Bytes of text whose sets a worker holds at once.
@@ -162,6 +167,21 @@ def signatures(sets: list[np.ndarray], plans: dict[int, tuple[int, int, int]], p
     return np.concatenate(sigs).view(np.int64), np.concatenate(owners)
 
 
+def pass_plans(plans: dict, rows: dict[int, int], limit: int) -> list[dict]:
+    """The bands' plans in passes whose signature rows take about ``limit`` bytes
+    of shuffle at most (a larger band is a pass of its own).  Bands share no
+    signatures, so passes can follow one another and free their shuffles."""
+    out, size = [], 0
+    for j in sorted(plans):
+        cost = rows[j] * ROW_BYTES
+        if not out or size + cost > limit:
+            out.append({})
+            size = 0
+        out[-1][j] = plans[j]
+        size += cost
+    return out
+
+
 def _texts(batch, column: int) -> list[bytes]:
     return [(t.as_py() or "").encode() for t in batch.column(column)]
 
@@ -238,6 +258,8 @@ def signature_rows(docs: DataFrame, join: Join, plans: dict, seed: int, text_col
                 if not sets:
                     continue
                 sig, owner = signatures(sets, plans, pct)
+                if not len(sig):
+                    continue
                 held.append((sig, np.array(names, np.int64)[owner]))
                 rows += len(sig)
                 if rows >= CHUNK_ROWS:
@@ -356,7 +378,12 @@ def similarity_links(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id
 
     classes = staged(sets.where("n > 0").groupBy("c").agg(
         F.min("h").alias("h"), F.first("n").alias("n"), *(F.first(p).alias(p) for p in BITS)), "classes")
-    edges = staged(bucket_edges(signature_rows(docs, join, plans, seed, text_col)), "bucket-edges")
+    rows = {j: (counts[j] + (counts[j - 1] if j else 0)) * n1 * comb(n2, k2) for j, (n1, n2, k2) in plans.items()}
+    passes = [
+        staged(bucket_edges(signature_rows(docs, join, part, seed, text_col)), "bucket-edges")
+        for part in pass_plans(plans, rows, max(PASS_BYTES, PASS_SHARE * input_bytes(docs)))
+    ]
+    edges = reduce(DataFrame.unionByName, passes) if passes else spark.createDataFrame([], "sig bigint, x bigint, y bigint")
     # a bucket's classes against its smallest: bound first, then the full sets
     pairs = edges.select("x", "y").distinct()
     x, y = classes.alias("a"), classes.alias("b")
