@@ -6,7 +6,9 @@ canonical form.  So one entity has one surrogate wherever it occurs and however
 it is written (coreference), in any document and in any run.  Distinctness is
 checked over the whole corpus: the distinct entities are a table, surrogates
 that meet each other or an entity that really occurs are drawn again, until
-none do; a text is rewritten with the attempts that were settled.
+none do; a text is rewritten with the attempts that were settled.  The
+surrogates of every kind grow in number with the attempt (longer names, longer
+values, other ranges of addresses), so no corpus has too many entities for them.
 
 The table of distinct entities is made by partial aggregation, so an entity
 with a third of all mentions is no hot key.  Only entities whose first draw
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from itertools import count
 from hashlib import blake2b
 
 import pyarrow as pa
@@ -61,6 +64,14 @@ SYLLABLES = {
     "latin": ("bar", "den", "fel", "gor", "hal", "kin", "lor", "mar", "nel", "por", "ras", "sten", "tor", "vel", "win", "zan"),
     "cyrillic": ("бар", "вел", "гор", "дол", "зар", "кол", "лен", "мир", "нов", "пол", "рад", "сав", "тар", "ход", "чер", "яр"),
 }
+#: Endings of drawn given names; syllables have none of them, so given names
+#: of two genders, and given and family names, never meet.
+ENDINGS = {
+    ("latin", "m"): "o", ("latin", "f"): "a", ("latin", "n"): "i",
+    ("cyrillic", "m"): "ий", ("cyrillic", "f"): "а", ("cyrillic", "n"): "я",
+}
+#: From this attempt on a value has one more character with each attempt.
+LONGER_FROM = 4
 
 _KIND_RE = [(kind, re.compile(p)) for kind, p in KINDS]
 _TITLE_RE = re.compile(
@@ -132,7 +143,20 @@ def _luhn(digits: list[int]) -> int:
     return -total % 10
 
 
-def _same_shape(value: str, s: Stream) -> str:
+def _longer(attempt: int, since: int = LONGER_FROM) -> int:
+    """Characters that a surrogate has more than its entity."""
+    return max(0, attempt - since + 1)
+
+
+def _digits(n: int, s: Stream) -> str:
+    return "".join(str(s.below(10)) for _ in range(n))
+
+
+def _same_shape(value: str, s: Stream, more: int = 0) -> str:
+    """Characters of the same classes, and ``more`` of the last one's class
+    (letters, if that is neither a letter nor a digit)."""
+    last = value[-1:]
+    value += (last if last.isascii() and last.isalnum() else "a") * more
     out = []
     for c in value:
         if "0" <= c <= "9":
@@ -149,8 +173,8 @@ def _same_shape(value: str, s: Stream) -> str:
 def draw(key: bytes, kind: str, value: str, attempt: int) -> str:
     """Canonical surrogate of a canonical value; never the value itself."""
     s = Stream(key, kind, value, attempt)
-    while True:
-        out = _draw(kind, value, attempt, s)
+    for wider in count(attempt):  # a value may be all there is of its shape
+        out = _draw(kind, value, wider, s)
         if out != value:
             return out
 
@@ -162,38 +186,45 @@ def _draw(kind: str, value: str, attempt: int, s: Stream) -> str:
     if kind.startswith("given"):
         _, script, gender = kind.split("-")
         names = GIVEN[script, gender]
-        first = names[s.below(len(names))].casefold()
-        # more attempts than names: a double name
-        return first if attempt < 4 else first + "-" + names[s.below(len(names))].casefold() * (attempt // 4)
+        if attempt == 0:
+            return names[s.below(len(names))].casefold()
+        # names that met are drawn from syllables, sixteen times as many with each attempt
+        return "".join(SYLLABLES[script][s.below(16)] for _ in range(1 + attempt)) + ENDINGS[script, gender]
     if kind == "email":
         local, _, domain = value.rpartition("@")
         labels = domain.split(".")
         end = labels[-1] if labels[-1] in ("com", "net", "org") else "com"
         head = ".".join(_same_shape(x, s) for x in labels[:-2])
         # reserved names, so that a surrogate is nobody's address
-        return f"{_same_shape(local, s)}@{head + '.' if head else ''}example.{end}"
+        return f"{_same_shape(local, s, _longer(attempt))}@{head + '.' if head else ''}example.{end}"
+    if kind == "ip" and attempt >= 8:  # an IPv6 address of the range for documentation
+        return "2001:db8:" + ":".join(f"{s.below(1 << 16):04x}" for _ in range(6))
+    if kind == "ip" and attempt >= 4:  # octets of any width
+        return ".".join(str(1 + s.below(254)) for _ in range(4))
     if kind == "ip":
         return ".".join(str(1 + s.below(9) if len(o) == 1 else 10 + s.below(90) if len(o) == 2 else 100 + s.below(155)) for o in value.split("."))
     if kind == "card":
-        digits = [int(value[0])] + [s.below(10) for _ in value[1:]]
+        digits = [int(value[0])] + [s.below(10) for _ in range(len(value) - 1 + _longer(attempt))]
         if _luhn([int(c) for c in value[:-1]]) == int(value[-1]):
             digits[-1] = _luhn(digits[:-1])
         return "".join(map(str, digits))
     if kind == "phone":
         lead = 1 if len(value) > 10 else 0
-        if len(value) - lead == 10 and attempt < 8:  # the exchange that no subscriber has
+        ten = len(value) - lead == 10
+        if ten and attempt < 8:  # the exchange that no subscriber has
             area = str(2 + s.below(8)) + str(s.below(10)) + str(s.below(10))
-            return value[:lead] + area + "555" + "".join(str(s.below(10)) for _ in range(4))
-        return value[:lead] + "".join(str(2 + s.below(8) if i == 0 else s.below(10)) for i in range(len(value) - lead))
+            return value[:lead] + area + "555" + _digits(4, s)
+        more = _longer(attempt, 12 if ten else LONGER_FROM)
+        return value[:lead] + str(2 + s.below(8)) + _digits(len(value) - lead - 1 + more, s)
     if kind == "ssn":
-        return str(900 + s.below(100)) + "".join(str(s.below(10)) for _ in value[3:])
+        return str(900 + s.below(100)) + _digits(len(value) - 3 + _longer(attempt), s)
     if kind == "iban":
-        return value[:2] + _same_shape(value[2:], s)
+        return value[:2] + _same_shape(value[2:], s, _longer(attempt))
     if kind == "secret" and value.startswith("AKIA"):
-        return "AKIA" + "".join("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"[s.below(32)] for _ in value[4:])
+        return "AKIA" + "".join("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"[s.below(32)] for _ in range(len(value) - 4 + _longer(attempt)))
     if kind == "secret" and re.fullmatch("[0-9a-f]+", value):
-        return "".join("0123456789abcdef"[s.below(16)] for _ in value)
-    return _same_shape(value, s)
+        return "".join("0123456789abcdef"[s.below(16)] for _ in range(len(value) + _longer(attempt)))
+    return _same_shape(value, s, _longer(attempt))
 
 
 def lay_out(kind: str, original: str, surrogate: str) -> str:
@@ -204,10 +235,10 @@ def lay_out(kind: str, original: str, surrogate: str) -> str:
         return "-".join(p[:1].upper() + p[1:] for p in surrogate.split("-")) if original[:1].isupper() else surrogate
     if kind in ("card", "ssn", "phone"):
         rest = iter(surrogate)
-        return "".join(next(rest) if c.isdigit() else c for c in original)
+        return "".join(next(rest) if c.isdigit() else c for c in original) + "".join(rest)
     if kind == "iban":
         rest = iter(surrogate)
-        return "".join(c if c == " " else next(rest) for c in original)
+        return "".join(c if c == " " else next(rest) for c in original) + "".join(rest)
     if kind == "email" and len(original) == len(surrogate):
         return "".join(b.upper() if a.isupper() else b for a, b in zip(original, surrogate))
     return surrogate
@@ -244,7 +275,7 @@ def mentions(docs: DataFrame, text_col: str) -> DataFrame:
         run, "key bigint, kind string, value string")
 
 
-def settled(entities: DataFrame, secret: bytes, most: int = 64) -> DataFrame:
+def settled(entities: DataFrame, secret: bytes) -> DataFrame:
     """(kind, value, attempt, surrogate): distinct surrogates for distinct
     entities, none of them an entity that occurs.  Of those that meet, the one
     settled first, then the smallest value keeps its surrogate."""
@@ -259,7 +290,7 @@ def settled(entities: DataFrame, secret: bytes, most: int = 64) -> DataFrame:
     real = entities.select("kind", F.col("value").alias("surrogate"))
     done = None
     open_ = entities.select("kind", "value").withColumn("attempt", F.lit(0))
-    for _ in range(most):
+    while True:  # ends, as the surrogates grow in number with each attempt
         drawn = open_.mapInArrow(run, types).withColumn("fresh", F.lit(1))
         if done is not None:
             drawn = done.withColumn("fresh", F.lit(0)).unionByName(drawn)
@@ -273,7 +304,6 @@ def settled(entities: DataFrame, secret: bytes, most: int = 64) -> DataFrame:
         open_ = judged.where("not good").select("kind", "value", (F.col("attempt") + 1).alias("attempt"))
         if open_.isEmpty():
             return done
-    raise RuntimeError(f"surrogates still collide after {most} attempts")
 
 
 def surrogates(docs: DataFrame, secret: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

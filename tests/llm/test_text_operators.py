@@ -76,6 +76,29 @@ def test_surrogates_are_consistent_and_distinct(spark):
     assert not {(k[0], v) for k, v in forward.items()} & set(forward)
 
 
+def test_surrogates_of_more_entities_than_names(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    given = [a + b + c for a in letters for b in letters for c in letters][:700]
+    entities = [("given-latin-n", v) for v in given] + [("given-cyrillic-n", f"имя{v}") for v in given]
+    entities += [("ip", f"{a}.{b}.{c}.{d}") for a in range(1, 10) for b in range(1, 10) for c in range(1, 10) for d in range(1, 10)]
+    entities += [("email", f"{a}@{b}.com") for a in letters for b in letters[:9]] + [("secret", "--------"), ("secret", "a-------")]
+    frame = spark.createDataFrame(entities, "kind string, value string").repartition(4).localCheckpoint()
+    rows = pii.settled(frame, b"k").collect()
+    assert {(r["kind"], r["value"]) for r in rows} == set(entities) and len(rows) == len(entities)
+    new = {(r["kind"], r["surrogate"]) for r in rows}
+    assert len(new) == len(entities) and not new & set(entities)
+
+
+def test_longer_surrogates_keep_their_layout():
+    values = {"card": "4111 1111 1111 1111", "ssn": "123-45-6789", "phone": "+1 22 33", "iban": "DE44 5001 0517 5407", "email": "a@b.com"}
+    for kind, written in values.items():
+        value = pii.canonical(kind, written)
+        sizes = [len(pii.draw(b"k", kind, value, a)) - len(pii.draw(b"k", kind, value, 0)) for a in (3, 4, 9)]
+        assert sizes == [0, 1, 6]
+        new = pii.draw(b"k", kind, value, 9)
+        assert pii.canonical(kind, pii.lay_out(kind, written, new)) == new
+
+
 def test_class_model_counts(spark, edges):
     rows = documents(spark, edges)
     tokens = [re.findall(r"[^\x20\x09-\x0D]+", lower(t)) + ["\0end"] for _, t in rows]
