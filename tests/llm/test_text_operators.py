@@ -240,3 +240,20 @@ def test_url_trees_on_held_out_urls(spark):
     got = {x["page_id"]: x["verdict"] for x in url_filter.filter_urls(spark.createDataFrame(rows, "page_id int, url string"), rules).collect()}
     right = sum(got[600 + i] == v for i, (_, v) in enumerate(held))
     assert right >= 0.9 * len(held)
+
+
+def test_url_trees_on_bad_urls_without_listed_words(spark):
+    r = random.Random(9)
+    ends = ("org", "net", "com")
+    sign = lambda: f"{r.randrange(10**9)}?a={r.randrange(10**6)}&b={r.randrange(10**6)}&c=1"
+    good = [f"http://site{i}.example.{ends[i % 3]}/news/{r.choice(['sport', 'art', 'city'])}" for i in range(300)]
+    bad = [f"http://x{r.randrange(9)}.casino.{ends[i % 3]}/{sign()}" for i in range(200)]
+    bad += [f"http://y{r.randrange(9)}.example.{ends[i % 3]}/q/{sign()}" for i in range(100)]
+    rules = url_filter.parse_rules([f"{verdict} example.{end}/{path}" for end in ends for verdict, path in (("allow", ""), ("block", "q/"))])
+    held = [(f"http://z{i}.harmless.{ends[i % 3]}/{sign()}", "block") for i in range(40)]
+    held += [(f"http://page{i}.quiet.{ends[i % 3]}/news/city", "allow") for i in range(40)]
+    rows = list(enumerate(good + bad + [u for u, _ in held]))
+    got = {x["page_id"]: x["verdict"] for x in url_filter.filter_urls(spark.createDataFrame(rows, "page_id int, url string"), rules).collect()}
+    for verdict in ("block", "allow"):
+        right = [got[600 + i] == v for i, (_, v) in enumerate(held) if v == verdict]
+        assert sum(right) >= 0.9 * len(right)
