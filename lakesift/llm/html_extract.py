@@ -1,15 +1,21 @@
 """Main text of web pages, with site template removal.
 
 Every block element's subtree is hashed (tags and text).  Spark counts, for
-each host, on how many pages of different content a subtree occurs; subtrees
-that recur across many of them are template and are deleted from that host's
-pages.  What markup itself names as page furniture (menus, headers, footers,
-sidebars, adverts, notices, forms, comments, scripts, styles) goes too.  If a
-page marks its article, only that is text, and plain text blocks in it
-(paragraphs, headings, lists, quotes, tables) are never template: articles may
-quote the same passage.
-
-Counting first makes each subtree distinct for (host, content) and then counts
+each host and each section of it (first part of the path), on how many pages of
+different content a subtree occurs; subtrees that recur across many of them are
+template and are deleted from the pages of that host or section.  What markup
+itself names as page furniture (menus, headers, footers, sidebars, adverts,
+notices, forms, comments, scripts, styles) goes too.  If a page marks its
+article, only that is text, and plain text blocks in it (paragraphs, headings,
+lists, quotes, tables) are no template unless they are named as furniture:
+articles may quote the same passage.
+
+Names are weaker than tags, as ids are often slugs of headings.  In an article
+only a class or role deletes (a section's only as a whole), and no paragraph or
+heading; all else that is named there goes only if it recurs too.  An element that is never closed
+holds whatever comes after it, so its name deletes nothing.
+
+Counting first makes each subtree distinct for (host or section, content) and then counts
 with partial aggregation, so neither a host with a third of all pages nor a
 large group of copies of one page is a hot group; copies count once.
 
@@ -33,7 +39,7 @@ from pyspark.sql import functions as F
 from lakesift.llm.common import lower_ascii, on_workers, small_side, staged
 
 #: A subtree is template if it occurs on this many pages of different content
-#: of its host, and on this share of the host's.
+#: of its host or section, and on this share of those.
 MIN_PAGES = 5
 MIN_SHARE = 0.1
 #: Bytes of a page's row (key and template hashes) when broadcast.
@@ -51,6 +57,9 @@ BLOCKS = frozenset((
     "fieldset dialog menu search").split())
 TEXT_BLOCKS = frozenset((
     "p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption").split())
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption".split())
+#: Elements whose end tag may be left out.
+END_OPTIONAL = frozenset("p li dt dd tr td th thead tbody tfoot option".split())
 CLOSES_P = BLOCKS - {"br", "td", "th", "tr", "caption", "thead", "tbody", "tfoot", "li", "dt", "dd"}
 # Words of class, id and role that name page furniture.
 FURNITURE = frozenset((
@@ -60,31 +69,57 @@ FURNITURE = frozenset((
     "pagination pager toolbar skip masthead complementary contentinfo alert").split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-_NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_NAMES = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$|/)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    """An element: its tag, children (nodes and texts) and whether markup names it furniture."""
+    """An element: its tag, children (nodes and texts), whether its tag or
+    attributes drop it, how clearly it is named furniture and whether it is closed."""
 
-    __slots__ = ("tag", "children", "dropped", "hash", "inside")
+    __slots__ = ("tag", "children", "dropped", "named", "closed", "hash", "inside")
 
-    def __init__(self, tag: str, dropped: bool = False):
-        self.tag, self.children, self.dropped, self.hash, self.inside = tag, [], dropped, 0, False
+    def __init__(self, tag: str, dropped: bool = False, named: int = 0):
+        self.tag, self.children, self.dropped, self.named, self.hash, self.inside = tag, [], dropped, named, 0, False
+        self.closed = tag in END_OPTIONAL
 
 
-def _furniture(tag: str, attributes: str) -> bool:
+#: How clearly an element is named: by a word of its id, its whole id, a word
+#: of a class or role, a whole class or role.
+SLUG, ID, WORD, WHOLE = 1, 2, 3, 4
+
+
+def _named(tag: str, attributes: str) -> int:
+    best = 0
+    if tag in ("html", "body", "article", "main") or not attributes:
+        return best
+    for m in _NAMES.finditer(attributes):
+        value = next(g for g in m.groups()[1:] if g is not None).lower()
+        is_id = m[1].lower() == "id"
+        if any(n in FURNITURE for n in value.split()):
+            best = max(best, ID if is_id else WHOLE)
+        elif any(n in FURNITURE for n in _SPLIT.split(value)):
+            best = max(best, SLUG if is_id else WORD)
+    return best
+
+
+def _dropped(tag: str, attributes: str) -> bool:
     if tag in DROPPED:
         return True
-    if tag in ("html", "body", "article", "main") or not attributes:
+    return tag not in ("html", "body", "article", "main") and bool(attributes and _HIDDEN.search(attributes))
+
+
+def _furniture(n: Node) -> bool:
+    """True if tag, attributes or name alone delete the element."""
+    if n.dropped:
+        return True
+    if not n.named or not n.closed:
         return False
-    for m in _NAMES.finditer(attributes):
-        names = _SPLIT.split(next(g for g in m.groups() if g is not None).lower())
-        if any(n in FURNITURE for n in names):
-            return True
-    return bool(_HIDDEN.search(attributes))
+    if n.inside:
+        return n.tag not in PROSE and (n.named == WHOLE or n.named == WORD and n.tag != "section")
+    return n.named > SLUG or n.tag not in PROSE and n.tag != "section"
 
 
 def parse(page: str) -> Node:
@@ -106,6 +141,7 @@ def parse(page: str) -> Node:
         if m[1]:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
+                    stack[i].closed = True
                     del stack[i:]
                     break
             continue
@@ -125,7 +161,7 @@ def parse(page: str) -> Node:
                     break
                 if stack[i].tag in stops or (tag in ("td", "th") and stack[i].tag == "tr"):
                     break
-        node = Node(tag, _furniture(tag, m[3]))
+        node = Node(tag, _dropped(tag, m[3]), _named(tag, m[3]))
         stack[-1].children.append(node)
         if tag in VOID or m[3].endswith("/") and tag not in BLOCKS and tag not in RAW:
             continue
@@ -148,17 +184,19 @@ def _walk(node: Node):
 
 
 def articles(root: Node) -> list[Node]:
-    """The outermost article elements, else main elements, that aren't furniture."""
-    for tag in ("article", "main"):
-        found, todo = [], [root]
-        while todo:
-            n = todo.pop()
-            if n.tag == tag:
-                found.append(n)
-            elif not n.dropped:
-                todo.extend(c for c in reversed(n.children) if isinstance(c, Node))
-        if found:
-            return found
+    """The outermost article elements, else main elements, that aren't in
+    furniture; if there are none, those in elements named by a word only."""
+    for words in (False, True):
+        for tag in ("article", "main"):
+            found, todo = [], [root]
+            while todo:
+                n = todo.pop()
+                if n.tag == tag:
+                    found.append(n)
+                elif not _furniture(n) or words and not n.dropped and n.named < WHOLE:
+                    todo.extend(c for c in reversed(n.children) if isinstance(c, Node))
+            if found:
+                return found
     return []
 
 
@@ -180,10 +218,10 @@ def _mark(root: Node) -> None:
 
 def _candidate(n: Node) -> bool:
     """Subtrees that may be template: blocks, but no text blocks of an article
-    and nothing that holds or is an article or the page."""
-    if n.tag not in BLOCKS or n.tag in ("html", "body", "article", "main", "br", "hr"):
+    without a name of furniture, and nothing that is an article or the page."""
+    if n.tag in ("html", "body", "article", "main", "br", "hr"):
         return False
-    return not (n.inside and n.tag in TEXT_BLOCKS)
+    return bool(n.named) or n.tag in BLOCKS and not (n.inside and n.tag in TEXT_BLOCKS)
 
 
 def _signed(h: int) -> int:
@@ -228,7 +266,7 @@ def main_text(page: str, templates: frozenset[int] = frozenset()) -> str:
             current.append(x)
         elif kind == "end":
             end_block()
-        elif x.dropped or (x.tag == "header" and not x.inside) or (templates and _candidate(x) and _signed(x.hash) in templates):
+        elif _furniture(x) or (x.tag == "header" and not x.inside) or (templates and _candidate(x) and _signed(x.hash) in templates):
             if x.tag in BLOCKS:
                 end_block()
         else:
@@ -249,32 +287,41 @@ def host_of(url) -> F.Column:
     return lower_ascii(F.regexp_extract(F.coalesce(url, F.lit("")), "^[\\s\\S]*?://([^/?#]*)", 1))
 
 
+def section_of(url) -> F.Column:
+    """First part of a url column's path; empty without one."""
+    return F.regexp_extract(F.coalesce(url, F.lit("")), "^[\\s\\S]*?://[^/?#]*/([^/?#]*)/", 1)
+
+
 def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, h): subtrees that are template on their host.  ``pages`` has
-    ``key``, ``host`` (hashes) and ``html``."""
+    """(key, found): subtrees of each page that are template on its host or in
+    its section.  ``pages`` has ``key``, ``host``, ``section`` (hashes) and ``html``."""
 
     def run(batches):
         for batch in batches:
-            keys, hosts, hashes, digests = [], [], [], []
-            for key, host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            keys, hosts, sections, hashes, digests = [], [], [], [], []
+            for key, host, section, page in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3)):
                 found, digest = subtree_hashes(page.as_py() or "")
                 keys += [key] * len(found)
                 hosts += [host] * len(found)
+                sections += [section] * len(found)
                 hashes += found
                 digests += [digest] * len(found)
             kind = pa.int64()
-            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x in (keys, hosts, hashes, digests)], ["key", "host", "h", "content"])
-
-    rows = staged(pages.select("key", "host", "html").mapInArrow(run, "key bigint, host bigint, h bigint, content bigint"), "subtrees")
-    contents = rows.select("host", "content").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    # the share's bound on a host's size keeps this side as small as the hosts
-    counted = rows.select("host", "h", "content").distinct().groupBy("host", "h").agg(F.count(F.lit(1)).alias("n"))
-    often = counted.where(F.col("n") >= min_pages).join(contents, "host").where(F.col("n") >= F.col("pages") * min_share)
-    often = staged(often.select("host", "h"), "templates")
-    # template hashes of each page; hosts with many pages are split by their pages' keys
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x in (keys, hosts, sections, hashes, digests)], ["key", "host", "section", "h", "content"])
+
+    rows = staged(pages.select("key", "host", "section", "html").mapInArrow(
+        run, "key bigint, host bigint, section bigint, h bigint, content bigint"), "subtrees")
+    # a page counts for its host and for its section
+    rows = rows.select("key", "h", "content", F.explode(F.array("host", "section")).alias("place"))
+    contents = rows.select("place", "content").distinct().groupBy("place").agg(F.count(F.lit(1)).alias("pages"))
+    # the share's bound on a place's size keeps this side as small as the places
+    counted = rows.select("place", "h", "content").distinct().groupBy("place", "h").agg(F.count(F.lit(1)).alias("n"))
+    often = counted.where(F.col("n") >= min_pages).join(contents, "place").where(F.col("n") >= F.col("pages") * min_share)
+    often = staged(often.select("place", "h"), "templates")
+    # template hashes of each page; places with many pages are split by their pages' keys
     salts = 16
     spread = often.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    hits = rows.withColumn("salt", F.pmod("key", F.lit(salts)).cast("int")).join(spread, ["host", "h", "salt"])
+    hits = rows.withColumn("salt", F.pmod("key", F.lit(salts)).cast("int")).join(spread, ["place", "h", "salt"])
     return hits.select("key", "h").distinct().groupBy("key").agg(F.collect_list("h").alias("found"))
 
 
@@ -284,6 +331,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     on_workers(spark)
     rows = pages.select(
         F.xxhash64(F.col(url_col), F.col(html_col)).alias("key"), F.xxhash64(host_of(F.col(url_col))).alias("host"),
+        F.xxhash64(host_of(F.col(url_col)), section_of(F.col(url_col))).alias("section"),
         F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     found = staged(templates(rows), "page-templates")
     side = small_side(found, found.count(), PAGE_ROW_BYTES)

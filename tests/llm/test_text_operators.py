@@ -187,6 +187,27 @@ def test_shared_passages_of_articles_stay(spark):
     assert sorted(r["text"] for r in got) == sorted(f"Text {i} The same passage in all." for i in range(20))
 
 
+@pytest.mark.parametrize("inner", [
+    "<h2 id='related-work'>Own</h2><p>text</p>", "<section id='search-algorithms'><p>Own text</p></section>",
+    "<div id='social-contract'>Own text</div>", "<p class='notice'>Own text</p>", "Own <div class='ad'>text"])
+def test_names_in_articles_delete_no_text(inner):
+    assert html_extract.main_text(f"<body><article>{inner}</article></body>") == "Own text"
+    assert html_extract.main_text(f"<article>{inner}<div class='share'>Like</div></article>") == "Own text"
+    assert html_extract.main_text(f"<div class='with-sidebar'><article>{inner}</article></div>") == "Own text"
+
+
+def test_a_closed_advert_in_an_article_goes():
+    assert html_extract.main_text("<article><p>Own</p><div class='big ad'>Buy</div><p>text</p></article>") == "Own text"
+
+
+def test_template_of_a_section_of_a_large_host(spark):
+    named = "<p class='notice'>Named and repeated</p>"
+    rows = [(i, f"http://h.org/a/{i}", f"<body><div>Box of a section</div><p>Text {i} of its own page.</p></body>") for i in range(8)]
+    rows += [(i, f"http://h.org/b/{i}", f"<body><article><p>Text {i} of its own page.</p>{named if i < 60 else ''}</article></body>") for i in range(8, 200)]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()
+    assert sorted(r["text"] for r in got) == sorted(f"Text {i} of its own page." for i in range(200))
+
+
 def test_copies_of_a_page_are_no_template(spark):
     rows = [(i, "http://h.org/x", "<body><div>Only text here</div></body>") for i in range(50)]
     got = html_extract.extract(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()
