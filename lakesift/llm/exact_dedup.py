@@ -30,8 +30,9 @@ ROWS_PER_SALT = 2000
 #: Bytes of a registry row as broadcast (digest, id, locator, count).
 REGISTRY_ROW_BYTES = 400
 
-#: Input of one micro-batch of the stream.
-BYTES_PER_BATCH = 256 << 30
+#: Input of one micro-batch of the stream, about; a larger input comes in several,
+#: and its texts meet the state of the batches before.
+BYTES_PER_BATCH = 4 << 30
 
 _CONF = {
     "spark.sql.streaming.stateStore.providerClass":

@@ -49,6 +49,30 @@ def test_exact_dedup_sets_digest_clashes_apart(spark, edges, monkeypatch):
     assert sorted(r["group_size"] for r in rows) == sorted(n for n in texts.values() for _ in range(n))
 
 
+def test_exact_dedup_in_several_batches(spark, edges, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from lakesift.llm import exact_dedup
+
+    path = f"{edges}/documents.parquet"
+    # several batches at the size of the projection
+    assert exact_dedup.BYTES_PER_BATCH * 4 <= 30e9
+    folders = []
+
+    def scratch(spark, name, made=exact_dedup.scratch_path):
+        folders.append(made(spark, name))
+        return folders[-1]
+
+    once = sorted(map(repr, exact_dedup.exact_dedup(spark, path).collect()))
+    monkeypatch.setattr(exact_dedup, "BYTES_PER_BATCH", 1)
+    monkeypatch.setattr(exact_dedup, "scratch_path", scratch)
+    assert sorted(map(repr, exact_dedup.exact_dedup(spark, path).collect())) == once
+    batches = spark.read.schema("digest string, n bigint, batch int").parquet(folders[0])
+    assert batches.select("batch").distinct().count() > 1
+    # texts of one batch met the state of another
+    assert batches.groupBy("digest").agg(F.count_distinct("batch").alias("b")).where("b > 1").count() > 0
+
+
 def test_clean_keeps_columns_and_cuts_lines(spark, edges):
     from lakesift.llm import quality
 
