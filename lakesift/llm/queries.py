@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakesift.llm import bpe, class_lm, exact_dedup, html_extract, license_scan, mixing, ngram_join, pii, quality, url_filter
+from lakesift.llm import (
+    bpe, class_lm, divergence, exact_dedup, html_extract, license_scan, mixing, multi_index, ngram_join, pii, quality, setsketch, url_filter,
+)
 from lakesift.llm.common import table
 
 
@@ -68,6 +70,20 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op11_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence_audit(table(spark, sf_dir, "documents"), divergence.Audit(min_docs=30, smooth=5, top=50))
+
+
+def op12_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = setsketch.near_duplicates(table(spark, sf_dir, "documents"), ngram_join.Join(words=2, pct=80))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = multi_index.Mining(every=100, positives=5, negatives=10, low_pct=30, high_pct=90)
+    return multi_index.hard_negatives(table(spark, sf_dir, "embeddings"), plan)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_url_filter": op2_url_filter,
@@ -79,4 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mix": op8_source_mix,
     "op9_html_extract": op9_html_extract,
     "op10_license_scan": op10_license_scan,
+    "op11_divergence_audit": op11_divergence_audit,
+    "op12_setsketch_dedup": op12_setsketch_dedup,
+    "op13_hard_negatives": op13_hard_negatives,
 }
