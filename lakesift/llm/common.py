@@ -60,9 +60,16 @@ def input_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+#: Spark's bound on the bytes of a batch for a Python worker, and the one set here.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
 def on_workers(spark: SparkSession) -> None:
-    """Make this package importable in the Python workers."""
+    """Make this package importable in the Python workers, and bound their
+    batches by bytes, unless the session does: texts differ much in length."""
     ship_package(spark)
+    if spark.conf.get(BATCH, None) is None:
+        spark.conf.set(BATCH, str(BATCH_BYTES))
 
 
 # --- word hashing of whole Arrow batches (numpy, no per-word Python) ---------

@@ -39,6 +39,9 @@ def edges(spark, tmp_path_factory):
     ] + [(10 + i, f"http://s.net/{i}", f"<body><div>Same box</div><p>Own text {i} of the page</p></body>") for i in range(12)]
     pages = spark.createDataFrame(pages, "page_id bigint, url string, html string")
     pages.withColumns({c: F.lit("z") for c in ("id", "key", "host", "path", "text", "found", "h", "rule", "verdict", "depth", "features")}).coalesce(2).write.parquet(f"{d}/pages.parquet")
+    vectors = [(i, [((i * k) % 11 - 5) / 4 for k in range(1, 6)], i % 3) for i in range(0, 260)]
+    vectors += [(300, None, 1), (301, [1.0] * 5, None), (302, [1.0, None, 0.0, 0.0, 0.0], 1), (303, [float("nan")] * 5, 1), (400, [0.0] * 5, 2)]
+    spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{d}/embeddings.parquet")
     return d
 
 
@@ -46,18 +49,18 @@ def edges(spark, tmp_path_factory):
 def empty(spark, edges, tmp_path_factory):
     """The same tables without rows."""
     d = str(tmp_path_factory.mktemp("empty"))
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         spark.read.parquet(f"{edges}/{t}.parquet").limit(0).write.parquet(f"{d}/{t}.parquet")
     return d
 
 
 @pytest.fixture(scope="session")
 def duck():
-    """Run SQL on the documents and pages of a folder."""
+    """Run SQL on the tables of a folder."""
 
     def run(folder, sql):
         con = duckdb.connect()
-        for t in ("documents", "pages"):
+        for t in ("documents", "pages", "embeddings"):
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
         rows = con.execute(sql)
         names = [x[0] for x in rows.description]
