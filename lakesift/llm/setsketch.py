@@ -9,8 +9,9 @@ maxima of the registers (sketches merge), and similar sets agree in many.
 * Candidates: 51 bands of five registers.  Two linked sets (similarity 0.8, of
   any sizes) agree in a register with probability 0.81 at least, so all 51 bands
   miss them with probability below 3e-10; more similar ones far less.
-* A first bound in the join itself: the lowest bits of all registers differ in
-  few places.  Then the numbers of registers that are larger, equal and smaller
+* First bounds in the join itself: the lowest bits of all registers differ in
+  few places, and parity bits of the sets prove no distance beyond the one that
+  linked sets can have (this one is exact).  Then the numbers of registers that are larger, equal and smaller
   give the joint likelihood of the similarity, with both sizes known exactly;
   a pair goes on unless its likelihood at the similarity asked for is below its
   maximum by a factor of e**-``DROP``.  Both bounds together lose a linked
@@ -40,8 +41,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakesift.llm import ngram_join
 from lakesift.llm.common import mix, on_workers, runs, small_side, staged
-from lakesift.llm.ngram_join import SET_BYTES, Join, Links, bucket_edges, components, digest, sets_of, verify
+from lakesift.llm.ngram_join import SET_BYTES, Join, Links, bucket_edges, components, digest, parity, sets_of, verify
 
 #: Registers, the base of their exponential spacing, and the offset that keeps
 #: sets of one element above zero.
@@ -57,6 +59,7 @@ DROP = 18.0
 #: Band rows that a worker combines before it sends them.
 CHUNK_ROWS = 1 << 19
 BITS = tuple(f"b{i}" for i in range(REGISTERS // 64))
+PARITY = ngram_join.BITS
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -132,7 +135,8 @@ def likely(more, fewer, n_x, n_y, similarity: float):
 
 def sketch_table(docs: DataFrame, join: Join, seed: int, id_col: str, text_col: str) -> DataFrame:
     """Per document: id, hash of the text, size of the set, class ``c``, a second
-    digest and the registers ``k`` (null where no other set can be linked)."""
+    digest, and the registers ``k`` followed by the parity bits (null where no
+    other set can be linked)."""
     kind, n = docs.schema[id_col].dataType.simpleString(), join.words
     least = alone(join)
 
@@ -148,9 +152,9 @@ def sketch_table(docs: DataFrame, join: Join, seed: int, id_col: str, text_col:
                 second += [x for _, x in names]
                 # one sketch for equal sets of the run
                 place = {c: i for i, ((c, _), s) in enumerate(zip(names, sets)) if len(s) >= least}
-                made = registers([sets[i] for i in place.values()]) if place else None
-                row = {c: i for i, c in enumerate(place)}
-                regs += [made[row[c]].tobytes() if c in row else None for c, _ in names]
+                made = registers([sets[i] for i in place.values()]) if place else ()
+                row = {c: k.tobytes() + parity(sets[i]).tobytes() for (c, i), k in zip(place.items(), made)}
+                regs += [row.get(c) for c, _ in names]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in (sizes, first, second)), pa.array(regs, pa.binary())],
                 ["id", "h", "n", "c", "d", "k"])
@@ -168,20 +172,24 @@ def alone(join: Join) -> int:
 
 
 def _matrix(column) -> np.ndarray:
-    return np.frombuffer(b"".join(x.as_py() for x in column), np.uint8).reshape(len(column), REGISTERS)
+    """Registers of the rows of a column, without what follows them."""
+    width = REGISTERS + 8 * len(PARITY)
+    return np.frombuffer(b"".join(x.as_py() for x in column), np.uint8).reshape(len(column), width)[:, :REGISTERS]
 
 
 def with_bits(classes: DataFrame) -> DataFrame:
-    """``classes`` with the lowest bits of their registers as four longs."""
+    """``classes`` with the lowest bits of their registers and the parity bits as longs."""
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
                 bits = np.packbits(_matrix(batch.column(3)) & 1, axis=1).view(np.int64)
+                after = np.frombuffer(b"".join(x.as_py()[REGISTERS:] for x in batch.column(3)), np.int64).reshape(-1, len(PARITY))
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, *(pa.array(bits[:, i].copy()) for i in range(len(BITS)))], ["c", "h", "n", "k", *BITS])
+                    [*batch.columns, *(pa.array(m[:, i].copy()) for m in (bits, after) for i in range(m.shape[1]))],
+                    ["c", "h", "n", "k", *BITS, *PARITY])
 
-    kinds = "c bigint, h bigint, n bigint, k binary, " + ", ".join(f"{b} bigint" for b in BITS)
+    kinds = "c bigint, h bigint, n bigint, k binary, " + ", ".join(f"{b} bigint" for b in (*BITS, *PARITY))
     return classes.select("c", "h", "n", "k").mapInArrow(run, kinds)
 
 
@@ -222,9 +230,9 @@ def band_rows(classes: DataFrame) -> DataFrame:
 
 
 def close(join: Join, a: str, b: str) -> str:
-    """SQL condition that linked sets fulfil, on their sizes and lowest bits."""
+    """SQL condition that linked sets fulfil, on their sizes, lowest bits and parity bits."""
     bits = " + ".join(f"bit_count({a}.{p} ^ {b}.{p})" for p in BITS)
-    return f"100 * least({a}.n, {b}.n) >= {join.pct} * greatest({a}.n, {b}.n) and {bits} <= {MAX_BITS}"
+    return f"{ngram_join.close(join, a, b)} and {bits} <= {MAX_BITS}"
 
 
 def near(pairs: DataFrame, bits: DataFrame, join: Join) -> DataFrame:
@@ -266,7 +274,7 @@ def sketch_links(docs: DataFrame, join: Join, id_col: str = "doc_id", text_col:
         seed += 1  # two sets share a name: name all anew
     first = sets.where("k is not null").groupBy("c").agg(F.min("h").alias("h"), F.first("n").alias("n"), F.first("k").alias("k"))
     classes = staged(with_bits(first), "classes")
-    bits = classes.select("c", "n", *BITS)
+    bits = classes.select("c", "n", *BITS, *PARITY)
 
     edges = staged(bucket_edges(band_rows(classes)), "bucket-edges")
     shared = staged(near(edges.groupBy("x", "y").agg(F.count(F.lit(1)).alias("m")), bits, join), "shared")
@@ -276,11 +284,11 @@ def sketch_links(docs: DataFrame, join: Join, id_col: str = "doc_id", text_col:
     links = verify(docs, plausible(first, classes, join), classes, join, text_col)
     comps = staged(components(links), "comps")
 
-    def apart(pairs: DataFrame) -> DataFrame:
-        """Pairs (x, y) whose classes are in different components."""
-        ends = [comps.select(F.col("c").alias(e), F.col("comp").alias(f"c{e}")) for e in "xy"]
-        both = pairs.join(ends[0], "x", "left").join(ends[1], "y", "left")
-        return both.where("coalesce(cx, x) != coalesce(cy, y)").drop("cx", "cy")
+    def ends(pairs: DataFrame) -> DataFrame:
+        """Pairs (x, y), and whether their classes are in different components."""
+        own = [comps.select(F.col("c").alias(e), F.col("comp").alias(f"c{e}")) for e in "xy"]
+        both = pairs.join(own[0], "x", "left").join(own[1], "y", "left")
+        return both.withColumn("apart", F.expr("coalesce(cx, x) != coalesce(cy, y)")).drop("cx", "cy")
 
     def more(pairs: DataFrame) -> None:
         nonlocal links, comps
@@ -289,11 +297,14 @@ def sketch_links(docs: DataFrame, join: Join, id_col: str = "doc_id", text_col:
             links = staged(links.unionByName(again), "links")
             comps = staged(components(links), "comps")
 
-    rest = staged(apart(shared.select("x", "y").join(first, ["x", "y"], "left_anti")), "rest")
+    rest = ends(shared.select("x", "y").join(first, ["x", "y"], "left_anti")).where("apart").select("x", "y")
+    rest = staged(rest, "rest")
     if not rest.isEmpty():
         more(rest)
 
-    open_ = staged(apart(edges).select("sig").distinct(), "open")
+    # buckets of two classes have no pair that wasn't met
+    open_ = ends(edges).groupBy("sig").agg(F.count(F.lit(1)).alias("met"), F.max("apart").alias("apart"))
+    open_ = staged(open_.where("apart and met > 1").select("sig"), "open")
     n_open = open_.count()
     if n_open:
         members = edges.join(small_side(open_, n_open, 16), "sig").select("sig", F.explode(F.array("x", "y")).alias("c")).distinct()
