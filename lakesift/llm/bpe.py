@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -42,6 +43,10 @@ TEXT_LEAF = 1 << 14
 PIECE_LEAF = 24
 #: Pieces whose ids a worker remembers.
 CACHE_PIECES = 200_000
+#: Runs up to this length are merged plainly, longer ones with an agenda, or all
+#: places of a pair at once if there are so few different pairs.
+PLAIN_BYTES = 96
+ALIKE_PAIRS = 64
 #: Larger than any rank.
 NO_RANK = 1 << 62
 #: Rows are given back in batches of about this many bytes.
@@ -72,7 +77,9 @@ class Pieces(dict):
         return ids
 
     def merge(self, raw: bytes) -> list[int]:
-        """Plain encoding of a short run: the lowest rank first, leftmost of equals."""
+        """Encoding of a run: the lowest rank first, leftmost of equals."""
+        if len(raw) > PLAIN_BYTES:
+            return self.merge_alike(raw) or self.merge_agenda(raw)
         rank, never = self.ranks.get, NO_RANK
         parts = [raw[i: i + 1] for i in range(len(raw))]
         scores = [rank(raw[i: i + 2], never) for i in range(len(raw) - 1)]
@@ -89,11 +96,80 @@ class Pieces(dict):
                 scores[i - 1] = rank(parts[i - 1] + parts[i], never)
         return [self.ranks[p] for p in parts]
 
-    def tree(self, raw: bytes) -> list[int]:
+    def merge_agenda(self, raw: bytes) -> list[int]:
+        """The same for a long run: pairs in a heap by (rank, place), parts in a
+        linked list; n log n."""
+        rank, n = self.ranks.get, len(raw)
+        end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the part that starts at i; end 0: gone
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(raw[i: i + 2])) is not None]
+        heapify(heap)
+        while heap:
+            _, i, stop = heappop(heap)
+            j = end[i]
+            # still two neighbours whose joint bytes end there
+            if not j or j >= n or end[j] != stop:
+                continue
+            end[i], end[j] = stop, 0
+            if stop < n:
+                before[stop] = i
+                if (r := rank(raw[i: end[stop]])) is not None:
+                    heappush(heap, (r, i, end[stop]))
+            if before[i] >= 0 and (r := rank(raw[before[i]: stop])) is not None:
+                heappush(heap, (r, before[i], stop))
+        out, i = [], 0
+        while i < n:
+            out.append(self.ranks[raw[i: end[i]]])
+            i = end[i]
+        return out
+
+    def merge_alike(self, raw: bytes) -> list[int] | None:
+        """The same for a long run of few different pairs, such as a rule of equal
+        characters: all places of the lowest pair at once.  None where there are
+        many pairs, or where a merge makes a pair of lower rank, which would come
+        before the pair's other places."""
+        of = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
+        parts, bytes_of, never = of[np.frombuffer(raw, np.uint8)], self.bytes_of, NO_RANK
+        ranks: dict[int, int] = {}
+
+        def rank(pairs):
+            for key in pairs.tolist():
+                if key not in ranks:
+                    ranks[key] = self.ranks.get(bytes_of[key >> 32] + bytes_of[key & 0xFFFFFFFF], never)
+            return np.array([ranks[key] for key in pairs.tolist()], np.int64)
+
+        while len(parts) > 1:
+            pairs = (parts[:-1] << 32) | parts[1:]
+            names = np.unique(pairs)
+            if len(names) > ALIKE_PAIRS:
+                return None
+            scores = rank(names)
+            low = int(scores.argmin())
+            if scores[low] == never:
+                break
+            at = np.flatnonzero(pairs == names[low])
+            if (names[low] >> 32) == (names[low] & 0xFFFFFFFF):
+                # overlapping places in a row: every other one, from the left
+                head = np.flatnonzero(np.diff(at, prepend=-2) > 1)
+                place = np.arange(len(at)) - np.repeat(head, np.diff(head, append=len(at)))
+                at = at[place % 2 == 0]
+            made = np.int64(scores[low])
+            left, right = at[at > 0], at[at + 2 < len(parts)]
+            left_of = np.where(np.isin(left - 2, at), made, parts[left - 1])
+            new = np.unique(np.concatenate([(left_of << 32) | made, (made << 32) | parts[right + 2]]))
+            if len(new) and rank(new).min() <= made:
+                return None
+            parts[at] = made
+            parts = np.delete(parts, at + 1)
+        return parts.tolist()
+
+    def tree(self, raw: bytes, seen: dict[bytes, list[int]] | None = None) -> list[int]:
         if len(raw) <= PIECE_LEAF:
             return self.merge(raw)
-        half = len(raw) // 2
-        return self.join(self.tree(raw[:half]), self.tree(raw[half:]))
+        seen = {} if seen is None else seen
+        if raw not in seen:  # equal halves, as in a rule of equal characters, once
+            half = len(raw) // 2
+            seen[raw] = self.join(self.tree(raw[:half], seen), self.tree(raw[half:], seen))
+        return seen[raw]
 
     def stands(self, a: int, b: int) -> bool:
         """Whether two neighbouring tokens are the encoding of their joint bytes."""
