@@ -3,13 +3,16 @@
 Word k-grams of every text, as rolling hashes, are joined in Spark with the
 positions of the templates' k-grams.  A hit votes for the diagonal (offset of
 document position and template position); votes are counted for each
-(document, template, diagonal), neighbouring diagonals are merged, since an
-inserted or dropped word shifts the offset by one, and the spans that have
-enough of a template are verified word by word on the text.
+(document, template, diagonal).  Words that are inserted or dropped shift the
+offset, so diagonals of a template that follow one another in the text, with a
+gap of a share of the template's words at most, form one run, however far their
+offsets differ.  Runs that have enough of a template are verified word by word
+over their whole span.
 
-Base labels are exact phrases.  The templates' table is a constant of bounded
-size, so it is broadcast; the texts' k-grams are joined where they are, and
-only hits are shuffled, partially aggregated.
+Base labels are exact phrases.  The texts are passed once: what is written are
+the figures and the grams whose low hash bits occur in a template.  The
+templates' table is a constant of bounded size, so it is broadcast; only hits
+are shuffled, partially aggregated.
 
 Edge cases: null, blank and short texts have no words or hits; repeated rows
 are scanned alike (votes count distinct template positions, so they don't add
@@ -68,10 +71,13 @@ TEMPLATES = (
                     "in any form or by any means"),
 )
 
-#: Words of a gram, merged offset difference, share of a template that counts.
+#: Words of a gram, share of a template that counts, and the gap within a run: a
+#: share of the template's words.
 GRAM = 3
-MAX_SHIFT = 3
 MIN_SHARE = 0.8
+GAP_SHARE = 0.35
+#: Low bits of a hash that grams are held against before they leave a worker.
+SIEVE = 0xFFFF
 
 #: Words: letters a-z (A-Z folded), digits and everything outside ASCII.
 WORDS = byte_map([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
@@ -94,14 +100,14 @@ def base_places(words: list[bytes], phrases=PHRASES) -> tuple[int, int | None, i
     return len(starts), min(starts, default=None), max(starts, default=None), sorted(labels)
 
 
-def template_table(spark, templates=TEMPLATES) -> DataFrame:
+def template_grams(templates=TEMPLATES) -> list[tuple[int, int, int]]:
     """(t, p, h): template number, position and hash of each gram."""
     rows = []
     for t, (_, text) in enumerate(templates):
         words, offsets = word_hashes([text.encode().translate(WORDS)])
         grams, _ = gram_hashes(words, offsets, GRAM)
         rows += [(t, p, int(h)) for p, h in enumerate(grams[: max(0, len(words) - GRAM + 1)].view(np.int64))]
-    return spark.createDataFrame(rows, "t int, p int, h bigint")
+    return rows
 
 
 def _row_key(id_col: str, text_col: str):
@@ -109,9 +115,12 @@ def _row_key(id_col: str, text_col: str):
     return F.sha2(F.to_json(F.struct(F.col(id_col).alias("i"), F.col(text_col).alias("t"))), 256)
 
 
-def rolling(docs: DataFrame, phrases=PHRASES) -> DataFrame:
-    """(key, id, base figures, grams) of docs (key, id, text)."""
+def rolling(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES) -> DataFrame:
+    """(key, id, base figures, grams) of docs (key, id, text); ``grams`` are the
+    (pos, h) that pass the sieve."""
     kind = docs.schema["id"].dataType.simpleString()
+    sieve = np.zeros(SIEVE + 1, bool)
+    sieve[[h & SIEVE for _, _, h in template_grams(templates)]] = True
 
     def run(batches):
         for batch in batches:
@@ -121,39 +130,45 @@ def rolling(docs: DataFrame, phrases=PHRASES) -> DataFrame:
                 words, offsets = word_hashes(texts[a:b])
                 grams, spans = gram_hashes(words, offsets, GRAM)
                 grams = grams.view(np.int64)
-                parts = [grams[x:y] for x, y in spans]
-                ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts)))
+                hit = np.flatnonzero(sieve[grams & SIEVE])
+                doc = np.searchsorted(spans[:, 0], hit, "right") - 1
+                # of texts that start at one place, only the last has words there
+                inside = hit < spans[doc, 1]
+                hit, doc = hit[inside], doc[inside]
+                ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=b - a))]).astype(np.int32)
+                found = pa.StructArray.from_arrays([pa.array(hit - spans[doc, 0]), pa.array(grams[hit])], ["pos", "h"])
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a),
                     pa.array(np.diff(offsets), pa.int64()), pa.array([x[0] for x in base], pa.int64()),
                     pa.array([x[1] for x in base], pa.int64()), pa.array([x[2] for x in base], pa.int64()),
-                    pa.array([x[3] for x in base], pa.list_(pa.string())), lists,
+                    pa.array([x[3] for x in base], pa.list_(pa.string())), pa.ListArray.from_arrays(pa.array(ends), found),
                 ], ["key", "id", "n_words", "n_base", "first_word", "last_word", "base", "grams"])
 
     return docs.mapInArrow(run, f"key string, id {kind}, n_words bigint, n_base bigint, first_word bigint, "
-                                "last_word bigint, base array<string>, grams array<bigint>")
+                                "last_word bigint, base array<string>, grams array<struct<pos:bigint,h:bigint>>")
 
 
 def candidate_spans(rows: DataFrame, templates=TEMPLATES) -> DataFrame:
-    """Merged diagonals with enough votes: (key, t, start, stop) in words."""
+    """Runs of diagonals with enough votes: (key, t, start, stop) in words."""
     spark = rows.sparkSession
-    sizes = spark.createDataFrame(
-        [(t, len(_words(text))) for t, (_, text) in enumerate(templates)], "t int, words int")
-    grams = rows.select("key", F.posexplode("grams").alias("pos", "h"))
-    hits = grams.join(F.broadcast(template_table(spark, templates)), "h")
+    sizes = F.broadcast(spark.createDataFrame([
+        (t, len(_words(text)), max(GRAM, int(GAP_SHARE * len(_words(text))))) for t, (_, text) in enumerate(templates)],
+        "t int, words int, gap int"))
+    grams = rows.select("key", F.inline("grams"))
+    hits = grams.join(F.broadcast(spark.createDataFrame(template_grams(templates), "t int, p int, h bigint")), "h")
     votes = hits.select("key", "t", "p", "pos", (F.col("pos") - F.col("p")).alias("diagonal")).distinct()
     diagonals = votes.groupBy("key", "t", "diagonal").agg(
-        F.collect_set("p").alias("ps"), F.min("pos").alias("low"), F.max("pos").alias("high"))
-    # neighbouring diagonals form one run while their offsets differ a little
-    by = Window.partitionBy("key", "t").orderBy("diagonal")
-    new = (F.col("diagonal") - F.lag("diagonal").over(by) > MAX_SHIFT).cast("int")
+        F.collect_set("p").alias("ps"), F.min("pos").alias("low"), F.max("pos").alias("high")).join(sizes, "t")
+    # diagonals that follow one another in the text form one run
+    by = Window.partitionBy("key", "t").orderBy("low", "diagonal")
+    so_far = F.max("high").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    new = (F.col("low") - so_far - GRAM > F.col("gap")).cast("int")
     merged = diagonals.withColumn("run", F.sum(F.coalesce(new, F.lit(0))).over(by)).groupBy("key", "t", "run").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("ps")))).alias("votes"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("ps")))).alias("votes"), F.first("words").alias("words"),
         F.min("low").alias("start"), (F.max("high") + GRAM).alias("stop"))
     # a changed word takes at most GRAM votes, so half the share is asked for here
     enough = F.col("votes") >= F.greatest(F.lit(1), (F.col("words") - GRAM + 1) * MIN_SHARE / 2)
-    return merged.join(F.broadcast(sizes), "t").where(enough).select("key", "t", "start", "stop")
+    return merged.where(enough).select("key", "t", "start", "stop")
 
 
 def _best(spans: list[dict]) -> list[dict]:
@@ -209,7 +224,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     spark = docs.sparkSession
     on_workers(spark)
     keyed = docs.select(_row_key(id_col, text_col).alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = rolling(keyed)
+    rows = staged(rolling(keyed), "license-rows")
     spans = staged(candidate_spans(rows), "license-spans")
     n_spans = spans.count()
     good = staged(verified(keyed, spans, n_spans), "license-verified")
