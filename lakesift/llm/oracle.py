@@ -37,18 +37,23 @@ twice AS (
   WHERE n > 1),
 cover AS (
   SELECT rid, count(DISTINCT pos + k) AS n FROM twice, (VALUES (0), (1), (2)) AS v(k) GROUP BY rid),
+every AS (
+  SELECT rid, l, pos, regexp_matches(l, '[^\x20\x09-\x0D]') AS has_word,
+    regexp_matches(l, '[.!?…‼⁇⁈⁉‽。！？｡．﹒﹖﹗؟۔।॥։።፧፨။៕៖᠃᠉།༎෴]["''”’»)\]]*([ \t\r]|$)|[\x{0E01}-\x{0EDF}]') AS has_end
+  FROM (SELECT rid, unnest(ls) AS l, generate_subscripts(ls, 1) AS pos FROM (SELECT rid, string_split(t, chr(10)) AS ls FROM d))),
 line AS (
-  SELECT rid, l FROM (SELECT rid, unnest(string_split(t, chr(10))) AS l FROM d)
-  WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
+  SELECT rid, l, bool_or(has_end) OVER (PARTITION BY rid, paragraph) AS ended
+  FROM (SELECT *, count(*) FILTER (NOT has_word) OVER (PARTITION BY rid ORDER BY pos) AS paragraph FROM every)
+  WHERE has_word),
 sized AS (
-  SELECT rid, l, length(l) AS chars,
+  SELECT rid, l, ended, length(l) AS chars,
     length(l) - length(regexp_replace(l, '[#*$%&|<>]', '', 'g')) AS symbols,
     length(l) - length(regexp_replace(l, '\p{Lu}', '', 'g')) AS upper_n,
     length(l) - length(regexp_replace(l, '\p{Ll}', '', 'g')) AS lower_n
   FROM line),
 judged AS (
   SELECT rid, l, chars,
-    NOT regexp_matches(l, '[.!?…。！？]["''”’»)\]]*([ \t]|$)')
+    (chars < 25 AND NOT ended)
     OR (chars <= 160 AND regexp_matches(l, '(?i)(javascript|cookie|lorem ipsum|all rights reserved|terms of (use|service)|privacy policy|sign in|log in|subscribe|click here|read more|share this|skip to content|back to top)'))
     OR (regexp_matches(l, '[#*$%&|<>]| [»•·] |\p{Lu}[^\p{Ll}]{0,4}\p{Lu}')
         AND (len(regexp_extract_all(l, ' [|»•·>] ')) >= 3 OR symbols * 100 > chars * 10

@@ -1,8 +1,14 @@
 """Quality rules, line first (native DataFrame expressions only).
 
-Each line is judged on its own by punctuation, navigation and boilerplate
-rules; failing lines are removed, and a document that loses too much of its
-text is rejected.  Base figures and limits of the whole text come first.
+Each line is judged by punctuation, navigation and boilerplate rules; failing
+lines are removed, and a document that loses too much of its text is rejected.
+Base figures and limits of the whole text come first.
+
+The punctuation rule removes a line only if it is short, has no sentence end,
+and its paragraph (the lines between blank ones) has none either: wrapped prose
+and verse hold theirs on other lines, and a missing end alone is no fault of a
+long line.  Sentence ends of all scripts count; scripts that write none (Thai,
+Lao) are asked for none.  Blank lines stay where they are.
 
 Edge cases: a null text counts as empty (no words, fails the base); repeated
 rows are judged alike, row by row; ids may be null; other columns of the
@@ -33,7 +39,16 @@ SYMBOLS = "[#*$%&|<>]"
 SEPARATOR = " [|»•·>] "
 #: A line without any of these passes the navigation, symbol and case rules.
 SUSPICIOUS = "[#*$%&|<>]| [»•·] |\\p{Lu}[^\\p{Ll}]{0,4}\\p{Lu}"
-SENTENCE = "[.!?…。！？][\"'”’»)\\]]*([ \\t]|$)"
+SHORT_CHARS = 25           # a line of fewer characters needs a sentence end near
+# Characters that end sentences, by script (Latin and general,
+# CJK, Arabic, Indic, Armenian, Ethiopic, Burmese, Khmer, Mongolian, Tibetan,
+# Sinhala), and the letters of scripts that have none (Thai, Lao).
+SENTENCE_ENDS = ".!?…‼⁇⁈⁉‽。！？｡．﹒﹖﹗؟۔।॥։።፧፨။៕៖᠃᠉།༎෴"
+NO_ENDS = "\\x{0E01}-\\x{0EDF}"
+#: A sentence end within a line, and within a paragraph.
+SENTENCE = f"[{SENTENCE_ENDS}][\"'”’»)\\]]*([ \\t\\r\\n]|\\z)|[{NO_ENDS}]"
+#: Line breaks before a blank line part paragraphs.
+PARAGRAPH = "\n(?=[\\x20\\x09\\x0B-\\x0D]*\n)"
 BOILERPLATE = (
     "(?i)(javascript|cookie|lorem ipsum|all rights reserved|terms of (use|service)|privacy policy"
     "|sign in|log in|subscribe|click here|read more|share this|skip to content|back to top)"
@@ -70,8 +85,9 @@ def _covered(grams: Column) -> Column:
     return F.aggregate(places, start, step, lambda a: a["n"].cast("long"))
 
 
-def line_fails(line: Column) -> Column:
-    """True for a line that the punctuation, navigation or boilerplate rules remove."""
+def line_fails(line: Column, ended: Column) -> Column:
+    """True for a line that the punctuation, navigation or boilerplate rules
+    remove; ``ended``: its paragraph holds a sentence end."""
     chars = F.char_length(line)
     symbols = chars - F.char_length(F.regexp_replace(line, SYMBOLS + "+", ""))
     upper = chars - F.char_length(F.regexp_replace(line, "\\p{Lu}+", ""))
@@ -82,7 +98,21 @@ def line_fails(line: Column) -> Column:
     # one scan clears most lines of the three rules
     marked = line.rlike(SUSPICIOUS) & (navigation | symbolic | shouting)
     boilerplate = (chars <= BOILERPLATE_CHARS) & line.rlike(BOILERPLATE)
-    return ~line.rlike(SENTENCE) | boilerplate | marked
+    return (~ended & (chars < SHORT_CHARS)) | boilerplate | marked
+
+
+def judged_lines(text: Column) -> Column:
+    """All lines of a text, in order: ``line``, whether it has a word (``full``)
+    and whether it is removed (``bad``; blank lines never are)."""
+
+    def judged(line, ended):
+        full = line.rlike(WORD)
+        return F.struct(line.alias("line"), full.alias("full"), (full & line_fails(line, ended)).alias("bad"))
+
+    def paragraph(p):
+        return _let(p.rlike(SENTENCE), lambda ended: F.transform(F.split(p, "\n"), lambda x: judged(x, ended)))
+
+    return F.flatten(F.transform(F.split(text, PARAGRAPH), paragraph))
 
 
 _OWN = "__quality_"
@@ -94,7 +124,7 @@ def with_figures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     df = docs.withColumn(_OWN + "text", F.coalesce(F.col(text_col), F.lit("")))
     df = df.withColumns({
         _OWN + "words": words_of(own("text")),
-        _OWN + "lines": F.filter(F.split(own("text"), "\n"), lambda x: x.rlike(WORD)),
+        _OWN + "judged": judged_lines(own("text")),
     })
     n = F.size(own("words"))
     gram = lambda i: F.xxhash64(*(F.get(own("words"), i + d) for d in range(3)))
@@ -102,15 +132,14 @@ def with_figures(docs: DataFrame, text_col: str = "text") -> DataFrame:
         _OWN + "n": n,
         _OWN + "chars": F.char_length(F.array_join(own("words"), "")),
         _OWN + "grams": F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), gram)),
-        _OWN + "bad": F.transform(own("lines"), line_fails),
+        _OWN + "lines": F.transform(F.filter(own("judged"), lambda x: x["full"]), lambda x: x["line"]),
+        _OWN + "kept_lines": F.transform(F.filter(own("judged"), lambda x: x["full"] & ~x["bad"]), lambda x: x["line"]),
     })
     grams = own("grams")
     repeats = F.coalesce(F.size(F.array_distinct(grams)) < F.size(grams), F.lit(False))
     sizes = lambda lines: F.aggregate(lines, F.lit(0), lambda a, x: a + F.char_length(x))
-    kept_lines = F.filter(own("lines"), lambda x, i: ~F.get(own("bad"), i))
     df = df.withColumns({
         _OWN + "repeat": F.when(repeats, _covered(grams)).otherwise(F.lit(0)).cast("long"),
-        _OWN + "kept_lines": kept_lines,
         _OWN + "all": sizes(own("lines")),
     })
     text = own("text")
@@ -118,7 +147,8 @@ def with_figures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     lost = own("all") - sizes(own("kept_lines"))
     too_much = lost * 100 > own("all") * MAX_LOST_PCT
     # the cleaned text keeps every line but those removed, blank ones included
-    cleaned = F.when(lost == 0, text).otherwise(F.array_join(own("kept_lines"), "\n"))
+    rest = F.transform(F.filter(own("judged"), lambda x: ~x["bad"]), lambda x: x["line"])
+    cleaned = F.when(lost == 0, text).otherwise(F.array_join(rest, "\n"))
     figures = F.struct(
         own("n").cast("long").alias("n_words"),
         own("chars").cast("long").alias("word_chars"),
