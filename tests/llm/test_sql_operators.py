@@ -1,11 +1,15 @@
 """Operators that SQL can express: edge cases against DuckDB, and empty tables."""
 
+import random
+import textwrap
+
 import pytest
 
+from lakesift.llm import quality
 from lakesift.llm.oracle import ORACLE_SQL
 from lakesift.llm.queries import QUERIES
 
-from .conftest import same
+from .conftest import prose, same
 
 
 @pytest.mark.parametrize("name", ["op3_quality_rules", "op8_source_mix"])
@@ -83,3 +87,36 @@ def test_clean_keeps_columns_and_cuts_lines(spark, edges):
     assert "About" not in cut["text"] and cut["n_chars"] == len(cut["text"])
     assert out.where("doc_id = 11").first()["text"] == docs.where("doc_id = 11").first()["text"]
     assert out.where("doc_id in (0, 1, 2, 14, 18)").count() == 0
+
+
+CLEAN = {
+    "wrapped": "\n\n".join("\n".join(textwrap.wrap(" ".join(f"Word{i} of{k} prose." if i % 9 == 8 else f"word{i} of{k}" for i in range(40)), 70)) for k in range(3)),
+    "hindi": "\n".join(" ".join(f"शब्द{k}{i}" for i in range(8)) + "।" for k in range(10)),
+    "thai": "\n".join(" ".join(f"คำ{k}{i}" for i in range(8)) for k in range(10)),
+    "verse": "\n\n".join("\n".join(f"a line {k} of {i} verse" + ("," if i < 3 else ".") for i in range(4)) for k in range(6)),
+    "unended": "\n".join(" ".join(f"long{k}{i}" for i in range(12)) for k in range(6)),
+    "windows": "\r\n".join(f"The sentence number {k} ends here now." for k in range(12)),
+}
+
+
+def test_clean_texts_of_any_layout_are_kept(spark):
+    docs = spark.createDataFrame(list(CLEAN.items()), "doc_id string, text string")
+    for row in quality.judge(docs).collect():
+        assert row["kept"] and row["n_removed_lines"] == 0 and row["cleaned"] == CLEAN[row["doc_id"]], row
+
+
+def test_blank_lines_stay_where_lines_are_cut(spark):
+    text = prose(1, 2) + "\n\n" + "Home\nAbout us\n\n \n" + prose(3, 4) + "\n"
+    (row,) = quality.judge(spark.createDataFrame([(1, text)], "doc_id int, text string")).collect()
+    assert row["cleaned"] == text.replace("Home\nAbout us\n", "") and row["n_removed_lines"] == 2 and row["kept"]
+
+
+def test_line_rules_equal_sql(spark, duck, tmp_path):
+    r = random.Random(5)
+    parts = ["Home | About | Contact | Login", "click here", "short", "A long line of words that has no end at all", "It ends.", "", " \t ", "BIG LETTERS ALL THE WAY UP",
+             "#### $$$", "“Quoted.”", "हिंदी।", "ไทย", "完。", "Read more about it in the text below, if you like.", "x\r", "End.\r", "\x0b", "No end here »"]
+    rows = [(i, "\n".join(r.choices(parts, k=r.randrange(12))) + r.choice(["", "\n", "\n\n"]) + prose(*range(r.randrange(6)))) for i in range(300)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for t in ("pages", "embeddings"):
+        spark.createDataFrame([(1,)], "x int").write.parquet(f"{tmp_path}/{t}.parquet")
+    same(QUERIES["op3_quality_rules"](spark, str(tmp_path)), *duck(str(tmp_path), ORACLE_SQL["op3_quality_rules"]))

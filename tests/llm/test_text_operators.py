@@ -4,8 +4,10 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
+from difflib import SequenceMatcher
 
 import numpy as np
 import public_tokenizers
@@ -50,6 +52,19 @@ def test_bpe_tree_at_any_leaf_size(monkeypatch):
         assert [t for p in split for t in pieces[p]] == TIKTOKEN.encode_ordinary(text)
 
 
+def test_bpe_of_long_runs():
+    r, pieces = random.Random(6), bpe.Pieces(RANKS)
+    runs = [ch * n for ch in "x= -0é" for n in (97, 1000, 5001)]
+    runs += ["".join(r.choices(alphabet, k=n)) for alphabet in ("ab", "xX=", "thein", "0123456789", "aAbBcC0123+/") for n in (97, 300, 2000) for _ in range(6)]
+    for run in runs:
+        want = TIKTOKEN._core_bpe.encode_single_piece(run.encode())
+        alike = pieces.merge_alike(run.encode())
+        assert pieces.tree(run.encode()) == pieces.merge_agenda(run.encode()) == want and alike in (None, want)
+    began = time.process_time()
+    assert sum(map(len, map(pieces.bytes_of.get, pieces["=" * 1_000_000]))) == 1_000_000
+    assert time.process_time() - began < 5  # about half a second; quadratic work would take hours
+
+
 def test_surrogates(spark, edges):
     rows = {r["doc_id"]: r for r in QUERIES["op5_pii_surrogates"](spark, edges).collect() if r["doc_id"] is not None}
     assert rows[0]["text"] is None and rows[1]["text"] == ""
@@ -82,7 +97,7 @@ def test_surrogates_of_more_entities_than_names(spark):
     entities = [("given-latin-n", v) for v in given] + [("given-cyrillic-n", f"имя{v}") for v in given]
     entities += [("ip", f"{a}.{b}.{c}.{d}") for a in range(1, 10) for b in range(1, 10) for c in range(1, 10) for d in range(1, 10)]
     entities += [("email", f"{a}@{b}.com") for a in letters for b in letters[:9]] + [("secret", "--------"), ("secret", "a-------")]
-    frame = spark.createDataFrame(entities, "kind string, value string").repartition(4).localCheckpoint()
+    frame = spark.createDataFrame(entities, "kind string, value string").repartition(4)
     rows = pii.settled(frame, b"k").collect()
     assert {(r["kind"], r["value"]) for r in rows} == set(entities) and len(rows) == len(entities)
     new = {(r["kind"], r["surrogate"]) for r in rows}
@@ -236,6 +251,55 @@ def test_licence_templates_by_diagonals(spark):
     assert got[0]["spans"][0]["start"] == 2 and len(got[3]["spans"]) == 3
 
 
+def test_licences_with_words_inserted_and_dropped(spark):
+    texts = {label: text for label, text in license_scan.TEMPLATES if label in ("mit", "gpl", "isc") and len(text) > 100}
+    rows, want = [], {}
+    for label, text in texts.items():
+        words = text.split()
+        for n in (4, 6, 10):
+            cut = len(words) // 2
+            rows.append((len(rows), " ".join(["Before."] + words[:cut] + [f"extra{i}" for i in range(n)] + words[cut:] + ["After."])))
+            want[len(rows) - 1] = label
+        for n in (4, 6):
+            cut = len(words) // 3
+            rows.append((len(rows), " ".join(words[:cut] + words[cut + n:])))
+            want[len(rows) - 1] = label
+    for label in texts:  # too little of a template
+        rows.append((len(rows), " ".join(texts[label].split()[: len(texts[label].split()) // 2])))
+        want[len(rows) - 1] = ""
+    got = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    for i, text in rows:
+        own = [s["label"] for s in got[i]["spans"]]
+        assert own == ([want[i]] if want[i] else []), (text, got[i])
+
+
+def test_licence_labels_by_brute_force(spark):
+    """A text of a template with words lost, doubled or changed has its label if
+    enough words match in order, tried with all templates over the whole text."""
+    r = random.Random(8)
+    rows, want = [], []
+    for i in range(60):
+        t = r.randrange(len(license_scan.TEMPLATES))
+        words = [w for w in license_scan._words(license_scan.TEMPLATES[t][1])]
+        for _ in range(r.randrange(0, max(2, len(words) // 4))):
+            at = r.randrange(len(words))
+            words[at:at + 1] = r.choice([[], [b"other"], [words[at], b"more"]])
+        rows.append((i, b" ".join(words).decode()))
+        scores = {}
+        for label, text in license_scan.TEMPLATES:
+            template = license_scan._words(text)
+            same = sum(m.size for m in SequenceMatcher(None, template, words, autojunk=False).get_matching_blocks())
+            scores[label] = max(scores.get(label, 0), same / len(template))
+        want.append(scores)
+    for row in license_scan.scan(spark.createDataFrame(rows, "doc_id int, text string")).collect():
+        scores = want[row["doc_id"]]
+        own = {s["label"] for s in row["spans"]}
+        assert all(scores[label] >= license_scan.MIN_SHARE for label in own), (rows[row["doc_id"]], own)
+        best = max(scores.values())
+        if best >= license_scan.MIN_SHARE + 0.05:
+            assert own & {label for label, x in scores.items() if x >= best - 0.05}, (rows[row["doc_id"]], scores, own)
+
+
 def test_url_rules(spark, edges):
     rules = [(r.split()[0], *r.split()[1].partition("/")) for r in URL_RULES]
     got = QUERIES["op2_url_filter"](spark, edges).collect()
