@@ -2,29 +2,32 @@
 
 import itertools
 import random
-import re
+
+import pandas as pd
+import pytest
 
 from conftest import write_csv
 from lakesift.config import ScoreConfig
-from lakesift.functions.text import NA_TOKENS
+from lakesift.operators import pairs as pr
 from lakesift.plans.labelling import LakeState
 from lakesift.sources.lake import Lake
 
-NUM = re.compile(r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|inf|infinity)\s*$", re.IGNORECASE)
-
-
-def profile(values):
-    vals = [v for v in values if v not in NA_TOKENS]
-    if not vals:
+def profile(series):
+    """One column as a data frame reader types it: by values, not by cell texts."""
+    vals = series.dropna()
+    if vals.empty:
         return dict(kind="string", card=0.0, set=set(), empty=True)
-    kind = "numeric" if all(NUM.match(v) for v in vals) else "string"
+    try:
+        pd.to_numeric(vals, errors="raise")
+        kind = "numeric"
+    except (ValueError, TypeError):
+        kind = "string"
     counts, first = {}, {}
-    for i, v in enumerate(vals):
-        k = v.lower().strip()
+    for i, k in enumerate(vals.astype(str).str.lower().str.strip()):
         counts[k] = counts.get(k, 0) + 1
         first.setdefault(k, i)
     top = sorted(counts, key=lambda k: (-counts[k], first[k]))[:200]
-    return dict(kind=kind, card=len(set(vals)) / len(vals), set=set(top), empty=False)
+    return dict(kind=kind, card=vals.nunique() / len(vals), set=set(top), empty=False)
 
 
 def joinability(pq, pc):
@@ -58,9 +61,6 @@ def unionability(pq, pc):
     return best / max(len(pq), len(pc))
 
 
-import pytest
-
-
 @pytest.mark.parametrize("seed", [11, 5, 23])
 def test_random_lake_against_brute_force(spark, lake_dir, seed):
     rnd = random.Random(seed)
@@ -84,11 +84,10 @@ def test_random_lake_against_brute_force(spark, lake_dir, seed):
         header = [f"c{i}" for i in range(n_cols)]
         rows = [list(r) for r in zip(*cols)]
         write_csv(lake_dir / f"t{t}.csv", header, rows)
-        tables[f"t{t}.csv"] = [profile(c) for c in cols]
+        frame = pd.read_csv(lake_dir / f"t{t}.csv", low_memory=False)
+        tables[f"t{t}.csv"] = [profile(frame[c]) for c in frame.columns]
     st = LakeState(Lake.from_folder(spark, str(lake_dir), fmt="csv"), ScoreConfig())
     names = {r.table_idx: r.table_name for r in st.tables.collect()}
-    from lakesift.operators import pairs as pr
-
     j = {(names[r.q_idx], names[r.c_idx]): r.joinability for r in pr.mirror(st.joinability, st.cfg).collect()}
     u = {(names[r.q_idx], names[r.c_idx]): r.unionability for r in pr.mirror(st.unionability, st.cfg).collect()}
     assert len(j) == len(u) == 16
