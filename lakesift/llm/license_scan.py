@@ -88,6 +88,11 @@ def _words(text: str) -> list[bytes]:
     return text.encode().translate(WORDS).split()
 
 
+def _gap(template: list[bytes]) -> int:
+    """Words between two parts of a run of a template, at most."""
+    return max(GRAM, int(GAP_SHARE * len(template)))
+
+
 def base_places(words: list[bytes], phrases=PHRASES) -> tuple[int, int | None, int | None, list[str]]:
     """Count, first and last start, and labels of the exact phrases."""
     joined = b" " + b" ".join(words) + b" "
@@ -152,8 +157,7 @@ def candidate_spans(rows: DataFrame, templates=TEMPLATES) -> DataFrame:
     """Runs of diagonals with enough votes: (key, t, start, stop) in words."""
     spark = rows.sparkSession
     sizes = F.broadcast(spark.createDataFrame([
-        (t, len(_words(text)), max(GRAM, int(GAP_SHARE * len(_words(text))))) for t, (_, text) in enumerate(templates)],
-        "t int, words int, gap int"))
+        (t, len(_words(text)), _gap(_words(text))) for t, (_, text) in enumerate(templates)], "t int, words int, gap int"))
     grams = rows.select("key", F.inline("grams"))
     hits = grams.join(F.broadcast(spark.createDataFrame(template_grams(templates), "t int, p int, h bigint")), "h")
     votes = hits.select("key", "t", "p", "pos", (F.col("pos") - F.col("p")).alias("diagonal")).distinct()
@@ -183,7 +187,7 @@ def _best(spans: list[dict]) -> list[dict]:
 def _windows(start: int, stop: int, size: int) -> list[tuple[int, int]]:
     """A span as it is, or, if repeats of a template run together in it,
     overlapping windows of two template lengths."""
-    if stop - start <= 3 * size:
+    if 2 * (stop - start) <= 3 * size:
         return [(start, stop)]
     return [(a, min(a + 2 * size, stop)) for a in range(start, stop, size)]
 
@@ -201,6 +205,8 @@ def verified(docs: DataFrame, spans: DataFrame, n_spans: int, templates=TEMPLATE
                 for c in found:
                     template = wanted[c["t"]]
                     for start, stop in _windows(c["start"], c["stop"], len(template)):
+                        # words near the ends that no whole gram holds
+                        start, stop = max(0, start - _gap(template)), stop + _gap(template)
                         match = SequenceMatcher(None, template, words[start:stop], autojunk=False).get_matching_blocks()
                         match = [m for m in match if m.size]
                         score = sum(m.size for m in match) / len(template)

@@ -93,9 +93,9 @@ CLEAN = {
     "wrapped": "\n\n".join("\n".join(textwrap.wrap(" ".join(f"Word{i} of{k} prose." if i % 9 == 8 else f"word{i} of{k}" for i in range(40)), 70)) for k in range(3)),
     "hindi": "\n".join(" ".join(f"शब्द{k}{i}" for i in range(8)) + "।" for k in range(10)),
     "thai": "\n".join(" ".join(f"คำ{k}{i}" for i in range(8)) for k in range(10)),
-    "verse": "\n\n".join("\n".join(f"a line {k} of {i} verse" + ("," if i < 3 else ".") for i in range(4)) for k in range(6)),
+    "verse": "\n\n".join("\n".join(f"line{k}{i} of{k}{i} some{k}{i} verse{k}{i}" + ("," if i < 3 else ".") for i in range(4)) for k in range(6)),
     "unended": "\n".join(" ".join(f"long{k}{i}" for i in range(12)) for k in range(6)),
-    "windows": "\r\n".join(f"The sentence number {k} ends here now." for k in range(12)),
+    "windows": "\r\n".join(" ".join(f"{w}{k}" for w in "The sentence of number ends here now".split()) + "." for k in range(12)),
 }
 
 
