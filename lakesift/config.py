@@ -65,8 +65,9 @@ class ScoreConfig:
     sample_values: int = SAMPLE_VALUES
     table_text_columns: int = TABLE_TEXT_COLUMNS
     embedding_dim: int = EMBEDDING_DIM
-    # "hashed" (built-in lexical embedder), "none" (no model: constant table
-    # score, no column scores) or a callable embedder, see semantic.py.
+    # "hashed" (built-in lexical embedder), "dense" or a DenseConfig (vectors
+    # from the lake's own token co-occurrences, see dense.py), "none" (no model:
+    # constant table score, no column scores) or a callable embedder, see semantic.py.
     embedder: object = "hashed"
     # First n tables as queries, first m listed files as candidates.
     num_queries: int | None = None

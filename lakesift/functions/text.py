@@ -60,6 +60,10 @@ def quoted(name: str) -> str:
 def cell_text(name: str, dtype: T.DataType) -> Column:
     """Text form of a cell, the value every profile and text is built on."""
     c = F.col(quoted(name))
+    if isinstance(dtype, T.ArrayType) and isinstance(dtype.elementType, (T.FloatType, T.DoubleType)):
+        # a vector as a typed reader prints a list of numbers
+        shown = F.transform(c, lambda x: F.when(x.isNull(), "NULL").when(F.isnan(x), "nan").otherwise(float_text(x)))
+        return F.concat(F.lit("["), F.array_join(shown, ", "), F.lit("]"))
     if isinstance(dtype, (T.ArrayType, T.MapType, T.StructType)):
         return F.to_json(c)
     if isinstance(dtype, (T.StringType, T.VarcharType, T.CharType)):

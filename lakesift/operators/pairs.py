@@ -2,10 +2,9 @@
 
 Every score is symmetric in (query, candidate), so the plan works on the
 upper triangle ``q_idx <= c_idx`` and mirrors at the end: half the work,
-the same output.  Pairs are generated per query table with
-``explode(sequence(q_idx, last_idx))`` - a generator over the table
-dimension whose output *is* the required result set (one row per pair), not a
-join of data rows.
+the same output.  Pairs are unranked from a distributed range of numbers
+whose output *is* the required result set (one row per pair): no list of tables
+and no join makes them.
 """
 
 from __future__ import annotations
@@ -17,35 +16,33 @@ from lakesift.config import ScoreConfig
 from lakesift.plans.util import maybe_broadcast
 
 
-def upper_pairs(spark: SparkSession, ok_idx: list[int], cfg: ScoreConfig) -> DataFrame:
+def upper_pairs(spark: SparkSession, n_tables: int, failed: list[int], cfg: ScoreConfig) -> DataFrame:
     """Unordered pairs ``(q_idx <= c_idx)`` of loaded tables that S4/S5 can use.
 
-    An unordered pair {a, b} is kept when one of its two orientations passes
-    the query prefix (S4: ``q < num_queries``) and candidate cap (S5:
-    ``c < max_candidates``, numbered over *all* listed files).
-    """
-    if not ok_idx:
-        return spark.createDataFrame([], "q_idx int, c_idx int")
-    last = max(ok_idx)
-    tables = spark.createDataFrame([(i,) for i in ok_idx], "table_idx int")
-    gen = tables.select(
-        F.col("table_idx").alias("q_idx"),
-        F.explode(F.sequence(F.col("table_idx"), F.lit(last))).alias("c_idx"),
-    )
-    # keep loaded candidates only (one row per table, broadcast under the limit)
-    pairs = gen.join(maybe_broadcast(tables.withColumnRenamed("table_idx", "c_idx"), 16 * len(ok_idx),
-                                     cfg.broadcast_limit_bytes), "c_idx")
-    nq, mc = cfg.num_queries or None, cfg.max_candidates or None
-    if nq is not None or mc is not None:
-        def ok(q, c):
-            cond = F.lit(True)
-            if nq is not None:
-                cond = cond & (q < nq)
-            if mc is not None:
-                cond = cond & (c < mc)
-            return cond
-        pairs = pairs.where(ok(F.col("q_idx"), F.col("c_idx")) | ok(F.col("c_idx"), F.col("q_idx")))
-    return pairs.select("q_idx", "c_idx")
+    An unordered pair {a, b} is needed when one of its two orientations passes
+    the query prefix (S4: ``q < num_queries``) and the candidate cap (S5:
+    ``c < max_candidates``, numbered over *all* listed files): these are the
+    pairs with ``a < low`` and ``a <= b < high`` for the smaller and the larger
+    of the two limits.  Their numbers 0, 1, ... in row order are a distributed
+    range; each is turned into its pair by arithmetic, so no list of tables is
+    in the plan but that of the tables that failed."""
+    limits = [min(n_tables, x or n_tables) for x in (cfg.num_queries, cfg.max_candidates)]
+    low, high = min(limits), max(limits)
+    pairs = unranked(spark.range(low * high - low * (low - 1) // 2), high).drop("id")
+    if failed:
+        pairs = pairs.where(~F.col("q_idx").isin(failed) & ~F.col("c_idx").isin(failed))
+    return pairs
+
+
+def unranked(ids: DataFrame, high: int) -> DataFrame:
+    """(id, q_idx, c_idx): pair number ``id`` of the pairs ``q <= c < high`` in row
+    order.  Row q starts at q * high - q (q - 1) / 2; the root is a guess that is
+    one off at most, and whole numbers put it right."""
+    start = lambda q: f"({q} * {high}L - ({q} * ({q} - 1)) div 2)"
+    root = f"sqrt({2 * high + 1}D * {2 * high + 1}D - 8D * id)"
+    guess = ids.selectExpr("id", f"greatest(0L, cast(floor(({2 * high + 1}D - {root}) / 2) as bigint) - 1) as g")
+    rows = guess.selectExpr("id", f"g + int({start('(g + 1)')} <= id) + int({start('(g + 2)')} <= id) as q")
+    return rows.selectExpr("id", "cast(q as int) as q_idx", f"cast(id - {start('q')} + q as int) as c_idx")
 
 
 def mirror(df: DataFrame, cfg: ScoreConfig) -> DataFrame:

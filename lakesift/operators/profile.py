@@ -7,9 +7,11 @@ Everything else is derived from that aggregate:
 
 * column statistics (row count, non-null count, distinct raw values, type
   test on *distinct* values only) - a second, tiny aggregation;
-* normalised frequencies and the top-k value set - the ranking window runs
-  after a partial ``WindowGroupLimit`` so each column group holds at most
-  ``k x shuffle partitions`` rows, whatever the column's distinct count.
+* normalised frequencies and the top-k value set - regrouped by digests of
+  the normalised values, so texts are shuffled once only; the ranking window
+  runs after a partial ``WindowGroupLimit`` so each column group holds at most
+  ``k x shuffle partitions`` rows of a few bytes, whatever the column's distinct
+  count; the texts of the kept ones are fetched by the row they first stand in.
 """
 
 from __future__ import annotations
@@ -26,13 +28,10 @@ from lakesift.sources.lake import ROW_MARK
 
 
 def raw_value_counts(cells: DataFrame) -> DataFrame:
-    """P5 on raw text: ``(table_idx, col_idx, value, n[, first])`` over non-null
-    cells.  When the cells carry a row ordinal, ``first`` is the value's
-    first position, so the same single shuffle also feeds the E1 samples."""
-    aggs = [F.count(F.lit(1)).alias("n")]
-    if "ord" in cells.columns:
-        aggs.append(F.min("ord").alias("first"))
-    return cells.groupBy("table_idx", "col_idx", "value").agg(*aggs)
+    """P5 on raw text: ``(table_idx, col_idx, value, n, first)`` over non-null
+    cells with row ordinals; ``first`` is the value's first position, so the same
+    single shuffle also feeds the E1 samples."""
+    return cells.groupBy("table_idx", "col_idx", "value").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first"))
 
 
 def column_stats(raw: DataFrame) -> DataFrame:
@@ -50,20 +49,12 @@ def column_stats(raw: DataFrame) -> DataFrame:
             F.count(F.lit(1)).alias("n_distinct"),
             F.bool_and(tx.is_numeric_text(F.col("value"))).alias("all_numeric_text"),
             F.bool_and(tx.is_boolean_text(F.col("value"))).alias("all_boolean_text"),
-            *_first_seen(raw),
+            # every consumer of ``raw`` reads ``first``: their subplans stay equal
+            F.min("first").alias("first"),
         )
     )
 
 
-def _first_seen(raw: DataFrame) -> list:
-    """``min(first)`` when ``raw`` carries row positions.
-
-    Every consumer of ``raw`` reads ``first``; this keeps their ``raw``
-    subplans identical after column pruning, so one job computes the raw
-    shuffle once and reuses it (ReusedExchange) for all of them."""
-    return [F.min("first").alias("first")] if "first" in raw.columns else []
-
-
 def csv_row_counts(raw: DataFrame) -> DataFrame:
     """P1 of CSV tables from their row marks."""
     return raw.where(F.col("col_idx") == ROW_MARK).select("table_idx", F.col("n").alias("n_rows"))
@@ -97,27 +88,57 @@ def inferred_type(src_class, n_non_null, all_numeric_text, all_boolean_text):
     return F.when((n_non_null > 0) & num, F.lit("numeric")).otherwise(F.lit("string"))
 
 
-def top_values(raw: DataFrame, top_k: int) -> DataFrame:
+def digest(text: F.Column) -> list[F.Column]:
+    """128 bits that stand for a text as a grouping key (``d1``, ``d2``); a third
+    digest (``d3``) tells two texts apart that would share them."""
+    return [F.xxhash64(text).alias("d1"), F.xxhash64(F.lit("second"), text).alias("d2"), F.hash(F.lit("third"), text).alias("d3")]
+
+
+def counted(raw: DataFrame, form) -> DataFrame:
+    """(table_idx, col_idx, d1, d2, freq, first) of the values' ``form``: raw
+    counts regrouped by digests, so no text is shuffled again.  ``first`` names
+    the row whose value has this form (a row has one value in a column), by which
+    :func:`with_text` finds the text of those that are kept."""
+    grouped = raw.select("table_idx", "col_idx", *digest(form(F.col("value"))), "n", "first").groupBy(
+        "table_idx", "col_idx", "d1", "d2").agg(
+        F.sum("n").alias("freq"), F.min("first").alias("first"), F.min("d3").alias("low"), F.max("d3").alias("high"))
+    clash = F.raise_error(F.lit("two values of a column share 128 bits of digests")).cast("bigint")
+    return grouped.select("table_idx", "col_idx", F.when(F.col("low") == F.col("high"), F.col("freq")).otherwise(clash).alias("freq"), "first")
+
+
+def top_ranks(raw: DataFrame, top_k: int) -> DataFrame:
+    """P4-P7 without texts: ``(table_idx, col_idx, first, freq, rank)`` of the k
+    most frequent normalised values.  Equal counts keep first-appearance order
+    (the earliest row holding the normalised value first), as a stable frequency
+    sort of the values in table order would."""
+    w = Window.partitionBy("table_idx", "col_idx").orderBy(F.desc("freq"), F.asc("first"))
+    return counted(raw, tx.normalize_value).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k)
+
+
+def with_text(ranks: DataFrame, raw: DataFrame, form, est_bytes: int, limit_bytes: int) -> DataFrame:
+    """``ranks`` with ``value``, the ``form`` of the raw value at their first row
+    (and ``n``, its count: all columns of ``raw`` are read, and in its order, so
+    that this subplan equals the others')."""
+    texts = raw.select("table_idx", "col_idx", "value", "n", "first")
+    found = texts.join(maybe_broadcast(ranks, est_bytes, limit_bytes), ["table_idx", "col_idx", "first"])
+    return found.withColumn("value", form(F.col("value")))
+
+
+#: Bytes of a rank row as broadcast.
+RANK_BYTES = 48
+
+
+def top_values(raw: DataFrame, cfg: ScoreConfig, n_columns: int) -> DataFrame:
     """``(table_idx, col_idx, value, freq, rank)`` for the k most frequent
-    normalised values.  Equal counts keep first-appearance order (the earliest
-    row holding the normalised value first), as a stable frequency sort of the
-    values in table order would; without row positions, value ascending."""
-    norm = (
-        raw.select("table_idx", "col_idx", tx.normalize_value(F.col("value")).alias("value"), "n",
-                *(["first"] if "first" in raw.columns else []))
-        .groupBy("table_idx", "col_idx", "value")
-        .agg(F.sum("n").alias("freq"), *_first_seen(raw))
-    )
-    tie = [F.asc("first")] if "first" in raw.columns else []
-    w = Window.partitionBy("table_idx", "col_idx").orderBy(F.desc("freq"), *tie, F.asc("value"))
-    return norm.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k)
+    normalised values."""
+    return with_text(top_ranks(raw, cfg.top_k), raw, tx.normalize_value, n_columns * cfg.top_k * RANK_BYTES, cfg.broadcast_limit_bytes)
 
 
 KIND_STATS, KIND_TOP, KIND_SAMPLE, KIND_ROWS = 0, 1, 2, 3
 
 
-def bundle(raw: DataFrame, table_rows: DataFrame, cfg: ScoreConfig,
-           samples: DataFrame | None = None) -> DataFrame:
+def bundle(raw: DataFrame, table_rows: DataFrame, cfg: ScoreConfig, n_columns: int,
+           sample_ranks: DataFrame | None = None) -> DataFrame:
     """Stats, top-k values and (optionally) E1 samples of every column as *one*
     DataFrame, so that a single job - reusing the one shuffle of ``raw`` -
     materialises all of them (see :func:`split_bundle`).
@@ -128,13 +149,14 @@ def bundle(raw: DataFrame, table_rows: DataFrame, cfg: ScoreConfig,
     kind 2: value, a=occurrences, b=pos, d=first position
 
     Every branch outputs both the counts and the first positions of ``raw``,
-    so column pruning leaves the three ``raw`` subplans identical and the
-    job shuffles ``raw`` once (ReusedExchange).
+    so column pruning leaves the ``raw`` subplans identical and the
+    job shuffles ``raw`` once (ReusedExchange).  Texts of both rankings are
+    fetched in one join with ``raw``.
     """
     def shape(df, kind, value=None, a=None, b=None, c=None, d=None, num=None, boo=None):
         lit_l = F.lit(None).cast("long")
         return df.select(
-            F.lit(kind).alias("kind"), "table_idx", "col_idx",
+            (kind if isinstance(kind, F.Column) else F.lit(kind)).alias("kind"), "table_idx", "col_idx",
             (value if value is not None else F.lit(None).cast("string")).alias("value"),
             (a if a is not None else lit_l).cast("long").alias("a"),
             (b if b is not None else lit_l).cast("long").alias("b"),
@@ -144,18 +166,20 @@ def bundle(raw: DataFrame, table_rows: DataFrame, cfg: ScoreConfig,
             (boo if boo is not None else F.lit(None).cast("boolean")).alias("all_boolean_text"))
 
     st = column_stats(raw)
-    top = top_values(raw, cfg.top_k)
-    first = (lambda df: F.col("first") if "first" in df.columns else None)
     rows = table_rows.withColumn("col_idx", F.lit(-1))
     out = shape(rows, KIND_ROWS, a=F.col("n_rows")).unionByName(
         shape(st, KIND_STATS, b=F.col("n_non_null"), c=F.col("n_distinct"),
-                d=first(st), num=F.col("all_numeric_text"), boo=F.col("all_boolean_text"))) \
-        .unionByName(shape(top, KIND_TOP, value=F.col("value"), a=F.col("freq"), b=F.col("rank"),
-                           d=first(top)))
-    if samples is not None:
-        out = out.unionByName(shape(samples, KIND_SAMPLE, value=F.col("value"), a=F.col("freq"),
-                                    b=F.col("pos"), d=F.col("first")))
-    return out
+              d=F.col("first"), num=F.col("all_numeric_text"), boo=F.col("all_boolean_text")))
+    ranks = top_ranks(raw, cfg.top_k).select("table_idx", "col_idx", "first", F.lit(KIND_TOP).alias("kind"), "freq", "rank")
+    per_column = cfg.top_k
+    if sample_ranks is not None:
+        ranks = ranks.unionByName(sample_ranks.select(
+            "table_idx", "col_idx", "first", F.lit(KIND_SAMPLE).alias("kind"), "freq", F.col("pos").alias("rank")))
+        per_column += cfg.sample_values
+    form = lambda v: F.when(F.col("kind") == KIND_TOP, tx.normalize_value(v)).otherwise(F.lower(v))
+    named = with_text(ranks, raw, form, n_columns * per_column * RANK_BYTES, cfg.broadcast_limit_bytes)
+    named = shape(named, F.col("kind"), value=F.col("value"), a=F.col("freq"), b=F.col("rank"), c=F.col("n"), d=F.col("first"))
+    return out.unionByName(named)
 
 
 def split_bundle(b: DataFrame, columns: DataFrame) -> tuple["Profiles", DataFrame]:
@@ -184,9 +208,9 @@ class Profiles:
     values: DataFrame
 
 
-def profile(raw: DataFrame, columns: DataFrame, table_rows: DataFrame, cfg: ScoreConfig) -> Profiles:
+def profile(raw: DataFrame, columns: DataFrame, table_rows: DataFrame, cfg: ScoreConfig, n_columns: int) -> Profiles:
     """P10 from the raw value counts of :func:`raw_value_counts`."""
-    return assemble(columns, table_rows, column_stats(raw), top_values(raw, cfg.top_k))
+    return assemble(columns, table_rows, column_stats(raw), top_values(raw, cfg, n_columns))
 
 
 def assemble(columns: DataFrame, table_rows: DataFrame, stats: DataFrame, top: DataFrame) -> Profiles:

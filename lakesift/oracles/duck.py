@@ -157,6 +157,22 @@ class Oracle:
                  FROM raw WHERE value IS NOT NULL GROUP BY ALL""",
             "samp": f"""SELECT *, row_number() OVER (PARTITION BY table_idx, col_idx ORDER BY first) AS pos
                  FROM firsts QUALIFY pos <= {SAMPLE_VALUES}""",
+            # -- token co-occurrences: within four tokens, or under a column name ------
+            "toks": f"""SELECT table_idx, col_idx, list_filter(string_split_regex(lower(value), {split}), lambda t: t <> '') AS t FROM samp""",
+            "near": """SELECT p.x AS x, p.y AS y FROM (
+                   SELECT unnest([struct_pack(x := t[i], y := t[i + d]) for i in range(1, len(t) - d + 1)]) AS p
+                   FROM toks, (VALUES (1), (2), (3), (4)) AS v(d))""",
+            "nametoks": f"""SELECT DISTINCT table_idx, col_idx, tok AS y FROM (
+                   SELECT table_idx, col_idx, unnest(string_split_regex(lower(column_name), {split})) AS tok FROM prof) WHERE tok <> ''""",
+            "valuetoks": "SELECT table_idx, col_idx, unnest(t) AS x FROM toks",
+            "met": """SELECT x, y FROM near WHERE x <> y UNION ALL
+                   SELECT x, y FROM valuetoks JOIN nametoks USING (table_idx, col_idx) WHERE x <> y""",
+            "cooc": """SELECT x, y, count(*) AS n FROM (SELECT x, y FROM met UNION ALL SELECT y, x FROM met) GROUP BY ALL""",
+            "often": "SELECT x AS tok FROM cooc GROUP BY x HAVING sum(n) >= 20",
+            "kept": "SELECT x, y, n FROM cooc WHERE x IN (SELECT tok FROM often) AND y IN (SELECT tok FROM often)",
+            "marginal": "SELECT x AS tok, sum(n) AS s FROM kept GROUP BY x",
+            "weighed": """SELECT k.x, k.y, k.n, a.s AS nx, b.s AS ny, (SELECT sum(s) FROM marginal) AS total
+                 FROM kept k JOIN marginal a ON a.tok = k.x JOIN marginal b ON b.tok = k.y""",
             "joined": """SELECT table_idx, col_idx, string_agg(value, ', ' ORDER BY pos) AS vals
                  FROM samp GROUP BY ALL""",
             "coltext": """SELECT p.table_idx, p.col_idx,
@@ -358,8 +374,13 @@ def queries_sql(tables: tuple[str, ...], schema_dir: str = SCHEMA_DIR) -> dict[s
         "0.5::DOUBLE AS semantic_table, 0.0::DOUBLE AS semantic_join, 0.0::DOUBLE AS semantic_union, "
         "0 AS is_join_gt, 0 AS is_union_gt, 0 AS is_ground_truth FROM joinability x JOIN unionability u USING (q_idx, c_idx) "
         "JOIN tabs qt ON qt.table_idx = x.q_idx JOIN tabs ct ON ct.table_idx = x.c_idx", ["joinability", "unionability", "tabs"])
+    q["token_ppmi"] = ("SELECT x AS a, y AS b, round(round(ln(n * total / (nx::DOUBLE * ny)), 12), 6) AS ppmi FROM weighed "
+                       "WHERE x < y AND ln(n * total / (nx::DOUBLE * ny)) > 0", ["weighed"])
     out = {k: o.sql(sel, needs) for k, (sel, needs) in q.items()}
-    listed = lake_spec((*tables, "embeddings"), schema_dir)
+    listed = lake_spec(tables, schema_dir)
+    out["load_manifest"] = " UNION ALL ".join(
+        f"SELECT {i} AS table_idx, '{name}' AS table_name, 'ok' AS status, CAST(NULL AS VARCHAR) AS error, "
+        f"count(*) AS footer_rows, count(*) AS rows_read FROM {view}" for i, (view, name, _) in enumerate(listed))
     out["lake_listing"] = "SELECT * FROM (VALUES " + ", ".join(
         f"({i}, '{name}', {len(cols)}, 'ok')" for i, (_, name, cols) in enumerate(listed)) + ") AS t(table_idx, table_name, n_cols, status)"
     out["csv_profile"] = CSV_CELLS + CSV_PROFILE

@@ -19,7 +19,6 @@ top-k, samples) run in one job that reuses its single shuffle.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 from functools import reduce
 
@@ -31,10 +30,7 @@ from lakesift.operators import align, joinability as jn, labels as lb, pairs as
 from lakesift.operators import profile as pf, semantic as sm
 from lakesift.plans.util import cut_lineage, maybe_broadcast, remove_path, scratch_path, ship_package
 from lakesift.sources.lake import BAD_MARK, Lake
-
-#: Errors of reading a file, in contrast to those of the job or the cluster.
-READ_FAILURE = re.compile(r"FAILED_READ_FILE|CANNOT_READ_FILE|PARQUET|Parquet|MALFORMED|Could not read|not a Parquet file|Corrupt|corrupt")
-
+from lakesift.sources.manifest import MANIFEST_SCHEMA, read_failure, scanned_rows
 
 @dataclass
 class LakeState:
@@ -50,6 +46,26 @@ class LakeState:
         self.n_tables = self.lake.n_tables()
         self._made: list[str] = []
 
+    #: What the profile, and what the vectors depend on besides; shared by
+    #: states of other thresholds, prefixes or embedders.
+    PROFILE_FIELDS = ("top_k", "sample_values", "profile_batch_tables")
+    SHARED = ("csv", "settled", "raw", "profile_outputs", "tables", "columns", "value_bags", "overlap")
+    VECTOR_FIELDS = ("embedder", "embedding_dim", "table_text_columns")
+    VECTORS = ("hashed_vectors", "dense_vectors", "table_vectors", "column_vectors")
+
+    def with_config(self, cfg: ScoreConfig) -> "LakeState":
+        """The state of the same lake under other parameters: the profile (and
+        the vectors, if they don't depend on what differs) is not made again."""
+        same = lambda fields: all(getattr(cfg, f) == getattr(self.cfg, f) for f in fields)
+        if not same(self.PROFILE_FIELDS):
+            return LakeState(self.lake, cfg, materialize=self.materialize)
+        self._profile_outputs()
+        self.overlap, self.tables, self.columns
+        other = LakeState(self.lake, cfg, materialize=self.materialize)
+        keys = self.SHARED + (self.VECTORS if same(self.VECTOR_FIELDS) else ())
+        other._cache.update({k: self._cache[k] for k in keys if k in self._cache})
+        return other
+
     @property
     def n_columns(self) -> int:
         return len(self.lake.column_rows())
@@ -93,8 +109,10 @@ class LakeState:
         return self._get("csv", build)
 
     def _isolated(self, idx: list[int], run) -> list:
-        """Results of ``run`` over batches of tables; a batch that can't be read
-        is halved until the tables at fault stand alone and are taken out."""
+        """Results of ``run`` over batches of tables.  Where a batch fails since a
+        file can't be read, the table of that file is taken out and the rest of
+        the batch runs again (halved, if the error names no file of it).  All
+        other errors - of the job, the cluster, its disks - are raised."""
         size, todo, out = max(1, self.cfg.profile_batch_tables), [], []
         for start in range(0, len(idx), size):
             todo.append(idx[start:start + size])
@@ -103,10 +121,14 @@ class LakeState:
             try:
                 out.append(run(part))
             except Exception as e:
-                if not READ_FAILURE.search(str(e)):
+                failure = read_failure(e)
+                if failure is None:
                     raise
-                if len(part) == 1:
-                    self.lake.fail(part[0], f"{type(e).__name__}: {str(e).splitlines()[0]}")
+                at_fault = self.lake.table_of(failure.path, part) if len(part) > 1 else part[0]
+                if at_fault is not None:
+                    self.lake.fail(at_fault, failure.error)
+                    left = [i for i in part if i != at_fault]
+                    todo[:0] = [left] if left else []
                 else:
                     half = len(part) // 2
                     todo[:0] = [part[:half], part[half:]]
@@ -132,7 +154,10 @@ class LakeState:
 
     def _bundle(self, subset: list[int]) -> DataFrame:
         raw, rows = self._raw(subset)
-        return pf.bundle(raw, rows, self.cfg, samples=sm.sample_values(raw, self.cfg))
+        return pf.bundle(raw, rows, self.cfg, self._width(subset), sample_ranks=sm.sample_ranks(raw, self.cfg))
+
+    def _width(self, subset: list[int]) -> int:
+        return sum(len(self.lake.loaded[i].columns) for i in subset)
 
     def _settle(self) -> None:
         """Scan the lake: after this it is known which tables can be read."""
@@ -152,6 +177,23 @@ class LakeState:
             return self._isolated(self.lake.ok_indices(), run)
         self._get("settled", build)
 
+    def manifest(self) -> DataFrame:
+        """S3: status of every listed table with its files, the rows that their
+        footers tell and the rows that were read (CSV has no footers)."""
+        def build():
+            csv = self._csv()
+            idx = [i for i in self.lake.ok_indices() if self.lake.tables[i].fmt == "parquet"]
+            parts = self._isolated(idx, lambda part: scanned_rows([(i, self.lake.loaded[i].df) for i in part]).collect())
+            rows = {r["table_idx"]: tuple(r)[1:] for part in parts for r in part}
+            if csv:
+                rows |= {r["table_idx"]: (len(self.lake.loaded[r["table_idx"]].df.inputFiles()), None, r["n_rows"])
+                         for r in csv[1].collect() if r["table_idx"] in self.lake.loaded}
+            ok = set(self.lake.ok_indices())
+            return self.spark.createDataFrame(
+                [(t.table_idx, t.name, "ok" if t.table_idx in ok else "error", self.lake.errors.get(t.table_idx),
+                  *(rows.get(t.table_idx, (None,) * 3) if t.table_idx in ok else (None,) * 3)) for t in self.lake.tables], MANIFEST_SCHEMA)
+        return self._get("manifest", build)
+
     def _profile_outputs(self):
         def build():
             if self.materialize:
@@ -159,7 +201,8 @@ class LakeState:
                 if parts:
                     return pf.split_bundle(self.spark.read.parquet(*parts), self.columns)
             raw, rows = self._raw(self.lake.ok_indices())
-            return pf.profile(raw, self.columns, rows, self.cfg), sm.sample_values(raw, self.cfg)
+            return (pf.profile(raw, self.columns, rows, self.cfg, self.n_columns),
+                    sm.sample_values(raw, self.cfg, self.n_columns))
         self._settle()
         return self._get("profile_outputs", build)
 
@@ -175,7 +218,7 @@ class LakeState:
     @property
     def pairs(self) -> DataFrame:
         self._settle()
-        return self._get("pairs", lambda: pr.upper_pairs(self.spark, self.lake.ok_indices(), self.cfg))
+        return self._get("pairs", lambda: pr.upper_pairs(self.spark, self.n_tables, sorted(self.lake.errors), self.cfg))
 
     @property
     def overlap(self) -> DataFrame:
@@ -217,12 +260,35 @@ class LakeState:
                     both.where(F.col("col_idx") >= 0))
         return self._get("hashed_vectors", build)
 
+    def _dense_vectors(self) -> tuple[DataFrame, DataFrame]:
+        """Table and column vectors from the lake's own co-occurrences."""
+        def build():
+            from lakesift.operators import dense as dn
+
+            cfg = self.cfg.embedder if isinstance(self.cfg.embedder, dn.DenseConfig) else dn.DenseConfig()
+            ship_package(self.spark)
+            weights = dn.ppmi(dn.token_pairs(self.samples, self.profiles.columns, cfg), cfg)
+            vectors = cut_lineage(dn.token_vectors(weights, cfg))
+            tables = self.tables.where(F.col("status") == "ok")
+            tv = dn.text_vectors(dn.table_tokens(self.tables, self.profiles, self.samples, self.cfg), ["table_idx"], vectors, tables, cfg)
+            cv = dn.text_vectors(dn.column_tokens(self.profiles, self.samples), ["table_idx", "col_idx"], vectors, self.profiles.columns, cfg)
+            return self._cut(tv), self._cut(cv)
+        return self._get("dense_vectors", build)
+
+    @property
+    def dense(self) -> bool:
+        from lakesift.operators.dense import DenseConfig
+
+        return self.cfg.embedder == "dense" or isinstance(self.cfg.embedder, DenseConfig)
+
     @property
     def table_vectors(self) -> DataFrame | None:
         """E3+E4 per table; None without an embedder (E6 then scores 0.5)."""
         def build():
             if self.hashed:
                 return self._hashed_vectors()[0]
+            if self.dense:
+                return self._dense_vectors()[0]
             if self.model is not None:
                 ship_package(self.spark)
                 texts = sm.table_texts(self.tables, self.profiles, self.samples, self.cfg)
@@ -236,6 +302,8 @@ class LakeState:
         def build():
             if self.hashed:
                 return self._hashed_vectors()[1]
+            if self.dense:
+                return self._dense_vectors()[1]
             if self.model is not None:
                 ship_package(self.spark)
                 texts = sm.column_texts(self.profiles, self.samples)
@@ -255,10 +323,21 @@ class LakeState:
         """``(q_idx, c_idx, n_q, n_c, union_total, unionability, semantic_join,
         semantic_union)`` for every upper-triangle pair."""
         key = f"pair_scores_{with_semantic}"
-        return self._get(key, lambda: self._cut(self._pair_scores(with_semantic)))
-
-    def _pair_scores(self, with_semantic: bool) -> DataFrame:
-        """Stage 5 as a blocked grouped map.
+        return self._get(key, lambda: self._cut(self._block_groups(with_semantic).applyInPandas(
+            align.score_block_group, align.PAIR_SCORE_SCHEMA)))
+
+    def column_matrix(self, kind: str) -> DataFrame:
+        """(q_idx, c_idx, q_col, c_col, score): the column matrices of every ordered
+        table pair (U4; ``cosine``: E8 of pairs that pass the gate), packed by the
+        pair kernel and expanded here."""
+        packed = self._block_groups(kind == "cosine").applyInPandas(align.pack_matrices(kind), align.PACKED_SCHEMA)
+        long = align.expand_matrices(packed)
+        for name, limit in (("q_idx", self.cfg.num_queries), ("c_idx", self.cfg.max_candidates)):
+            long = long.where(F.col(name) < limit) if limit else long
+        return long
+
+    def _block_groups(self, with_semantic: bool):
+        """Stage 5 as a blocked grouped map: the groups of the pair kernel.
 
         Tables are cut into blocks of at most ``pair_block_tables`` tables and
         ``pair_block_columns`` columns (a wider table is a block of its own);
@@ -340,8 +419,7 @@ class LakeState:
         n_groups = n_blocks * (n_blocks + 1) // 2
         parts = max(1, min(n_groups, max(self.spark.sparkContext.defaultParallelism,
                                          -(-n_groups // cfg.blocks_per_task))))
-        return (rows.repartition(parts, "bq", "bc")
-                .groupBy("bq", "bc").applyInPandas(align.score_block_group, align.PAIR_SCORE_SCHEMA))
+        return rows.repartition(parts, "bq", "bc").groupBy("bq", "bc")
 
     def _blocks(self) -> list[tuple[int, int]]:
         """(table_idx, block) by running sums of tables and columns, in table order."""

@@ -1,5 +1,5 @@
 """Registered queries: one per operator group of the blueprint, each over the
-whole test lake (13 tables) of a scale-factor folder.
+whole lake (14 tables) of a scale-factor folder.
 
 Every query returns named, typed columns that the DuckDB oracle in
 ``lakesift.oracles.duck`` reproduces independently.  Doubles of intermediate
@@ -14,22 +14,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakesift.config import CARDINALITY_WEIGHT, JACCARD_WEIGHT, ScoreConfig
-from lakesift.operators import joinability as jn, labels as lb, pairs as pr, semantic as sm
+from lakesift.config import ScoreConfig
+from lakesift.operators import dense as dn, joinability as jn, labels as lb, pairs as pr, semantic as sm
 from lakesift.plans.labelling import LakeState
 from lakesift.plans.util import maybe_broadcast, scratch_path
-from lakesift.sources.lake import Lake
+from lakesift.sources.lake import Lake, lake_version
 
-# The test lake: every table of a scale-factor folder except ``embeddings``
-# (its only payload column is a float array, outside the two-class model).
-LAKE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
-               "events", "documents", "benchmark", "labels", "conversations", "pages")
+# The tables of a scale-factor folder, for the oracles; the queries list the folder.
+LAKE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+               "documents", "embeddings", "benchmark", "labels", "conversations", "pages")
 D6 = 6
 
-_STATES: dict[tuple[str, str], LakeState] = {}
+_STATES: dict[tuple, LakeState] = {}
 
 
 def lake_paths(sf_dir: str) -> list[str]:
+    """The files of the test lake, in listing order."""
     return sorted(posixpath.join(sf_dir, f"{t}.parquet") for t in LAKE_TABLES)
 
 
@@ -40,11 +40,15 @@ def state(spark: SparkSession, sf_dir: str, cfg: ScoreConfig | None = None,
     Materialised: the profile job (one scan, one raw shuffle) runs once and
     writes its small outputs to the checkpoint folder; every query reads
     them instead of re-planning the scan."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), repr(cfg), materialize)
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), lake_version(spark, sf_dir, "*.parquet"), materialize)
     if key not in _STATES:
-        lake = Lake.from_paths(spark, lake_paths(sf_dir))
-        _STATES[key] = LakeState(lake, cfg or ScoreConfig(), materialize=materialize)
-    return _STATES[key]
+        _STATES[key] = LakeState(Lake.from_folder(spark, sf_dir, fmt="parquet"), ScoreConfig(), materialize=materialize)
+    if cfg is None:
+        return _STATES[key]
+    # the same profile under other parameters
+    if (*key, repr(cfg)) not in _STATES:
+        _STATES[*key, repr(cfg)] = _STATES[key].with_config(cfg)
+    return _STATES[*key, repr(cfg)]
 
 
 def _names(st: LakeState, df: DataFrame) -> DataFrame:
@@ -147,47 +151,19 @@ def q_joinability(spark, sf_dir):
 
 # -- unionability -------------------------------------------------------------------
 
-def _column_matrix(st: LakeState) -> DataFrame:
-    """Every column pair of every ordered table pair with its profile features
-    and overlap (U4 long matrix input)."""
-    p = st.profiles.columns.select("table_idx", "col_idx", "inferred_type", "cardinality_ratio", "n_values")
-    pairs = pr.mirror(st.pairs, st.cfg)
-    q = p.select(F.col("table_idx").alias("q_idx"), F.col("col_idx").alias("q_col"),
-                 F.col("inferred_type").alias("type_q"), F.col("cardinality_ratio").alias("card_q"),
-                 F.col("n_values").alias("size_q"))
-    c = p.select(F.col("table_idx").alias("c_idx"), F.col("col_idx").alias("c_col"),
-                 F.col("inferred_type").alias("type_c"), F.col("cardinality_ratio").alias("card_c"),
-                 F.col("n_values").alias("size_c"))
-    ov = pr.mirror_column_pairs(st.overlap)
-    return (pairs.join(q, "q_idx").join(c, "c_idx")
-            .join(ov, ["q_idx", "c_idx", "q_col", "c_col"], "left")
-            .withColumn("k", F.coalesce(F.col("k"), F.lit(0))))
-
-
-def _jaccard() -> F.Column:
-    """U1 with the empty-set rules."""
-    sq, sc, k = F.col("size_q"), F.col("size_c"), F.col("k")
-    return (F.when((sq == 0) & (sc == 0), F.lit(1.0))
-            .when((sq == 0) | (sc == 0), F.lit(0.0))
-            .otherwise(k / (sq + sc - k)))
+def _long_matrix(st: LakeState, kind: str, name: str) -> DataFrame:
+    long = st.column_matrix(kind).withColumn(name, lb.stable_round(F.col("score"), D6))
+    return _pair_names(st, long).select("query_table", "candidate_table", "q_col", "c_col", name)
 
 
 def q_column_jaccard(spark, sf_dir):
     """U1 for every same-type column pair of every ordered table pair."""
-    st = state(spark, sf_dir)
-    m = _column_matrix(st).where(F.col("type_q") == F.col("type_c"))
-    return _pair_names(st, m.withColumn("jaccard", _jaccard())).select(
-        "query_table", "candidate_table", "q_col", "c_col", _r("jaccard"))
+    return _long_matrix(state(spark, sf_dir), "jaccard", "jaccard")
 
 
 def q_column_union_similarity(spark, sf_dir):
     """U2 + U3 + U4: the full column-pair matrix (0.0 on type mismatch)."""
-    st = state(spark, sf_dir)
-    sim = F.when(F.col("type_q") != F.col("type_c"), F.lit(0.0)).otherwise(
-        F.lit(JACCARD_WEIGHT) * _jaccard()
-        + F.lit(CARDINALITY_WEIGHT) * (F.lit(1.0) - F.abs(F.col("card_q") - F.col("card_c"))))
-    m = _column_matrix(st).withColumn("similarity", sim)
-    return _pair_names(st, m).select("query_table", "candidate_table", "q_col", "c_col", _r("similarity"))
+    return _long_matrix(state(spark, sf_dir), "union", "similarity")
 
 
 def q_coverage(spark, sf_dir):
@@ -261,17 +237,7 @@ def q_table_semantic(spark, sf_dir):
 
 def q_column_semantic(spark, sf_dir):
     """Column cosine matrix of every pair that passes the gate."""
-    st = state(spark, sf_dir)
-    cv = st.column_vectors
-    gated = pr.mirror(st.table_semantic, st.cfg).where(F.col("semantic_table") >= st.cfg.semantic_gate)
-    q = cv.select(F.col("table_idx").alias("q_idx"), F.col("col_idx").alias("q_col"),
-                  F.col("vec").alias("vq"), F.col("norm").alias("nq"))
-    c = cv.select(F.col("table_idx").alias("c_idx"), F.col("col_idx").alias("c_col"),
-                  F.col("vec").alias("vc"), F.col("norm").alias("nc"))
-    m = gated.join(q, "q_idx").join(c, "c_idx").select(
-        "q_idx", "c_idx", "q_col", "c_col",
-        sm.clamped_cosine(sm.dot(F.col("vq"), F.col("vc")), F.col("nq"), F.col("nc")).alias("cosine"))
-    return _pair_names(st, m).select("query_table", "candidate_table", "q_col", "c_col", _r("cosine"))
+    return _long_matrix(state(spark, sf_dir), "cosine", "cosine")
 
 
 def q_semantic_join(spark, sf_dir):
@@ -309,6 +275,11 @@ def q_lake_listing(spark, sf_dir):
     return Lake.from_folder(spark, sf_dir, fmt="parquet").table_dim().select("table_idx", "table_name", "n_cols", "status")
 
 
+def q_load_manifest(spark, sf_dir):
+    """S3: load status of every table, rows by its files' footers and rows read."""
+    return state(spark, sf_dir).manifest().drop("files")
+
+
 PREFIX_QUERIES, PREFIX_CANDIDATES = 4, 6
 
 
@@ -323,6 +294,21 @@ def q_no_model_labels(spark, sf_dir):
     return state(spark, sf_dir, ScoreConfig(embedder="none")).labels().drop("q_idx", "c_idx")
 
 
+# -- dense vectors ---------------------------------------------------------------------
+
+def q_token_ppmi(spark, sf_dir):
+    """E4 (dense): co-occurring tokens of the lake with their PPMI weights."""
+    st = state(spark, sf_dir)
+    cfg = dn.DenseConfig()
+    weights = dn.ppmi(dn.token_pairs(st.samples, st.profiles.columns, cfg), cfg)
+    return weights.where("a < b").select("a", "b", lb.stable_round(F.col("w"), D6).alias("ppmi"))
+
+
+def q_dense_labels(spark, sf_dir):
+    """L1-L6 with dense vectors from the lake's own co-occurrences."""
+    return state(spark, sf_dir, ScoreConfig(embedder="dense")).labels().drop("q_idx", "c_idx")
+
+
 # -- CSV ------------------------------------------------------------------------------
 
 def _csv_state(spark: SparkSession, sf_dir: str) -> LakeState:
@@ -384,8 +370,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pair_labels": q_pair_labels,
     "label_summary": q_label_summary,
     "lake_listing": q_lake_listing,
+    "load_manifest": q_load_manifest,
     "labels_prefix": q_labels_prefix,
     "no_model_labels": q_no_model_labels,
+    "token_ppmi": q_token_ppmi,
+    "dense_labels": q_dense_labels,
     "csv_profile": q_csv_profile,
     "csv_top_values": q_csv_top_values,
 }

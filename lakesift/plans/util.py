@@ -55,6 +55,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 _SHIPPED: set[str] = set()
 
+#: Spark's bound on the bytes of a batch for a Python worker, and the one set
+#: where the session sets none.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
 
 def ship_package(spark: SparkSession) -> None:
     """Make ``lakesift`` importable in Python workers (like ``--py-files``).
@@ -68,6 +72,9 @@ def ship_package(spark: SparkSession) -> None:
 
     sc = spark.sparkContext
     app = sc.applicationId
+    if spark.conf.get(BATCH, None) is None:
+        # rows may be packed blocks: batches are bounded by bytes, not only by rows
+        spark.conf.set(BATCH, str(BATCH_BYTES))
     if app in _SHIPPED:
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

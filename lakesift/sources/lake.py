@@ -15,12 +15,14 @@ import posixpath
 import re
 from dataclasses import dataclass
 from functools import reduce
+from urllib.parse import unquote, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakesift.functions import text as tx
+from lakesift.plans.util import maybe_broadcast
 
 TABLE_DIM_SCHEMA = T.StructType([
     T.StructField("table_idx", T.IntegerType(), False),
@@ -37,7 +39,12 @@ COLUMN_DIM_SCHEMA = T.StructType([
     T.StructField("src_class", T.StringType(), False),
 ])
 
-#: Lines read for a header, and the column of records that don't fit.
+#: Most part files whose order is put into the plan, and the bytes of a table of
+#: file names that is broadcast.
+ORDER_FILES, FILES_BYTES = 64, 32 << 20
+ONE_SLASH = "^([A-Za-z][A-Za-z0-9+.-]*):/+"
+
+#: Lines read for a header that spans lines, and the column of records that don't fit.
 HEADER_LINES = 200
 BAD_RECORD = "_bad_record"
 #: Cells that mark rows of CSV tables: every row, and rows with too many fields.
@@ -72,6 +79,20 @@ def list_lake(spark: SparkSession, root: str, pattern: str = "*.csv") -> list[st
     return sorted(s.getPath().toString() for s in fs.globStatus(hpath) or [])
 
 
+def lake_version(spark: SparkSession, root: str, pattern: str) -> int:
+    """Hash of the files of a lake folder with their sizes and times of change."""
+    sc = spark.sparkContext
+    hpath = sc._jvm.org.apache.hadoop.fs.Path(root.rstrip("/") + "/" + pattern)
+    fs, seen = hpath.getFileSystem(sc._jsc.hadoopConfiguration()), []
+    todo = list(fs.globStatus(hpath) or [])
+    while todo:
+        s = todo.pop()
+        seen.append((s.getPath().toString(), s.getLen(), s.getModificationTime()))
+        if s.isDirectory():
+            todo += list(fs.listStatus(s.getPath()))
+    return hash(tuple(sorted(seen)))
+
+
 def header_names(lines: list[str]) -> list[str]:
     """Column names from the first lines of a CSV text: the first record that
     isn't blank (it may span lines inside quotes); a blank name is named by its
@@ -103,6 +124,37 @@ def dedupe_names(names: list[str]) -> list[str]:
     return out
 
 
+def _one_slash(path: F.Column) -> F.Column:
+    """A file's URI, written with one slash after its scheme."""
+    return F.regexp_replace(path, ONE_SLASH, "$1:/")
+
+
+def _plain(path: str) -> str:
+    """The path of a URI, without a slash at its end."""
+    return unquote(urlsplit(path).path).rstrip("/")
+
+
+def by_name(df: DataFrame, names: list[str], headers: dict[str, list[str]]) -> DataFrame:
+    """Columns by name where part files have them in another order than ``names``;
+    part files of other columns are an error."""
+    orders: dict[tuple[int, ...], list[str]] = {}
+    for file, own in headers.items():
+        if own != names:
+            if sorted(own) != sorted(names):
+                raise ValueError(f"part files with different columns: {posixpath.basename(file)}")
+            orders.setdefault(tuple(own.index(n) for n in names), []).append(file)
+    if not orders:
+        return df
+    file = F.col("_metadata.file_path")
+    columns = []
+    for i in range(len(names)):
+        column = F.col(f"_c{i}")
+        for order, files in orders.items():
+            column = F.when(file.isin(files), F.col(f"_c{order[i]}")).otherwise(column)
+        columns.append(column.alias(f"_c{i}"))
+    return df.select(*columns, BAD_RECORD, "_metadata")
+
+
 class Lake:
     """Tables of a lake plus their load status (S3)."""
 
@@ -110,7 +162,7 @@ class Lake:
                  rebalance_bytes: int = 2 << 20, schema_threads: int = 16):
         self.spark = spark
         self.tables = tables
-        self.multiline = self._find_multiline()
+        self.csv_files = self._scan_csv()
         self.rebalance_bytes = rebalance_bytes
         self.loaded: dict[int, _Loaded] = {}
         self.errors: dict[int, str] = {}
@@ -157,29 +209,48 @@ class Lake:
         # CSV: every column read as text, by position; names from the header
         if t.name.startswith(("_", ".")):
             raise ValueError("hidden name: Spark's readers skip it")
-        names = header_names([r[0] for r in self.spark.read.text(t.path).limit(HEADER_LINES).collect()])
+        multiline, headers = self.csv_files.get(t.table_idx, (False, {}))
+        if not headers:
+            raise ValueError("No columns to parse from file")
+        headers = {f: self._long_header(f) if line.count('"') % 2 else header_names([line]) for f, line in headers.items()}
+        names = headers[min(headers)]
         fields = [T.StructField(f"_c{i}", T.StringType()) for i in range(len(names))]
         schema = T.StructType([*fields, T.StructField(BAD_RECORD, T.StringType())])
         df = (self.spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
               .option("columnNameOfCorruptRecord", BAD_RECORD).option("escape", '"')
-              .option("multiLine", t.table_idx in self.multiline).option("enforceSchema", True)
+              .option("multiLine", multiline).option("enforceSchema", True)
               .csv(t.path))
         cols = [(f.name, name, T.StringType()) for f, name in zip(fields, names)]
-        return _Loaded(df, cols, self._size(t.path))
-
-    def _find_multiline(self) -> set[int]:
-        """CSV tables with a line break inside quotes (a line with an odd number
-        of quotes), found in one distributed pass; only these are read unsplit."""
-        paths = {t.path: t.table_idx for t in self.tables if t.fmt == "csv" and not t.name.startswith(("_", "."))}
-        if not paths:
-            return set()
+        return _Loaded(by_name(df, names, headers), cols, self._size(t.path))
+
+    def _long_header(self, file: str) -> list[str]:
+        """Names of a header that spans lines inside quotes."""
+        return header_names([r[0] for r in self.spark.read.text(file).limit(HEADER_LINES).collect()])
+
+    def _scan_csv(self) -> dict[int, tuple[bool, dict[str, str]]]:
+        """Of each CSV table, from one distributed pass over all of them: whether
+        a line break stands inside quotes (a line with an odd number of quotes;
+        only such tables are read unsplit), and each file's first line that
+        isn't blank."""
+        idx = [t.table_idx for t in self.tables if t.fmt == "csv" and not t.name.startswith(("_", "."))]
+        if not idx:
+            return {}
         odd = (F.char_length("value") - F.char_length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1
-        lines = self.spark.read.text(list(paths)).where(odd)
-        found = [r[0] for r in lines.select(F.col("_metadata.file_path")).distinct().collect()]
-        from urllib.parse import unquote, urlsplit
-
-        plain = {unquote(urlsplit(p).path): i for p, i in paths.items()}
-        return {i for f in found for p, i in plain.items() if (unquote(urlsplit(f).path) + "/").startswith(p.rstrip("/") + "/")}
+        start = (F.col("_metadata.file_block_start") == 0) & F.col("value").rlike("\\S")
+        lines = self.spark.read.text([self.tables[i].path for i in idx]).select(
+            F.col("_metadata.file_path").alias("file"), odd.alias("odd"),
+            F.when(start, F.col("value")).alias("line"), F.when(start, F.monotonically_increasing_id()).alias("at"))
+        files = lines.groupBy("file").agg(F.max("odd").alias("odd"), F.min_by("line", "at").alias("line")).collect()
+        out: dict[int, tuple[bool, dict[str, str]]] = {}
+        of_path = {_plain(self.tables[i].path): i for i in idx}
+        for r in files:
+            i = of_path.get(_plain(r["file"]), of_path.get(_plain(posixpath.dirname(r["file"]))))
+            if i is not None:
+                multiline, headers = out.setdefault(i, (False, {}))
+                if r["line"] is not None:
+                    headers[r["file"]] = r["line"]
+                out[i] = multiline or r["odd"], headers
+        return out
 
     def _size(self, path: str) -> int | None:
         """File size from the file system listing (metadata only)."""
@@ -222,26 +293,42 @@ class Lake:
         return self.spark.createDataFrame(self.column_rows(), COLUMN_DIM_SCHEMA)
 
     # -- cells --------------------------------------------------------------
-    def _ordinal(self, t: LakeTable) -> F.Column:
+    def _ordinal(self, t: LakeTable) -> F.Column | None:
         """Row position in file order, as one ``long`` (used for first-appearance
-        order; a long keeps ``min(ord)`` on the hash-aggregate path).
+        order; a long keeps ``min(ord)`` on the hash-aggregate path).  None for
+        tables of many files, see :meth:`_with_ordinal`.
 
         Parquet: the row index.  CSV: split start offset + row number within
         the task; a row takes at least one byte, so positions of a split stay
         below the next split's start offset and file order is preserved."""
-        if t.fmt == "parquet":
-            place = F.col("_metadata.row_index")
-        else:
-            place = F.col("_metadata.file_block_start") + F.expr("monotonically_increasing_id() & 8589934591")
-        files = sorted(self.loaded[t.table_idx].df.inputFiles())
+        files = self._file_names(t)
         if len(files) < 2:
-            return place
-        # a table of several files: file order first
-        one_slash = "^([A-Za-z][A-Za-z0-9+.-]*):/+"
-        names = [re.sub(one_slash, r"\1:/", f) for f in files]
-        file = F.regexp_replace(F.col("_metadata.file_path"), one_slash, "$1:/")
-        at = F.array_position(F.array(*(F.lit(f) for f in names)), file)
-        return F.shiftleft(at, 42) + place
+            return self._place(t)
+        if len(files) > ORDER_FILES:
+            return None
+        at = F.array_position(F.array(*(F.lit(f) for f in files)), _one_slash(F.col("_metadata.file_path")))
+        return F.shiftleft(at, 42) + self._place(t)
+
+    @staticmethod
+    def _place(t: LakeTable) -> F.Column:
+        if t.fmt == "parquet":
+            return F.col("_metadata.row_index")
+        return F.col("_metadata.file_block_start") + F.expr("monotonically_increasing_id() & 8589934591")
+
+    def _file_names(self, t: LakeTable) -> list[str]:
+        return sorted(re.sub(ONE_SLASH, r"\1:/", f) for f in self.loaded[t.table_idx].df.inputFiles())
+
+    def _with_ordinal(self, t: LakeTable, keep: list[F.Column]) -> DataFrame:
+        """Some columns of a table and ``__ord``, its rows' position.  The order of
+        many files is joined from a table of their names, not put into the plan."""
+        df, place = self.loaded[t.table_idx].df, self._ordinal(t)
+        if place is not None:
+            return df.select(place.alias("__ord"), *keep)
+        files = self._file_names(t)
+        order = self.spark.createDataFrame(list(zip(files, range(1, len(files) + 1))), "__file string, __at bigint")
+        order = maybe_broadcast(order, sum(map(len, files)) + 32 * len(files), FILES_BYTES)
+        rows = df.select(_one_slash(F.col("_metadata.file_path")).alias("__file"), self._place(t).alias("__place"), *keep)
+        return rows.join(order, "__file").withColumn("__ord", F.shiftleft("__at", 42) + F.col("__place")).drop("__file", "__at", "__place")
 
     def table_cells(self, table_idx: int, with_ord: bool = False,
                     max_cols: int | None = None, keep_nulls: bool = False, marks: bool = False) -> DataFrame:
@@ -266,20 +353,22 @@ class Lake:
             for mark, value in ((ROW_MARK, F.lit("")), (BAD_MARK, F.when(bad, F.lit("")))):
                 structs.append(F.struct(F.lit(mark).alias("col_idx"), value.alias("value")))
         src_df = ld.df
-        ord_col = self._ordinal(t).alias("ord") if with_ord else None
+        ord_col = self._ordinal(t) if with_ord else None
         parts = self._rebalance_parts(t, ld)
+        if parts or (with_ord and ord_col is None):
+            keep = [F.col(tx.quoted(src)) for src, _, _ in ld.columns]
+            if t.fmt == "csv":
+                keep.append(F.col(BAD_RECORD))
+            src_df = self._with_ordinal(t, keep)
+            ord_col = F.col("__ord") if with_ord else None
         if parts:
             # Narrow scan of a heavy file (e.g. one row group): spread the rows
             # before the unpivot + aggregation, which cost far more per row
             # than the scan.  Hash on the row ordinal: deterministic, no sort.
-            keep = [F.col(tx.quoted(src)) for src, _, _ in ld.columns]
-            if t.fmt == "csv":
-                keep.append(F.col(BAD_RECORD))
-            src_df = src_df.select(self._ordinal(t).alias("__ord"), *keep).repartition(parts, "__ord")
-            ord_col = F.col("__ord").alias("ord") if with_ord else None
+            src_df = src_df.repartition(parts, "__ord")
         sel = [F.lit(table_idx).alias("table_idx")]
         if ord_col is not None:
-            sel.append(ord_col)
+            sel.append(ord_col.alias("ord"))
         out = src_df.select(*sel, F.inline(F.array(*structs)))
         cols = ["table_idx", "col_idx", "value"] + (["ord"] if with_ord else [])
         out = out.select(*cols)
@@ -300,6 +389,12 @@ class Lake:
         want = -(-ld.size_bytes // self.rebalance_bytes)
         return want if want > scan_parts else 0
 
+    def table_of(self, path: str | None, among: list[int]) -> int | None:
+        """The table (of some) that a file belongs to."""
+        if not path:
+            return None
+        return next((i for i in among if f"{_plain(path)}/".startswith(f"{_plain(self.tables[i].path)}/")), None)
+
     def fail(self, table_idx: int, error: str) -> None:
         """S3: take a table that turned out unreadable out of the lake."""
         self.loaded.pop(table_idx, None)

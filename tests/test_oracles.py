@@ -34,10 +34,11 @@ def digest(rows, cols):
 
 
 def test_every_query_has_an_oracle():
-    assert set(QUERIES) == set(SQL)
+    # factorised vectors have no SQL (held against numpy in test_dense.py)
+    assert set(QUERIES) - set(SQL) == {"dense_labels"} and not set(SQL) - set(QUERIES)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_oracle(spark, con, name):
     df = QUERIES[name](spark, SF)
     rows = [tuple(r) for r in df.collect()]

@@ -47,7 +47,7 @@ def main():
     raw = pf.raw_value_counts(lake.cells(with_ord=True))
     stages = [
         ("Profile bundle (one scan, one raw shuffle; stats + top-k + samples)",
-         pf.bundle(raw, lake.table_rows(), st.cfg, samples=sm.sample_values(raw, st.cfg))),
+         pf.bundle(raw, lake.table_rows(), st.cfg, st.n_columns, sample_ranks=sm.sample_ranks(raw, st.cfg))),
         ("Value overlap (inverted-index self-join with hot-value salting)",
          jn.value_overlap(st.profiles, st.n_columns, st.cfg)),
         ("Joinability (J3-J5 from the overlap)", st.joinability),
