@@ -146,15 +146,17 @@ def survivors(docs: DataFrame, spark: SparkSession, id_col: str = "doc_id", text
     if path is None:
         path = scratch_path(spark, "dedup-input")
         docs.write.parquet(path)
+    # the rows that go are fewer than those that stay, unless most are copies
     full = spark.read.parquet(path)
-    kept = exact_dedup(spark, path, id_col, text_col).where("kept").select(
-        F.col("file").alias("__dedup_file"), F.col("row").alias("__dedup_row"))
-    kept = staged(kept, "dedup-kept")
-    kept = small_side(kept, kept.count(), 200)
+    judged = staged(exact_dedup(spark, path, id_col, text_col).select(
+        F.col("file").alias("__dedup_file"), F.col("row").alias("__dedup_row"), "kept"), "dedup-judged")
+    n_kept = judged.where("kept").count()
+    n_gone = judged.count() - n_kept
+    stays = n_kept < n_gone
+    side = small_side(judged.where("kept" if stays else "not kept").drop("kept"), min(n_kept, n_gone), 200)
     located = full.withColumns({"__dedup_at": F.col("_metadata.file_path"), "__dedup_no": F.col("_metadata.row_index")})
-    return located.join(
-        kept, (F.col("__dedup_at") == F.col("__dedup_file")) & (F.col("__dedup_no") == F.col("__dedup_row")), "left_semi",
-    ).drop("__dedup_at", "__dedup_no")
+    here = (F.col("__dedup_at") == F.col("__dedup_file")) & (F.col("__dedup_no") == F.col("__dedup_row"))
+    return located.join(side, here, "left_semi" if stays else "left_anti").drop("__dedup_at", "__dedup_no")
 
 
 def _one_path(docs: DataFrame) -> str | None:

@@ -378,8 +378,9 @@ def hard_negatives(
     positives = search(anchors.withColumns({"lows": open_(LOW), "highs": open_(HIGH)}), index, mining.positives, True)
     positives = positives.select("anchor", (F.col("rank") - 1).alias("w"), F.col("id").alias("positive_id"), F.col("score").alias("positive_score"))
 
-    # whole scores from low_pct to high_pct per cent: ceiling and floor without fractions
-    part = lambda pct, up: f"transform(scores, s -> {'-' if up else ''}(({'-' if up else ''}s * {pct} - pmod({'-' if up else ''}s * {pct}, 100)) div 100))"
+    # whole scores from low_pct to high_pct per cent: floors by quotient and rest
+    floor = lambda s, pct: f"({s} - pmod({s}, 100)) div 100 * {pct} + (pmod({s}, 100) * {pct}) div 100"
+    part = lambda pct, up: f"transform(scores, s -> {'-(' + floor('(-s)', pct) + ')' if up else floor('s', pct)})"
     windows = positives.groupBy(F.col("anchor").alias("row")).agg(F.array_sort(F.collect_list(F.struct("w", "positive_score"))).alias("p"))
     windows = windows.withColumn("scores", F.col("p.positive_score")).withColumns(
         {"lows": F.expr(part(mining.low_pct, True)), "highs": F.expr(part(mining.high_pct, False))})

@@ -197,7 +197,7 @@ def parity(x: np.ndarray) -> np.ndarray:
 
 def set_table(docs: DataFrame, join: Join, seed: int, id_col: str, text_col: str) -> DataFrame:
     """Per document: id, hash of the text, size of the set, class ``c``, a
-    second digest and the parity bits."""
+    second digest, the parity bits and the text."""
     kind, n = docs.schema[id_col].dataType.simpleString(), join.words
 
     def run(batches):
@@ -214,15 +214,16 @@ def set_table(docs: DataFrame, join: Join, seed: int, id_col: str, text_col: str
             words = np.array(bits, np.int64).reshape(len(sizes), len(BITS))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in (sizes, first, second)),
-                 *(pa.array(words[:, i].copy()) for i in range(len(BITS)))],
-                ["id", "h", "n", "c", "d", *BITS])
+                 *(pa.array(words[:, i].copy()) for i in range(len(BITS))), batch.column(2)],
+                ["id", "h", "n", "c", "d", *BITS, "text"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, h bigint, n bigint, c bigint, d bigint, " + ", ".join(f"{b} bigint" for b in BITS))
+    return rows.mapInArrow(run, f"id {kind}, h bigint, n bigint, c bigint, d bigint, " + ", ".join(f"{b} bigint" for b in BITS) + ", text string")
 
 
-def signature_rows(docs: DataFrame, join: Join, plans: dict, seed: int, text_col: str) -> DataFrame:
-    """(sig, c, low): classes that share a signature within a worker's chunk
+def signature_rows(sets: DataFrame, join: Join, plans: dict, seed: int) -> DataFrame:
+    """(sig, c, low) of the sets that take part in the plans' bands (those of
+    the band and of the one before; others' texts are not hashed): classes that share a signature within a worker's chunk
     come with the chunk's smallest class, which alone represents the chunk in
     the bucket (low null)."""
     n, pct = join.words, join.pct
@@ -268,7 +269,13 @@ def signature_rows(docs: DataFrame, join: Join, plans: dict, seed: int, text_col
         if held:
             yield from flush()
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "sig bigint, c bigint, low bigint")
+    # bands[j] and bands[j - 1] take part in the instance of band j
+    limits = bands(pct, 2)
+    while len(limits) <= max(plans):
+        limits = bands(pct, limits[-1][1] + 1)
+    low = min(limits[max(0, j - 1)][0] for j in plans)
+    high = max(limits[j][1] for j in plans)
+    return sets.where(F.col("n").between(low, high)).select("text").mapInArrow(run, "sig bigint, c bigint, low bigint")
 
 
 def bucket_edges(rows: DataFrame) -> DataFrame:
@@ -380,17 +387,27 @@ def similarity_links(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id
         F.min("h").alias("h"), F.first("n").alias("n"), *(F.first(p).alias(p) for p in BITS)), "classes")
     rows = {j: (counts[j] + (counts[j - 1] if j else 0)) * n1 * comb(n2, k2) for j, (n1, n2, k2) in plans.items()}
     passes = [
-        staged(bucket_edges(signature_rows(docs, join, part, seed, text_col)), "bucket-edges")
+        staged(bucket_edges(signature_rows(sets, join, part, seed)), "bucket-edges")
         for part in pass_plans(plans, rows, max(PASS_BYTES, PASS_SHARE * input_bytes(docs)))
     ]
     edges = reduce(DataFrame.unionByName, passes) if passes else spark.createDataFrame([], "sig bigint, x bigint, y bigint")
-    # a bucket's classes against its smallest: bound first, then the full sets
-    pairs = edges.select("x", "y").distinct()
+    # a bucket's classes against its smallest: bound first, then the full sets; of
+    # each class first the meeting with the most buckets, then what stays apart
+    pairs = edges.groupBy("x", "y").agg(F.count(F.lit(1)).alias("m"))
     x, y = classes.alias("a"), classes.alias("b")
     pairs = pairs.join(x, F.col("x") == F.col("a.c")).join(y, F.col("y") == F.col("b.c"))
-    pairs = staged(pairs.where(close(join, "a", "b")).select("x", "y"), "pairs")
-    links = verify(docs, pairs, classes, join, text_col)
-    comps = staged(components(links), "comps")
+    pairs = staged(pairs.where(close(join, "a", "b")).select("x", "y", "m"), "pairs")
+    best = Window.partitionBy("y").orderBy(F.desc("m"), F.asc("x"))
+    first = staged(pairs.withColumn("place", F.row_number().over(best)).where("place = 1").select("x", "y"), "first-pairs")
+    links = verify(docs, first, classes, join, text_col)
+    comps = staged(components(links), "first-comps")
+    pairs = pairs.select("x", "y")
+    ends = [comps.select(F.col("c").alias(e), F.col("comp").alias(f"c{e}")) for e in "xy"]
+    rest = pairs.join(first, ["x", "y"], "left_anti").join(ends[0], "x", "left").join(ends[1], "y", "left")
+    rest = staged(rest.where("coalesce(cx, x) != coalesce(cy, y)").select("x", "y"), "rest")
+    if not rest.isEmpty():
+        links = staged(links.unionByName(verify(docs, rest, classes, join, text_col)), "links")
+        comps = staged(components(links), "comps")
 
     # open buckets: their classes aren't all in one component
     side = comps.select(F.col("c").alias("y"), F.col("comp").alias("cy"))
