@@ -374,6 +374,7 @@ def queries_sql(tables: tuple[str, ...], schema_dir: str = SCHEMA_DIR) -> dict[s
         "0.5::DOUBLE AS semantic_table, 0.0::DOUBLE AS semantic_join, 0.0::DOUBLE AS semantic_union, "
         "0 AS is_join_gt, 0 AS is_union_gt, 0 AS is_ground_truth FROM joinability x JOIN unionability u USING (q_idx, c_idx) "
         "JOIN tabs qt ON qt.table_idx = x.q_idx JOIN tabs ct ON ct.table_idx = x.c_idx", ["joinability", "unionability", "tabs"])
+    q["best_containment"] = q["joinability"]
     q["token_ppmi"] = ("SELECT x AS a, y AS b, round(round(ln(n * total / (nx::DOUBLE * ny)), 12), 6) AS ppmi FROM weighed "
                        "WHERE x < y AND ln(n * total / (nx::DOUBLE * ny)) > 0", ["weighed"])
     out = {k: o.sql(sel, needs) for k, (sel, needs) in q.items()}

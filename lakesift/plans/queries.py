@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakesift.config import ScoreConfig
-from lakesift.operators import dense as dn, joinability as jn, labels as lb, pairs as pr, semantic as sm
+from lakesift.operators import containment as ct, dense as dn, joinability as jn, labels as lb, pairs as pr, semantic as sm
 from lakesift.plans.labelling import LakeState
 from lakesift.plans.util import maybe_broadcast, scratch_path
 from lakesift.sources.lake import Lake, lake_version
@@ -149,6 +149,14 @@ def q_joinability(spark, sf_dir):
         "query_table", "candidate_table", _r("joinability"))
 
 
+def q_best_containment(spark, sf_dir):
+    """J5 alone: best containment per ordered table pair, by rounds of prefixes."""
+    st = state(spark, sf_dir)
+    best = ct.best_containment(st.profiles, st.cfg).scores
+    scores = st.pairs.join(best, ["q_idx", "c_idx"], "left").withColumn("joinability", F.coalesce("joinability", F.lit(0.0)))
+    return _pair_names(st, pr.mirror(scores, st.cfg)).select("query_table", "candidate_table", _r("joinability"))
+
+
 # -- unionability -------------------------------------------------------------------
 
 def _long_matrix(st: LakeState, kind: str, name: str) -> DataFrame:
@@ -354,6 +362,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "value_overlap": q_value_overlap,
     "column_containment": q_column_containment,
     "joinability": q_joinability,
+    "best_containment": q_best_containment,
     "column_jaccard": q_column_jaccard,
     "column_union_similarity": q_column_union_similarity,
     "coverage": q_coverage,
