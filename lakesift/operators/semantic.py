@@ -16,6 +16,7 @@ product per table pair.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -225,9 +226,6 @@ def model_vectors(texts: DataFrame, keys: list[str], text_col: str, embed_batch)
     Runs as an Arrow-batched pandas UDF, so the model is called once per
     batch of texts in each Python worker (load it lazily inside
     ``embed_batch``).  Returns ``(keys..., vec array<float>, norm double)``."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
     def encode(s: pd.Series) -> pd.Series:
         out = embed_batch(s.tolist())

@@ -264,6 +264,11 @@ class Lake:
 
             return os.path.getsize(path) if os.path.exists(path) else None
 
+    @property
+    def multiline(self) -> set[int]:
+        """CSV tables that are read unsplit."""
+        return {i for i, (multiline, _) in self.csv_files.items() if multiline}
+
     # -- dimensions (driver metadata, one row per table / column) ----------
     def ok_indices(self) -> list[int]:
         return sorted(self.loaded)

@@ -21,8 +21,8 @@ def labels_sf(spark):
 
 
 def test_all_ordered_pairs(labels_sf):
-    assert len(labels_sf) == 13 * 13
-    assert len({(r["query_table"], r["candidate_table"]) for r in labels_sf}) == 169
+    assert len(labels_sf) == 14 * 14
+    assert len({(r["query_table"], r["candidate_table"]) for r in labels_sf}) == 196
 
 
 def test_scores_in_unit_interval_and_symmetric(labels_sf):
@@ -121,7 +121,7 @@ def test_entry_smoke(spark):
     assert df.columns == ["query_table", "candidate_table", "similarity", "joinability", "unionability",
                           "semantic_table", "semantic_join", "semantic_union", "is_join_gt",
                           "is_union_gt", "is_ground_truth"]
-    assert df.count() == 169
+    assert df.count() == 196
 
 
 def test_model_embedder_hook_and_no_model(spark):
@@ -190,7 +190,7 @@ def test_blocked_pair_kernel_equals_single_block(spark):
     cols = ["q_idx", "c_idx", "n_q", "n_c", "unionability", "semantic_join", "semantic_union"]
     a = _rows(one.pair_scores(True), cols)
     b = _rows(many.pair_scores(True), cols)
-    assert len(a) == 13 * 14 // 2
+    assert len(a) == 14 * 15 // 2
     assert [r[:4] for r in a] == [r[:4] for r in b]
     for x, y in zip(a, b):
         assert all(abs(u - v) < 1e-12 for u, v in zip(x[4:], y[4:]))
