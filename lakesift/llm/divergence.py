@@ -273,6 +273,8 @@ def _distance_kernel(audit: Audit):
         place = rows["ord"].to_numpy()[some] - block * TERM_BLOCK
         p[at[some], place] = shares(n[some], total[at[some]], audit)
         left, right = np.flatnonzero(side == a), np.flatnonzero(side == b)
+        # rows come in any order: a pair has the same order in all blocks of terms
+        left = left[np.argsort(names.take(pa.array(left)).to_numpy(zero_copy_only=False), kind="stable")]
         out = []
         for i, s in enumerate(left):
             others = left[i + 1:] if a == b else right

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lakesift.llm import divergence, multi_index, setsketch
@@ -108,6 +109,19 @@ def test_audit_equals_the_definition(spark, edges, monkeypatch, small):
     assert got == audit_by_hand(rows, 9, 5, 7)
 
 
+def test_distances_of_blocks_add_up_in_any_order_of_rows(monkeypatch):
+    monkeypatch.setattr(divergence, "TERM_BLOCK", 2)
+    audit, total, v, n = divergence.Audit(), {"é": 30, "b": 31, "a": 32}, 4, {"é": [9, 0, 1, 0], "b": [1, 2, 3, 5], "a": [0, 7, 0, 5]}
+    kernel, sums = divergence._distance_kernel(audit), Counter()
+    for block, sources in enumerate((["é", "b", "a"], ["a", "é", "b"])):
+        rows = [{"lang": "x", "a": 0, "b": 0, "block": block, "source": s, "side": 0, "total": total[s], "v": v, "ord": o, "n": c}
+                for s in sources for o, c in [(0, 0), *((o, n[s][o]) for o in range(2 * block, 2 * block + 2))]]
+        for r in kernel(pa.Table.from_pylist(rows)).to_pylist():
+            sums[r["source"], r["item"]] += r["value"]
+    p = {s: divergence.shares(np.array(n[s]), np.full(v, total[s]), audit) for s in n}
+    assert sums == {(s, t): int(np.abs(p[s] - p[t]).sum()) for s, t in (("a", "b"), ("a", "é"), ("b", "é"))}
+
+
 def test_audit_edges_equal_sql(spark, edges, duck):
     name = "op11_divergence_audit"
     same(QUERIES[name](spark, edges), *duck(edges, ORACLE_SQL[name]))
