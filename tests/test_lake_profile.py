@@ -1,10 +1,12 @@
 """Lake loading (S1-S5, R1-R3) and column profiles (P1-P10) on hand-made CSV lakes."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import write_csv
 from lakesift.config import ScoreConfig
-from lakesift.operators import semantic as sm
+from lakesift.functions import text as tx
+from lakesift.operators import profile as pf, semantic as sm
 from lakesift.plans.labelling import LakeState
 from lakesift.sources.lake import Lake, dedupe_names
 
@@ -174,3 +176,27 @@ def test_query_prefix_and_candidate_cap_together(spark, lake_dir):
     got = sorted((r.query_table, r.candidate_table) for r in st.labels().collect())
     queries, candidates = ["a.csv", "c.csv"], ["a.csv", "c.csv", "d.csv"]
     assert got == sorted((q, c) for q in queries for c in candidates)
+
+
+def test_scans_as_wide_as_the_session_are_not_spread(spark, tmp_path):
+    wide = spark.sparkContext.defaultParallelism
+    spark.range(wide * 100).repartition(wide).write.parquet(str(tmp_path / "wide.parquet"))
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "narrow.parquet"))
+    lake = Lake.from_folder(spark, str(tmp_path), fmt="parquet", rebalance_bytes=1)
+    parts = {t.name: lake._rebalance_parts(t, lake.loaded[t.table_idx]) for t in lake.tables}
+    narrow = next(n for n in parts if "narrow" in n)
+    assert parts.pop(narrow) == wide and list(parts.values()) == [0]
+
+
+def test_columns_of_distinct_forms_are_ranked_without_regrouping(spark, tmp_path):
+    rows = [(i % 7, float(i % 5) * 1e12 - 1e-9, i % 3 == 0, ["a", "A ", " a", "B", None][i % 5], f"2024-01-0{i % 9 + 1}") for i in range(300)]
+    df = spark.createDataFrame(rows, "n int, x double, b boolean, s string, d string").withColumn("d", F.col("d").cast("date"))
+    df.coalesce(1).write.parquet(str(tmp_path / "t.parquet"))
+    st = LakeState(Lake.from_folder(spark, str(tmp_path), fmt="parquet"), ScoreConfig())
+    raw, kinds = st._raw([0])[0], st._kinds([0])
+    assert [r["distinct_forms"] for r in kinds.orderBy("col_idx").collect()] == [True, True, True, False, True]
+    for form in (tx.normalize_value, F.lower):
+        want, got = (sorted(map(tuple, pf.counted(raw, form, k).collect())) for k in (None, kinds))
+        assert got == want
+    # in the regrouping only the text column's values remain
+    assert {r["col_idx"] for r in raw.join(kinds, ["table_idx", "col_idx"]).where("not distinct_forms").collect()} == {3}
