@@ -50,6 +50,9 @@ CHUNK_ROWS = 1 << 19
 ROW_BYTES = 16
 PASS_SHARE = 1.25
 PASS_BYTES = 64 << 20
+#: Bytes of text that the pairs of a pass of :func:`verify` ship: a share of the
+#: input, but ``PASS_BYTES`` at least.
+VERIFY_SHARE = 0.5
 #: Cost of a chance meeting in a bucket, in signatures.
 CHANCE_COST = 20
 #: Bytes of text whose sets a worker holds at once.
@@ -298,12 +301,15 @@ def close(join: Join, a: str, b: str) -> str:
 def verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame, join: Join, text_col: str) -> DataFrame:
     """The linked ones of pairs (x, y).  A class's text is that of the rows with
     its text hash; each pair ships the text of y, that of x meets it in the
-    second join."""
+    second join.  Pairs go in passes by the bytes they ship, each of which frees
+    its shuffles."""
     n, pct = join.words, join.pct
-    wanted = pairs.select(F.explode(F.array("x", "y")).alias("c")).distinct().join(classes.select("c", "h"), "c")
-    wanted = staged(wanted, "wanted")
     hashed = docs.select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
-    texts = hashed.join(small_side(wanted, wanted.count(), 24), "h").groupBy("c").agg(F.first("text").alias("text"))
+
+    def named(pairs: DataFrame, name: str) -> DataFrame:
+        found = pairs.select(F.explode(F.array("x", "y")).alias("c")).distinct().join(classes.select("c", "h"), "c")
+        found = staged(found, name)
+        return hashed.join(small_side(found, found.count(), 24), "h")
 
     def run(batches):
         last, last_set = None, None
@@ -317,9 +323,17 @@ def verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame, join: Join, te
                 keep.append(100 * inter >= pct * (len(last_set) + len(other) - inter))
             yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
-    with_y = pairs.join(texts.select(F.col("c").alias("y"), F.col("text").alias("ty")), "y")
-    both = with_y.join(texts.select(F.col("c").alias("x"), F.col("text").alias("tx")), "x")
-    return staged(both.select("x", "y", "tx", "ty").mapInArrow(run, "x bigint, y bigint"), "links")
+    sizes = named(pairs, "wanted").groupBy(F.col("c").alias("y")).agg(F.max(F.octet_length("text")).alias("size"))
+    shipped = pairs.join(sizes, "y").agg(F.sum("size")).first()[0] or 0
+    passes = max(1, -(-shipped // int(max(PASS_BYTES, VERIFY_SHARE * input_bytes(docs)))))
+    out = []
+    for number in range(passes):
+        part = pairs.where(F.pmod(F.xxhash64("x", "y"), F.lit(passes)) == number) if passes > 1 else pairs
+        texts = named(part, "wanted-texts").groupBy("c").agg(F.first("text").alias("text"))
+        with_y = part.join(texts.select(F.col("c").alias("y"), F.col("text").alias("ty")), "y")
+        both = with_y.join(texts.select(F.col("c").alias("x"), F.col("text").alias("tx")), "x")
+        out.append(staged(both.select("x", "y", "tx", "ty").mapInArrow(run, "x bigint, y bigint"), "links"))
+    return reduce(DataFrame.unionByName, out)
 
 
 # --- components -----------------------------------------------------------------

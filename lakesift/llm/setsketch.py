@@ -281,7 +281,7 @@ def sketch_links(docs: DataFrame, join: Join, id_col: str = "doc_id", text_col:
     # of each class, first the meeting with the most bands
     best = Window.partitionBy("y").orderBy(F.desc("m"), F.asc("x"))
     first = staged(shared.withColumn("place", F.row_number().over(best)).where("place = 1").select("x", "y"), "first")
-    links = verify(docs, plausible(first, classes, join), classes, join, text_col)
+    links = verify(docs, staged(plausible(first, classes, join), "plausible"), classes, join, text_col)
     comps = staged(components(links), "comps")
 
     def ends(pairs: DataFrame) -> DataFrame:
@@ -292,7 +292,7 @@ def sketch_links(docs: DataFrame, join: Join, id_col: str = "doc_id", text_col:
 
     def more(pairs: DataFrame) -> None:
         nonlocal links, comps
-        again = verify(docs, plausible(pairs, classes, join), classes, join, text_col)
+        again = verify(docs, staged(plausible(pairs, classes, join), "plausible"), classes, join, text_col)
         if not again.isEmpty():
             links = staged(links.unionByName(again), "links")
             comps = staged(components(links), "comps")

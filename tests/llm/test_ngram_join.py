@@ -56,6 +56,24 @@ def test_components_equal_brute_force(spark, edges, words, pct):
     assert sorted(repr(tuple(r)) for r in got) == brute(rows + more, words, pct)
 
 
+def test_pairs_are_verified_in_passes_of_bounded_bytes(spark, monkeypatch):
+    made, stage = [], J.staged
+    monkeypatch.setattr(J, "PASS_BYTES", 5000)
+    monkeypatch.setattr(J, "VERIFY_SHARE", 0)
+    monkeypatch.setattr(J, "staged", lambda df, name: made.append(name) or stage(df, name))
+    rows = families(11, 12)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    pairs = [(x, y) for x in range(len(rows)) for y in range(x)]
+    classes = spark.createDataFrame([(i, t) for i, t in rows], "c bigint, text string").selectExpr("c", "xxhash64(text) h")
+    some = random.Random(2).sample(pairs, 200)
+    got = J.verify(docs, spark.createDataFrame(some, "x bigint, y bigint"), classes, J.Join(3, 60), "text").collect()
+    sets = J.sets_of([t.encode() for _, t in rows], 3)
+    inter = {(x, y): len(np.intersect1d(sets[x], sets[y])) for x, y in some}
+    assert sorted(map(tuple, got)) == sorted(p for p, n in inter.items() if 100 * n >= 60 * (len(sets[p[0]]) + len(sets[p[1]]) - n))
+    shipped = sum(len(rows[y][1].encode()) for _, y in some)
+    assert made.count("links") == -(-shipped // 5000) > 2
+
+
 @pytest.mark.parametrize("pct", [80, 85, 95])
 def test_linked_sets_share_a_signature(pct):
     r = np.random.default_rng(pct)
