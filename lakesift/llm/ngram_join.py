@@ -8,7 +8,8 @@ linked sets differ in at most ``k2`` grams, and each of these into ``n2``
 parts; every subset of ``n2 - k2`` parts gives a signature.  Two linked sets
 share at least one, so no link is lost.  Candidates are first held against the
 bound that parity bits give (two sets differ in as many grams at least as
-their bits), then checked on the full sets.
+their bits), those beyond each class's best meeting also against bitmaps that grow
+with the sets, then checked on the full sets.
 
 ``k2`` and ``n2`` follow the counted sets of each band: more sets need longer
 signatures, which fewer unrelated sets share.  The result doesn't depend on it.
@@ -50,7 +51,7 @@ CHUNK_ROWS = 1 << 19
 ROW_BYTES = 16
 PASS_SHARE = 1.25
 PASS_BYTES = 64 << 20
-#: Bytes of text that the pairs of a pass of :func:`verify` ship: a share of the
+#: Bytes that the pairs of a pass of :func:`verify` or :func:`bounded` ship: a share of the
 #: input, but ``PASS_BYTES`` at least.
 VERIFY_SHARE = 0.5
 #: Cost of a chance meeting in a bucket, in signatures.
@@ -298,6 +299,68 @@ def close(join: Join, a: str, b: str) -> str:
             f" and ({bits}) * {100 + join.pct} <= {100 - join.pct} * ({a}.n + {b}.n)")
 
 
+def bitmap(x: np.ndarray) -> bytes:
+    """Parity bits of a set in one to two cells a gram (a power of two of them)."""
+    cells = max(128 * len(BITS), 1 << len(x).bit_length())
+    bits = np.bincount((x & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(bits.astype(np.uint8)).tobytes()
+
+
+def least_distance(a: bytes, b: bytes) -> int:
+    """Distance that the bitmaps of two sets prove; the longer one is folded."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) != len(y):
+        x, y = (x, y) if len(x) > len(y) else (y, x)
+        x = x[: len(x) // 2] ^ x[len(x) // 2:]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def bounded(docs: DataFrame, sets: DataFrame, pairs: DataFrame, join: Join) -> DataFrame:
+    """The pairs (x, y) that bitmaps as long as the sets leave: the parity bits of
+    fixed length prove little of long sets, and a bitmap is a small part of the
+    text that :func:`verify` ships.  Pairs go in passes by the bytes they ship."""
+    n, pct = join.words, join.pct
+
+    def of_texts(batches):
+        seen = set()
+        for batch in batches:
+            rows = []
+            for c, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if c not in seen:  # rows with equal sets
+                    seen.add(c)
+                    s = sets_of([text.as_py().encode()], n)[0]
+                    rows.append((c, len(s), bitmap(s)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.binary()))],
+                ["c", "n", "bits"])
+
+    def run(batches):
+        for batch in batches:
+            nx, bx, ny, by = (batch.column(i).to_pylist() for i in range(2, 6))
+            keep = [(100 + pct) * least_distance(a, b) <= (100 - pct) * (m + k) for m, a, k, b in zip(nx, bx, ny, by)]
+            yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
+
+    wanted = staged(pairs.select(F.explode(F.array("x", "y")).alias("c")).distinct(), "bounded")
+    rows = sets.where("n > 0").select("c", "text").join(small_side(wanted, wanted.count(), 16), "c")
+    maps = rows.mapInArrow(of_texts, "c bigint, n bigint, bits binary").groupBy("c")
+    maps = staged(maps.agg(F.first("n").alias("n"), F.first("bits").alias("bits")), "bitmaps")
+    x, y = (maps.select(F.col("c").alias(e), F.col("n").alias(f"n{e}"), F.col("bits").alias(f"b{e}")) for e in "xy")
+    shipped = pairs.join(maps.select(F.col("c").alias("y"), F.octet_length("bits").alias("size")), "y")
+    parts = in_passes(pairs, shipped.agg(F.sum("size")).first()[0] or 0, docs)
+    return reduce(DataFrame.unionByName, [
+        staged(part.join(y, "y").join(x, "x").select("x", "y", "nx", "bx", "ny", "by").mapInArrow(run, "x bigint, y bigint"), "bounded-pairs")
+        for part in parts
+    ])
+
+
+def in_passes(pairs: DataFrame, shipped: int, docs: DataFrame) -> list[DataFrame]:
+    """The pairs in parts that ship a bounded share of ``shipped`` bytes each."""
+    passes = max(1, -(-shipped // int(max(PASS_BYTES, VERIFY_SHARE * input_bytes(docs)))))
+    if passes == 1:
+        return [pairs]
+    return [pairs.where(F.pmod(F.xxhash64("x", "y"), F.lit(passes)) == number) for number in range(passes)]
+
+
 def verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame, join: Join, text_col: str) -> DataFrame:
     """The linked ones of pairs (x, y).  A class's text is that of the rows with
     its text hash; each pair ships the text of y, that of x meets it in the
@@ -325,10 +388,8 @@ def verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame, join: Join, te
 
     sizes = named(pairs, "wanted").groupBy(F.col("c").alias("y")).agg(F.max(F.octet_length("text")).alias("size"))
     shipped = pairs.join(sizes, "y").agg(F.sum("size")).first()[0] or 0
-    passes = max(1, -(-shipped // int(max(PASS_BYTES, VERIFY_SHARE * input_bytes(docs)))))
     out = []
-    for number in range(passes):
-        part = pairs.where(F.pmod(F.xxhash64("x", "y"), F.lit(passes)) == number) if passes > 1 else pairs
+    for part in in_passes(pairs, shipped, docs):
         texts = named(part, "wanted-texts").groupBy("c").agg(F.first("text").alias("text"))
         with_y = part.join(texts.select(F.col("c").alias("y"), F.col("text").alias("ty")), "y")
         both = with_y.join(texts.select(F.col("c").alias("x"), F.col("text").alias("tx")), "x")
@@ -420,7 +481,7 @@ def similarity_links(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id
     rest = pairs.join(first, ["x", "y"], "left_anti").join(ends[0], "x", "left").join(ends[1], "y", "left")
     rest = staged(rest.where("coalesce(cx, x) != coalesce(cy, y)").select("x", "y"), "rest")
     if not rest.isEmpty():
-        links = staged(links.unionByName(verify(docs, rest, classes, join, text_col)), "links")
+        links = staged(links.unionByName(verify(docs, bounded(docs, sets, rest, join), classes, join, text_col)), "links")
         comps = staged(components(links), "comps")
 
     # open buckets: their classes aren't all in one component
@@ -437,7 +498,7 @@ def similarity_links(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id
         more = staged(more, "near")
         more = staged(more.join(pairs, ["x", "y"], "left_anti"), "more")
         if not more.isEmpty():
-            again = verify(docs, more, classes, join, text_col)
+            again = verify(docs, bounded(docs, sets, more, join), classes, join, text_col)
             links = staged(links.unionByName(again), "all-links")
             comps = staged(components(links), "all-comps")
     return Links(sets, links, comps)

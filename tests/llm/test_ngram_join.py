@@ -74,6 +74,39 @@ def test_pairs_are_verified_in_passes_of_bounded_bytes(spark, monkeypatch):
     assert made.count("links") == -(-shipped // 5000) > 2
 
 
+def test_bitmaps_bound_the_distance_of_long_sets():
+    r = np.random.default_rng(3)
+    for size in (0, 1, 700, 2040, 2050, 9000):
+        base = np.unique(r.integers(0, 2**63, size, dtype=np.uint64))
+        for share in (0, 0.05, 0.2, 0.5):
+            kept = base[r.random(len(base)) >= share]
+            other = np.unique(np.concatenate([kept, r.integers(0, 2**63, int(share * size), dtype=np.uint64)]))
+            a, b, far = J.bitmap(base), J.bitmap(other), len(np.setxor1d(base, other))
+            assert J.least_distance(a, b) == J.least_distance(b, a) <= far
+            if size > 500 and share == 0.5:  # 1024 bits prove at most 1024 differences, half of them as a rule
+                assert 180 * J.least_distance(a, b) > 20 * (len(base) + len(other))
+
+
+def test_far_pairs_of_long_texts_ship_no_texts(spark, monkeypatch):
+    """Texts of a family that share half of their words meet in buckets, but none is
+    linked: their sets of 4,000 grams are too long for the fixed parity bits."""
+    asked, verify = [], J.verify
+    monkeypatch.setattr(J, "verify", lambda docs, pairs, *more: asked.append(pairs.count()) or verify(docs, pairs, *more))
+    r = random.Random(4)
+    base = [f"w{r.randrange(10**6)}" for _ in range(4000)]
+    rows = []
+    for i in range(12):
+        copy, at = list(base), r.randrange(4000)
+        for j in range(at, at + 1300):
+            copy[j % 4000] = f"v{r.randrange(10**6)}"
+        rows.append((i, " ".join(copy)))
+    rows.append((12, rows[3][1] + " end"))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = J.ngram_jaccard(docs, J.Join(5, 80)).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(repr(tuple(x)) for x in got) == brute(rows, 5, 80)
+    assert len(asked) > 1 and sum(asked[1:]) <= 10, asked
+
+
 @pytest.mark.parametrize("pct", [80, 85, 95])
 def test_linked_sets_share_a_signature(pct):
     r = np.random.default_rng(pct)
