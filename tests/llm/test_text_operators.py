@@ -15,6 +15,8 @@ import pytest
 import regex
 import tiktoken
 
+from pyspark.sql import functions as F
+
 from lakesift.llm import bpe, class_lm, html_extract, license_scan, mixing, pii, url_filter
 from lakesift.llm.queries import QUERIES, URL_RULES
 
@@ -139,6 +141,52 @@ def test_exchange_raises_the_likelihood():
     assert all(len(set(of[true == k])) == 1 for k in range(3)) and len(set(of)) == 3
 
 
+def test_best_class_raises_the_likelihood_most():
+    r = np.random.default_rng(4)
+    table = r.integers(200, 240, (6, 6)).astype(float)
+    before, after = r.integers(0, 5, (30, 6)), np.zeros((30, 6), np.int64)
+    before[:, 0] += 1
+    for i in range(30):  # as many classes after the word as before it
+        after[i] = np.bincount(r.integers(0, 6, before[i].sum()), minlength=6)
+
+    def likelihood(t):
+        f = class_lm._xlogx
+        return f(t).sum() - f(t.sum(axis=0)).sum() - f(t.sum(axis=1)).sum()
+
+    for got, p, q in zip(class_lm.best_classes(before, after, table, 4), before, after):
+        all_ = []
+        for b in range(4):
+            t = table.copy()
+            t[5] -= q  # the word's place so far
+            t[:, 5] -= p
+            t[b] += q
+            t[:, b] += p
+            all_.append(likelihood(t))
+        assert np.isclose(all_[got], max(all_))
+
+
+def test_words_beyond_the_frequent_join_learned_classes(spark, monkeypatch):
+    """Words alternate between two sets; ten of each are frequent, the others come a
+    few times each and have the same shape."""
+    monkeypatch.setattr(class_lm, "CHUNK_ROWS", 500)
+    r = random.Random(6)
+    sets = [[f"{c}{i:04d}z" for i in range(400)] for c in "pq"]
+    draw = lambda k: sets[k][r.randrange(10)] if r.random() < 0.8 else r.choice(sets[k])
+    rows = [(i, " ".join(draw(j % 2) for j in range(40))) for i in range(300)]
+    docs = class_lm._blocks(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text")
+    model = class_lm.Model(words=20, classes=2)
+    vocabulary = class_lm.requests(docs).groupBy("w", "r").agg(F.sum("n").alias("c")).where("c > 0")
+    words, n_classes = class_lm.classes_of(docs, vocabulary, model)
+    want = Counter(w for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2 for w in t.split())
+    names = list(want)
+    hashes = class_lm.span_hashes(*class_lm.word_spans([" ".join(names).encode()])[:3]).view(np.int64).tolist()
+    found = {x["w"]: x for x in words.where("r < 8").collect()}
+    assert {h: want[w] for h, w in zip(hashes, names)} == {h: x["c"] for h, x in found.items()} and len(want) > 600
+    # a word whose neighbours were all rare can't be told
+    sides = [Counter(found[h]["k"] for h, w in zip(hashes, names) if w[0] == c).most_common(1)[0] for c in "pq"]
+    assert n_classes == 2 and sides[0][0] != sides[1][0] and sum(n for _, n in sides) > 0.9 * len(want)
+
+
 def test_class_probabilities_sum_to_one():
     r = np.random.default_rng(2)
     pairs = r.integers(0, 9, (20, 20))
