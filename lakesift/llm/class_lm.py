@@ -168,7 +168,7 @@ def exchange(pairs: np.ndarray, n_words: int, n_classes: int, passes: int | None
     """Classes of all rows of a bigram matrix.  The first ``n_words`` rows move
     between ``n_classes`` classes, each to where the likelihood of the class
     bigrams is largest, until no word moves (or for so many passes); the others
-    keep their own."""
+    keep their own.  Each move raises that likelihood, so the moves end."""
     size = len(pairs)
     n_classes = min(n_classes, max(1, n_words))
     order = np.argsort(-pairs[:n_words].sum(axis=1), kind="stable")
@@ -181,7 +181,19 @@ def exchange(pairs: np.ndarray, n_words: int, n_classes: int, passes: int | None
     pairs = pairs.astype(np.float64)
     table = pick.T @ pairs @ pick
     right, left = pairs @ pick, pairs.T @ pick     # of each word, by class of its neighbour
+    rows, columns, logs = table.sum(axis=1), table.sum(axis=0), _xlogx(table)
+    k = n_classes
     least = 1e-9 + 1e-12 * float(_xlogx(pairs.sum()))  # gains below are rounding
+
+    def put(c, sign, p, q, own):
+        table[c] += sign * p
+        table[:, c] += sign * q
+        table[c, c] += sign * own
+        # a class's sums count its own words, whatever class their neighbours have
+        rows[c] += sign * (p.sum() + own)
+        columns[c] += sign * (q.sum() + own)
+        logs[c], logs[:, c] = _xlogx(table[c]), _xlogx(table[:, c])
+
     for _ in count() if passes is None else range(passes):
         moved = 0
         for w in order:
@@ -189,21 +201,16 @@ def exchange(pairs: np.ndarray, n_words: int, n_classes: int, passes: int | None
             p, q = right[w].copy(), left[w].copy()
             p[a] -= own
             q[a] -= own
-            table[a] -= p
-            table[:, a] -= q
-            table[a, a] -= own
-            rows, columns = table.sum(axis=1), table.sum(axis=0)
-            gain = (_xlogx(table + p) - _xlogx(table)).sum(axis=1) + (_xlogx(table + q[:, None]) - _xlogx(table)).sum(axis=0)
-            d = np.diagonal(table)
-            gain += _xlogx(d + p + q + own) + _xlogx(d) - _xlogx(d + p) - _xlogx(d + q)
+            put(a, -1, p, q, own)
+            gain = (_xlogx(table[:k] + p) - logs[:k]).sum(axis=1) + (_xlogx(table[:, :k] + q[:, None]) - logs[:, :k]).sum(axis=0)
+            d = np.diagonal(table)[:k]
+            gain += _xlogx(d + p[:k] + q[:k] + own) + _xlogx(d) - _xlogx(d + p[:k]) - _xlogx(d + q[:k])
             out, into = p.sum() + own, q.sum() + own
-            gain -= _xlogx(rows + out) - _xlogx(rows) + _xlogx(columns + into) - _xlogx(columns)
-            b = int(np.argmax(gain[:n_classes]))
+            gain -= _xlogx(rows[:k] + out) - _xlogx(rows[:k]) + _xlogx(columns[:k] + into) - _xlogx(columns[:k])
+            b = int(np.argmax(gain))
             if gain[b] <= gain[a] + least:
                 b = a
-            table[b] += p
-            table[:, b] += q
-            table[b, b] += own
+            put(b, 1, p, q, own)
             if b != a:
                 moved += 1
                 of[w] = b

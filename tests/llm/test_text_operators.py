@@ -141,6 +141,27 @@ def test_exchange_raises_the_likelihood():
     assert all(len(set(of[true == k])) == 1 for k in range(3)) and len(set(of)) == 3
 
 
+def test_exchange_never_lowers_the_likelihood_and_ends():
+    r = np.random.default_rng(2)
+    rank = 1 / (1 + np.arange(32))
+    pairs = r.poisson(400 * np.outer(rank, rank) * r.gamma(0.3, 3, (32, 32)))
+
+    def likelihood(of):
+        f, pick = class_lm._xlogx, np.eye(8)[of]
+        t = pick.T @ pairs @ pick
+        return f(t).sum() - f(t.sum(axis=0)).sum() - f(t.sum(axis=1)).sum()
+
+    after = [class_lm.exchange(pairs, 30, 6, k) for k in range(40)]
+    scores = [likelihood(of) for of in after]
+    assert all(b >= a - 1e-6 for a, b in zip(scores, scores[1:]))
+    assert (after[-1] == after[-2]).all() and (class_lm.exchange(pairs, 30, 6) == after[-1]).all()
+    for w in range(30):  # where it ends no move of a word raises it
+        for b in range(6):
+            of = after[-1].copy()
+            of[w] = b
+            assert likelihood(of) <= scores[-1] + 1e-6
+
+
 def test_best_class_raises_the_likelihood_most():
     r = np.random.default_rng(4)
     table = r.integers(200, 240, (6, 6)).astype(float)
