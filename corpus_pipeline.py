@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakesift.llm import exact_dedup, mixing, ngram_join, quality
-from lakesift.llm.common import small_side, staged, table
+from lakesift.llm.common import scratch, small_side, staged, table
 from lakesift.llm.queries import byte_bpe
 
 
@@ -29,12 +29,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each group of near copies stays (five-word grams,
     similarity 0.8): the one with the smallest id, null ids last, then by hash
     of its text (rows equal in both count as one); documents without words stay."""
-    found = staged(ngram_join.ngram_jaccard(docs, ngram_join.Join(words=5, pct=80)), "near").where("n_shingles > 0")
-    # the first row of each group, by partial aggregation
-    place = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_hash"))
-    heads = found.groupBy("component_class").agg(F.min(place).alias("head"))
-    goes = found.withColumn("place", place).join(heads, "component_class").where("place != head")
-    goes = staged(goes.select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct(), "near-goes")
+    with scratch(spark):  # only the rows that go are read later
+        found = staged(ngram_join.ngram_jaccard(docs, ngram_join.Join(words=5, pct=80)), "near").where("n_shingles > 0")
+        # the first row of each group, by partial aggregation
+        place = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_hash"))
+        heads = found.groupBy("component_class").agg(F.min(place).alias("head"))
+        goes = found.withColumn("place", place).join(heads, "component_class").where("place != head")
+        goes = goes.select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
+        goes = staged(goes, "near-goes", keep=True)
     here = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_hash"))
     return docs.join(small_side(goes, goes.count(), 24), here, "left_anti").select(*docs.columns)
 

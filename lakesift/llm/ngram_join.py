@@ -49,12 +49,14 @@ CHUNK_ROWS = 1 << 19
 #: Shuffled bytes of a signature row, and of a pass over the documents: a share
 #: of the input, but this many at least.
 ROW_BYTES = 16
-PASS_SHARE = 1.25
+PASS_SHARE = 0.6
 PASS_BYTES = 64 << 20
 #: Bytes that the pairs of a pass of :func:`verify` or :func:`bounded` ship: a share of the
 #: input, but ``PASS_BYTES`` at least.
 VERIFY_SHARE = 0.5
-#: Cost of a chance meeting in a bucket, in signatures.
+#: Cost of a chance meeting in a bucket, in signatures: of one that the parity bits
+#: rule out within the join, and of one that goes on to the bitmaps.
+CHECK_COST = 1
 CHANCE_COST = 20
 #: Bytes of text whose sets a worker holds at once.
 SET_BYTES = 1 << 20
@@ -95,12 +97,15 @@ def plan_band(pct: int, low: int, high: int, n_sets: int) -> tuple[int, int, int
     their buckets.  Two disjoint sets share a signature only where the parts of
     both are empty, so with the power of twice the grams that one covers."""
     k, best = distance(pct, high), None
+    cells = 64 * len(BITS)
+    told = cells / 2 * (1 - exp(-4 * low / cells)) > 1.1 * k  # parity bits of disjoint sets
+    chance = CHECK_COST if told else CHANCE_COST
     for k2 in range(min(k, 6) + 1):
         n1 = -(-(k + 1) // (k2 + 1))
         for n2 in range(k2 + 1, min(k2 + 8, 12)):
             per_set = n1 * comb(n2, k2)
             grams = low / n1 * (n2 - k2) / n2
-            cost = per_set * (1 + CHANCE_COST * n_sets * exp(-2 * grams))
+            cost = per_set * (1 + chance * n_sets * exp(-2 * grams))
             if best is None or cost < best[0]:
                 best = (cost, n1, n2, k2)
     return best[1:]
@@ -135,18 +140,19 @@ def digest(s: np.ndarray, seed: int) -> tuple[int, int]:
 
 def signatures(sets: list[np.ndarray], plans: dict[int, tuple[int, int, int]], pct: int) -> tuple[np.ndarray, np.ndarray]:
     """Signatures of non-empty sets and, for each, the index of its set.  A set
-    takes part in the instance of its own band and in that of the next."""
+    takes part in the instance of its own band and in that of the next.  A plan may
+    end with (share, shares): only that share of the band's signatures."""
     largest = max((len(s) for s in sets), default=1)
     highs = np.array([h for _, h in bands(pct, largest)])
     at = np.searchsorted(highs, [len(s) for s in sets])
-    by_shape: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+    by_shape: dict[tuple[int, ...], list[tuple[int, int, int]]] = {}
     for i, j in enumerate(at):
         for band in (int(j), int(j) + 1):
             if band in plans:
-                n1, n2, k2 = plans[band]
-                by_shape.setdefault((n2, k2), []).append((i, band, n1))
+                n1, n2, k2, *share = plans[band]
+                by_shape.setdefault((n2, k2, *(share or (0, 1))), []).append((i, band, n1))
     sigs, owners = [], []
-    for (n2, k2), items in by_shape.items():
+    for (n2, k2, share, shares), items in by_shape.items():
         sizes = np.array([len(sets[i]) for i, _, _ in items])
         n1s = np.array([n1 for _, _, n1 in items])
         x = np.concatenate([sets[i] for i, _, _ in items])
@@ -164,8 +170,9 @@ def signatures(sets: list[np.ndarray], plans: dict[int, tuple[int, int, int]], p
         place = mix(number.astype(np.uint64) * _DIGEST[0] + band.astype(np.uint64))
         owner = np.repeat(np.array([i for i, _, _ in items]), n1s)
         for c, chosen in enumerate(combinations(range(n2), n2 - k2)):
-            sigs.append(mix(cells[:, chosen].sum(axis=1, dtype=np.uint64) * _DIGEST[1] + place + np.uint64(c + 1)))
-            owners.append(owner)
+            own = (number + c) % shares == share
+            sigs.append(mix(cells[own][:, chosen].sum(axis=1, dtype=np.uint64) * _DIGEST[1] + place[own] + np.uint64(c + 1)))
+            owners.append(owner[own])
     if not sigs:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     return np.concatenate(sigs).view(np.int64), np.concatenate(owners)
@@ -173,11 +180,18 @@ def signatures(sets: list[np.ndarray], plans: dict[int, tuple[int, int, int]], p
 
 def pass_plans(plans: dict, rows: dict[int, int], limit: int) -> list[dict]:
     """The bands' plans in passes whose signature rows take about ``limit`` bytes
-    of shuffle at most (a larger band is a pass of its own).  Bands share no
-    signatures, so passes can follow one another and free their shuffles."""
-    out, size = [], 0
+    of shuffle at most; a larger band comes in shares (one for each partition and
+    subset of parts at most).  Bands and shares have no signatures in common, so
+    passes can follow one another and free their shuffles."""
+    out, size = [], limit
     for j in sorted(plans):
         cost = rows[j] * ROW_BYTES
+        n1, n2, k2 = plans[j]
+        shares = min(-(-cost // max(1, int(limit))), max(n1, comb(n2, k2)))
+        if shares > 1:
+            out += [{j: (n1, n2, k2, share, shares)} for share in range(shares)]
+            size = limit
+            continue
         if not out or size + cost > limit:
             out.append({})
             size = 0

@@ -2,6 +2,8 @@
 
 import random
 import re
+from collections import Counter
+from math import comb
 
 import numpy as np
 import pytest
@@ -132,3 +134,19 @@ def test_plans_cover_the_distance():
         for n_sets in (1, 10**4, 10**9):
             n1, n2, k2 = J.plan_band(85, low, high, n_sets)
             assert n1 * (k2 + 1) > k and n2 > k2
+
+
+def test_a_band_larger_than_a_pass_comes_in_shares():
+    r = np.random.default_rng(3)
+    sets = [np.unique(r.integers(0, 1 << 63, n).astype(np.uint64)) for n in (120, 130, 140, 300, 310)]
+    more = J.bands(80, 400)
+    plans = {j: J.plan_band(80, lo, hi, 1000) for j, (lo, hi) in enumerate(more) if hi > 100}
+    per_set = {j: n1 * comb(n2, k2) for j, (n1, n2, k2) in plans.items()}
+    rows = {j: 1000 * n for j, n in per_set.items()}
+    limit = 1000 * 20 * J.ROW_BYTES  # twenty signatures a set
+    passes = J.pass_plans(plans, rows, limit)
+    for plan in passes:  # shares differ a little in size
+        assert max(Counter(J.signatures(sets, plan, 80)[1].tolist()).values(), default=0) <= 25
+    whole = Counter(zip(*(x.tolist() for x in J.signatures(sets, plans, 80))))
+    parts = [Counter(zip(*(x.tolist() for x in J.signatures(sets, plan, 80)))) for plan in passes]
+    assert len(passes) > len(plans) and sum(parts, Counter()) == whole

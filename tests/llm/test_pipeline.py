@@ -2,6 +2,7 @@
 
 import ast
 import hashlib
+import os
 from collections import Counter
 
 import numpy as np
@@ -11,6 +12,7 @@ import tiktoken
 import corpus_pipeline as P
 from lakesift.llm import bpe, quality
 from lakesift.llm.oracle import ORACLE_SQL
+from lakesift.plans.util import ensure_checkpoint_dir
 
 from .test_ngram_join import brute
 
@@ -73,3 +75,13 @@ def test_run_by_brute_force(spark, duck, tmp_path):
         row = (key, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
         want += [row] * copies[key]
     assert sorted(want) == sorted(tuple(r) for r in P.run(spark, SF).collect())
+
+
+def test_near_duplicates_leave_only_the_rows_that_go(spark, edges):
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    docs = spark.read.parquet(f"{edges}/documents.parquet")
+    kept = P.near_duplicates(spark, docs, edges)
+    left = [x for x in set(os.listdir(folder)) - before if not x.startswith("lakesift-pyfiles-")]
+    assert len(left) == 1 and left[0].startswith("lakesift-near-goes-")
+    assert 0 < kept.count() < docs.count()
