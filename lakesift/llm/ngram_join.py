@@ -6,13 +6,16 @@ each band the largest Hamming distance ``k`` of two linked sets is known.  The
 gram domain is cut by hash into ``n1`` partitions, so that in one of them two
 linked sets differ in at most ``k2`` grams, and each of these into ``n2``
 parts; every subset of ``n2 - k2`` parts gives a signature.  Two linked sets
-share at least one, so no link is lost.  Candidates are first held against the
+share at least one, so no link is lost.  With some partitions more than the distance
+asks for, they share one that has grams (sets with too many empty parts excepted,
+see :func:`signatures`), so sets that have only empty parts in common don't meet
+and signatures hardly lengthen with the number of sets.  Candidates are first held against the
 bound that parity bits give (two sets differ in as many grams at least as
 their bits), those beyond each class's best meeting also against bitmaps that grow
 with the sets, then checked on the full sets.
 
-``k2`` and ``n2`` follow the counted sets of each band: more sets need longer
-signatures, which fewer unrelated sets share.  The result doesn't depend on it.
+``n1``, ``n2`` and ``k2`` follow the counted sets of each band.  The result doesn't
+depend on them.
 
 Work within a bucket (one signature) stays linear: documents with equal sets
 form one class; within a task, and then over all tasks, each class of a bucket
@@ -35,7 +38,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import lru_cache, reduce
 from itertools import combinations
-from math import comb, exp
+from math import comb, exp, log
 
 import numpy as np
 import pyarrow as pa
@@ -92,22 +95,48 @@ def distance(pct: int, high: int) -> int:
     return 2 * high * (100 - pct) // (100 + pct)
 
 
+def slack(k: int, n1: int, k2: int) -> int:
+    """Partitions, beyond one, in which two linked sets differ in at most ``k2`` grams."""
+    return n1 - 1 - k // (k2 + 1)
+
+
+def many(n: int, q: float, m: int) -> float:
+    """Bound on the chance that more than ``m`` of ``n`` events of chance ``q`` occur (Chernoff)."""
+    share = (m + 1) / n
+    if share <= q or q <= 0:
+        return float(q > 0)
+    rest = (1 - share) * log((1 - share) / (1 - q)) if share < 1 else 0
+    return exp(-n * (share * log(share / q) + rest))
+
+
+@lru_cache(maxsize=4096)
 def plan_band(pct: int, low: int, high: int, n_sets: int) -> tuple[int, int, int]:
     """(n1, n2, k2) of the least cost: signatures, and unrelated sets met in
     their buckets.  Two disjoint sets share a signature only where the parts of
-    both are empty, so with the power of twice the grams that one covers."""
+    both are empty and both are thin (see :func:`signatures`); each partition
+    beyond those that the distance asks for makes fewer sets thin."""
     k, best = distance(pct, high), None
     cells = 64 * len(BITS)
     told = cells / 2 * (1 - exp(-4 * low / cells)) > 1.1 * k  # parity bits of disjoint sets
     chance = CHECK_COST if told else CHANCE_COST
+    least = max(1, low * pct // 100)  # sets of the band before take part
+    sizes = (least, (least + low) / 2, low, (low + high) / 2)
     for k2 in range(min(k, 6) + 1):
-        n1 = -(-(k + 1) // (k2 + 1))
-        for n2 in range(k2 + 1, min(k2 + 8, 12)):
-            per_set = n1 * comb(n2, k2)
-            grams = low / n1 * (n2 - k2) / n2
-            cost = per_set * (1 + chance * n_sets * exp(-2 * grams))
-            if best is None or cost < best[0]:
-                best = (cost, n1, n2, k2)
+        bad = k // (k2 + 1)
+        for n2 in range(k2 + 1, min(k2 + 8, 12) if k2 else 2):
+            subsets, cost = comb(n2, k2), None
+            for more in range(bad + 2):
+                n1, before, met = bad + 1 + more, cost, 0.0
+                for size in sizes:
+                    full = 1 - exp(-size / n1 / n2)  # chance that a cell has a gram
+                    few = sum(comb(n2, i) * full**i * (1 - full) ** (n2 - i) for i in range(k2 + 1))
+                    empty = max(exp(-size / n1 * (n2 - k2) / n2), min(1.0, (more + 1) / n1) / subsets)
+                    met += many(n1, few, more) * empty / len(sizes)
+                cost = n1 * subsets * (1 + chance * n_sets * met**2)
+                if best is None or cost < best[0]:
+                    best = (cost, n1, n2, k2)
+                if n1 * subsets >= best[0]:
+                    break
     return best[1:]
 
 
@@ -141,9 +170,15 @@ def digest(s: np.ndarray, seed: int) -> tuple[int, int]:
 def signatures(sets: list[np.ndarray], plans: dict[int, tuple[int, int, int]], pct: int) -> tuple[np.ndarray, np.ndarray]:
     """Signatures of non-empty sets and, for each, the index of its set.  A set
     takes part in the instance of its own band and in that of the next.  A plan may
-    end with (share, shares): only that share of the band's signatures."""
+    end with (share, shares): only that share of the band's signatures.
+
+    A partition is full for a set if more than ``k2`` of its parts have grams: each
+    of its signatures there has some.  A set is thin if more partitions aren't full
+    than those spared by the distance (:func:`slack`).  Two linked sets agree on a
+    signature in one partition more than that, so one with grams if either isn't
+    thin; only thin sets give signatures without grams, which all such sets share."""
     largest = max((len(s) for s in sets), default=1)
-    highs = np.array([h for _, h in bands(pct, largest)])
+    highs = np.array([h for _, h in bands(pct, int(largest * 100 / pct) + 2)])
     at = np.searchsorted(highs, [len(s) for s in sets])
     by_shape: dict[tuple[int, ...], list[tuple[int, int, int]]] = {}
     for i, j in enumerate(at):
@@ -169,8 +204,11 @@ def signatures(sets: list[np.ndarray], plans: dict[int, tuple[int, int, int]], p
         band = np.repeat(np.array([b for _, b, _ in items]), n1s)
         place = mix(number.astype(np.uint64) * _DIGEST[0] + band.astype(np.uint64))
         owner = np.repeat(np.array([i for i, _, _ in items]), n1s)
+        has = np.bincount(cell, minlength=total * n2).reshape(total, n2) > 0
+        spared = [slack(distance(pct, int(highs[b])), n1, k2) for _, b, n1 in items]
+        thin = np.repeat(np.add.reduceat(has.sum(axis=1) <= k2, first) > spared, n1s)
         for c, chosen in enumerate(combinations(range(n2), n2 - k2)):
-            own = (number + c) % shares == share
+            own = ((number + c) % shares == share) & (thin | has[:, chosen].any(axis=1))
             sigs.append(mix(cells[own][:, chosen].sum(axis=1, dtype=np.uint64) * _DIGEST[1] + place[own] + np.uint64(c + 1)))
             owners.append(owner[own])
     if not sigs:

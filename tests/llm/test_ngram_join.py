@@ -150,3 +150,17 @@ def test_a_band_larger_than_a_pass_comes_in_shares():
     whole = Counter(zip(*(x.tolist() for x in J.signatures(sets, plans, 80))))
     parts = [Counter(zip(*(x.tolist() for x in J.signatures(sets, plan, 80)))) for plan in passes]
     assert len(passes) > len(plans) and sum(parts, Counter()) == whole
+
+
+@pytest.mark.parametrize("pct", [80, 85])
+def test_signatures_hardly_lengthen_with_the_number_of_sets(pct):
+    r = np.random.default_rng(5)
+    for j, (low, high) in enumerate(J.bands(pct, 1500)):
+        if low < 45:
+            continue
+        few, many = (J.plan_band(pct, low, high, n) for n in (10**4, 10**6))
+        size = [n1 * comb(n2, k2) for n1, n2, k2 in (few, many)]
+        assert size[1] <= 1.4 * size[0], (low, few, many)
+        sets = [np.unique(r.integers(0, 2**64 - 1, low, dtype=np.uint64)) for _ in range(60)]
+        got = J.signatures(sets, {j: few}, pct)[0]  # disjoint sets don't meet by their empty parts
+        assert len(got) - len(set(got.tolist())) <= len(got) / 500
