@@ -20,11 +20,13 @@ depend on them.
 Work within a bucket (one signature) stays linear: documents with equal sets
 form one class; within a task, and then over all tasks, each class of a bucket
 is compared with the bucket's smallest class only.  If such a comparison fails
-and other links don't join the two, the bucket is open: all pairs of its
-classes in different components are then checked.  So components are exact
-and large groups of near copies never expand into all pairs.  (Groups whose
-members stay just below the similarity are compared in pairs, by their parity
-bits within the join; that is what an exact join has to rule out.)
+and other links don't join the two, the bucket is open: its classes are then
+compared with one drawn from the bucket, in rounds while these find links, and
+at last all pairs of its classes that are still in different components.  So
+components are exact and large groups of near copies don't expand into all pairs,
+also if the smallest class is far from many of them.  (Groups whose members stay
+just below the similarity are compared in pairs, by their parity bits within the
+join; that is what an exact join has to rule out.)
 
 Edge cases: null, blank and empty texts have an empty set and no links; equal
 texts and repeated rows share a class; a null id counts for no component id
@@ -61,6 +63,8 @@ VERIFY_SHARE = 0.5
 #: rule out within the join, and of one that goes on to the bitmaps.
 CHECK_COST = 1
 CHANCE_COST = 20
+#: A round of pivots follows another that found as many links as this share of the classes in open buckets.
+MANY_LINKS = 0.02
 #: Bytes of text whose sets a worker holds at once.
 SET_BYTES = 1 << 20
 #: Columns of the parity bits.
@@ -475,6 +479,22 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.selectExpr("u c", "v comp").unionByName(edges.selectExpr("v c", "v comp").distinct())
 
 
+def still_open(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """(sig, c, comp) of the buckets whose classes are in different components."""
+    named = members.select("sig", "c").join(comps, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
+    apart = named.groupBy("sig").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a != b").select("sig")
+    return staged(named.join(apart, "sig", "left_semi").select("sig", "c", "comp"), "members")
+
+
+def pivot_pairs(members: DataFrame, number: int) -> DataFrame:
+    """(x, y), x < y: in each bucket one class, drawn by hash anew in each round,
+    with those of other components.  As many rows as members at most."""
+    drawn = F.struct(F.xxhash64("sig", "c", F.lit(number)).alias("h"), "c", "comp")
+    pivots = members.groupBy("sig").agg(F.min(drawn).alias("p")).select("sig", F.col("p.c").alias("pc"), F.col("p.comp").alias("other"))
+    met = members.join(pivots, "sig").where("comp != other")
+    return met.selectExpr("least(c, pc) x", "greatest(c, pc) y").distinct()
+
+
 @dataclass
 class Links:
     """``sets``: id, n, c of each document; ``links``: checked pairs (x, y) of
@@ -540,19 +560,38 @@ def similarity_links(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id
     side = comps.select(F.col("c").alias("y"), F.col("comp").alias("cy"))
     open_ = edges.join(comps.select(F.col("c").alias("x"), F.col("comp").alias("cx")), "x", "left").join(side, "y", "left")
     open_ = staged(open_.where("coalesce(cx, x) != coalesce(cy, y)").select("sig").distinct(), "open")
-    n_open = open_.count()
-    if n_open:
-        members = edges.join(small_side(open_, n_open, 16), "sig").select("sig", F.explode(F.array("x", "y")).alias("c")).distinct()
-        members = members.join(classes, "c").join(comps, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
-        members = staged(members.drop("h"), "members")
-        more = members.alias("a").join(members.alias("b"), "sig").where(
-            "a.c < b.c and a.comp != b.comp and " + close(join, "a", "b")).selectExpr("a.c x", "b.c y").distinct()
-        more = staged(more, "near")
-        more = staged(more.join(pairs, ["x", "y"], "left_anti"), "more")
-        if not more.isEmpty():
-            again = verify(docs, bounded(docs, sets, more, join), classes, join, text_col)
-            links = staged(links.unionByName(again), "all-links")
-            comps = staged(components(links), "all-comps")
+    n_open, tested, number = open_.count(), [pairs], 0
+    if not n_open:
+        return Links(sets, links, comps)
+    members = edges.join(small_side(open_, n_open, 16), "sig").select("sig", F.explode(F.array("x", "y")).alias("c")).distinct()
+    members = still_open(members, comps)
+    while True:  # rounds of pivots, while they link many of the classes
+        number += 1
+        more = pivot_pairs(members, number).join(x, F.col("x") == F.col("a.c")).join(y, F.col("y") == F.col("b.c"))
+        more = more.where(close(join, "a", "b")).select("x", "y")
+        more = staged(reduce(lambda m, t: m.join(t, ["x", "y"], "left_anti"), tested, more), "pivot-pairs")
+        if more.isEmpty():
+            break
+        tested.append(more)
+        again = staged(verify(docs, bounded(docs, sets, more, join), classes, join, text_col), "pivot-links")
+        found = again.count()
+        if found:
+            links = staged(links.unionByName(again), "more-links")
+            comps = staged(components(links), "more-comps")
+            members = still_open(members, comps)
+        if found < MANY_LINKS * members.select("c").distinct().count():
+            break
+
+    # what no pivot has linked: all pairs of a bucket's classes in different components
+    members = members.join(classes.drop("h"), "c")
+    more = members.alias("a").join(members.alias("b"), "sig").where(
+        "a.c < b.c and a.comp != b.comp and " + close(join, "a", "b")).selectExpr("a.c x", "b.c y").distinct()
+    more = staged(more, "near")
+    more = staged(reduce(lambda m, t: m.join(t, ["x", "y"], "left_anti"), tested, more), "more")
+    if not more.isEmpty():
+        again = verify(docs, bounded(docs, sets, more, join), classes, join, text_col)
+        links = staged(links.unionByName(again), "all-links")
+        comps = staged(components(links), "all-comps")
     return Links(sets, links, comps)
 
 

@@ -164,3 +164,26 @@ def test_signatures_hardly_lengthen_with_the_number_of_sets(pct):
         sets = [np.unique(r.integers(0, 2**64 - 1, low, dtype=np.uint64)) for _ in range(60)]
         got = J.signatures(sets, {j: few}, pct)[0]  # disjoint sets don't meet by their empty parts
         assert len(got) - len(set(got.tolist())) <= len(got) / 500
+
+
+def test_a_family_whose_smallest_class_is_far_does_not_expand_into_pairs(spark, monkeypatch):
+    """Copies with two changed words are linked with those that have one, not with each other."""
+    near, stage = [], J.staged
+
+    def staged(df, name):
+        out = stage(df, name)
+        near.extend([out.count()] if name == "near" else [])
+        return out
+
+    monkeypatch.setattr(J, "staged", staged)
+    r = random.Random(6)
+    base, rows = [f"w{r.randrange(10**6)}" for _ in range(155)], []
+    for i in range(150):
+        copy = list(base)
+        for at in r.sample(range(5, 150), 1 if i % 3 == 0 else 2):
+            copy[at] = f"v{i}x{at}"
+        rows.append((i, " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = J.ngram_jaccard(docs, J.Join(4, 85)).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(repr(tuple(x)) for x in got) == brute(rows, 4, 85)
+    assert sum(near) < len(rows), near
